@@ -58,9 +58,9 @@ def exploded_tokens(evidence: DataFrame, keep: list[str] = ()) -> DataFrame:
 
 
 def exploded_phrases(evidence: DataFrame, keep: list[str] = ()) -> DataFrame:
-    path_tokens = F.concat("parent_tokens", "higher_path_tokens")
-    per_source = {"phrase_filename": T.phrases(F.col("filename_tokens")), "phrase_path": T.phrases(path_tokens)}
-    return _exploded(evidence, per_source, list(keep))
+    around = evidence.withColumn("_around", F.concat("parent_tokens", "higher_path_tokens"))
+    per_source = {"phrase_filename": T.phrases(F.col("filename_tokens")), "phrase_path": T.phrases(F.col("_around"))}
+    return _exploded(around, per_source, list(keep))
 
 
 def cluster_terms(exploded: DataFrame, sources: list[str]) -> DataFrame:

@@ -16,8 +16,9 @@ def folder_counts(rows: DataFrame) -> DataFrame:
     """
     own = rows.groupBy("dir", "near", "ext").agg(F.count(F.lit(1)).alias("n"))
     return (
-        own.select("near", "ext", "n", F.explode(P.ancestors(P.dirs_of(F.col("dir")))).alias("a"))
-        .groupBy(F.col("a.folder").alias("folder"), "near", "ext")
+        own.withColumn("_dirs", P.dirs_of(F.col("dir")))
+        .select("near", "ext", "n", F.inline(P.ancestors(F.col("_dirs"))))
+        .groupBy("folder", "near", "ext")
         .agg(F.sum("n").alias("n"))
     )
 
@@ -46,7 +47,8 @@ def follow_table(rows: DataFrame, counts: DataFrame, won: DataFrame, type_check:
     """
     refused = rows.filter((F.col("own") == V.UNSORTED) & ~F.col("held")).select("dir", "ext").distinct()
     deepest = (
-        refused.select("dir", "ext", F.inline(P.ancestors(P.dirs_of(F.col("dir")))))
+        refused.withColumn("_dirs", P.dirs_of(F.col("dir")))
+        .select("dir", "ext", F.inline(P.ancestors(F.col("_dirs"))))
         .join(won.select("folder", "winner", "agreeing"), "folder")
         .groupBy("dir", "ext")
         .agg(F.max_by(F.struct("folder", "winner", "agreeing"), "depth").alias("v"))
