@@ -86,8 +86,10 @@ def bundle_clusters(token_terms: DataFrame) -> DataFrame:
 def _weighted(terms: DataFrame, evidence: DataFrame, bundles: DataFrame, weights: dict[str, float], kind: str,
               noise: NoiseTerms) -> DataFrame:
     sources = list(weights)
-    files = evidence.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n")).scalar()
-    clusters = evidence.select("cluster_root").distinct().agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n")).scalar()
+    sizes = evidence.groupBy("cluster_root").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.struct(F.coalesce(F.sum("n"), F.lit(1)).alias("files"), F.greatest(F.count(F.lit(1)), F.lit(1)).alias("clusters"))
+    ).scalar()
+    files, clusters = F.col("_sizes.files"), F.col("_sizes.clusters")
     flagged = bundles.filter("is_bundle").select("cluster_root", F.lit(1).alias("bundle"))
     stats = (
         terms.join(flagged, "cluster_root", "left")
@@ -114,7 +116,8 @@ def _weighted(terms: DataFrame, evidence: DataFrame, bundles: DataFrame, weights
         F.create_map(*[x for s in sorted(sources) for x in (F.lit(s), F.col(s))]), lambda _, n: n > 0
     )
     return (
-        stats.withColumn("_mentions", mentions)
+        stats.withColumn("_sizes", sizes)
+        .withColumn("_mentions", mentions)
         .withColumn("_raw", sum((F.col(s) * w for s, w in weights.items()), F.lit(0.0)))
         .withColumn("_conc", 1 - F.col("cluster_presence") / (clusters + 1))
         .withColumn("_idf", F.log((files + 1) / (F.col("file_presence") + 1)) + 1)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import paths as P
 from shelfmark.functions import vocab as V
 from shelfmark.operators.ranking import ROW_BUDGET, ordinal
+from shelfmark.session import materialise
 
 BRANCHES = 30
 MIN_BIG = 300
@@ -19,48 +20,46 @@ def type_label() -> Column:
 
 
 def folder_cells(routed: DataFrame) -> DataFrame:
-    """Files per (deepest folder key, type): the small table every folder view starts from."""
+    """Files per (deepest folder key, type): the table every folder view starts from, written once."""
     keys = [P.folder_key(F.col("dirs"), d).alias(f"k{d}") for d in DEPTHS]
-    return routed.select(*keys, type_label().alias("type")).groupBy(*[f"k{d}" for d in DEPTHS], "type").agg(
+    cells = routed.select(*keys, type_label().alias("type")).groupBy(*[f"k{d}" for d in DEPTHS], "type").agg(
         F.count(F.lit(1)).alias("files")
     )
+    return materialise(cells, "folder-cells")
 
 
-def splitting_folders(cells: DataFrame, min_big: int = MIN_BIG) -> DataFrame:
-    """Folders ``(depth, folder)`` that are divided one level deeper.
+def splitting_folders(cells: DataFrame, min_big: int = MIN_BIG) -> dict[int, dict[str, int]]:
+    """Per depth, the folders that are divided one level deeper and how many groups they yield.
 
-    A folder is a candidate when it holds more than max(300, rows / 30) files, so there are fewer than 30 candidates per depth:
-    the size of every table broadcast here is bounded by that.  Decided bottom-up: a candidate splits when its children yield
-    more than one group.
+    A folder is a candidate when it holds more than max(300, rows / 30) files, so fewer than 30 folders per depth can be: what
+    reaches the driver is bounded by that.  Decided bottom-up: a candidate splits when its children yield more than one group.
     """
-    big = cells.agg(F.greatest(F.lit(min_big), F.floor(F.sum("files") / BRANCHES)).alias("big")).scalar()
-    split_below = None
-    parts = []
+    total = cells.agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+    big = max(min_big, total // BRANCHES)
+    splits: dict[int, dict[str, int]] = {DEPTHS[-1]: {}}
     for depth in reversed(DEPTHS[:-1]):
-        here, child = f"k{depth}", f"k{depth + 1}"
-        candidates = cells.groupBy(here).agg(F.sum("files").alias("files")).filter(F.col("files") > big).select(here)
-        children = cells.join(F.broadcast(candidates), here).select(here, child).distinct()
-        if split_below is None:
-            children = children.withColumn("groups", F.lit(1))
-        else:
-            children = children.join(F.broadcast(split_below), child, "left").withColumn(
-                "groups", F.coalesce(F.col("groups"), F.lit(1))
-            )
-        split_below = children.groupBy(here).agg(F.sum("groups").alias("groups")).filter("groups > 1")
-        parts.append(split_below.select(F.lit(depth).alias("depth"), F.col(here).alias("folder")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
-def with_folder_group(keyed: DataFrame, splits: DataFrame) -> DataFrame:
-    """Adds ``folder``: the first key, from depth 2 down, whose folder is not divided."""
-    out = keyed
-    for depth in DEPTHS[:-1]:
-        flag = splits.filter(F.col("depth") == depth).select(F.col("folder").alias(f"k{depth}"), F.lit(True).alias(f"_s{depth}"))
-        out = out.join(F.broadcast(flag), f"k{depth}", "left")
-    folder = F.col("k5")
+        nodes = (
+            cells.groupBy(F.col(f"k{depth}").alias("folder"))
+            .agg(F.sum("files").alias("files"), F.count_distinct(f"k{depth + 1}").alias("children"))
+            .filter(F.col("files") > big)
+            .collect()
+        )
+        groups = {n["folder"]: n["children"] for n in nodes}
+        for child, yielded in splits[depth + 1].items():
+            parent = "\\".join(child.split("\\")[:depth])
+            if parent in groups:  # a folder that splits is a candidate, and so is its parent
+                groups[parent] += yielded - 1
+        splits[depth] = {folder: n for folder, n in groups.items() if n > 1}
+    return splits
+
+
+def with_folder_group(keyed: DataFrame, splits: dict[int, dict[str, int]]) -> DataFrame:
+    """Adds ``folder``: the first key, from depth 2 down, whose folder is not divided.  A narrow step, no join."""
+    folder = F.col(f"k{DEPTHS[-1]}")
     for depth in reversed(DEPTHS[:-1]):
-        folder = F.when(F.col(f"_s{depth}"), folder).otherwise(F.col(f"k{depth}"))
-    return out.withColumn("folder", folder).drop(*[f"_s{d}" for d in DEPTHS[:-1]])
+        key = F.col(f"k{depth}")
+        folder = F.when(key.isin(list(splits[depth])), folder).otherwise(key) if splits[depth] else key
+    return keyed.withColumn("folder", folder)
 
 
 def folder_groups(routed: DataFrame, min_big: int = MIN_BIG) -> DataFrame:
@@ -108,15 +107,15 @@ def overview(split: DataFrame, groups: DataFrame, max_folders: int = 250) -> Dat
         F.count_if(F.col("placement") == "unit").alias("unit_files"),
         F.count_if(F.col("placement") == "junk").alias("junk_files"),
         F.count_if(F.col("placement") == "routed").alias("needing"),
+        F.count_distinct("unit").alias("units"),
     )
-    units = split.filter("unit IS NOT NULL").select("unit").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
     sizes = groups.groupBy("folder").agg(F.sum("files").alias("files"))
     folders = sizes.agg(F.count(F.lit(1)).alias("n")).scalar()
     listed = (
         sizes.orderBy(F.desc("files"), "folder").limit(max_folders).agg(F.coalesce(F.sum("files"), F.lit(0)).alias("n")).scalar()
     )
     return rules.select(
-        "files_total", units.alias("units"), "unit_files", "junk_files", "needing", folders.alias("folders"),
+        "files_total", "units", "unit_files", "junk_files", "needing", folders.alias("folders"),
         F.floor(F.col("needing") / V.GUARD_DIVISOR).alias("unsorted_allowed"),
         F.least(folders, F.lit(max_folders)).alias("folders_listed"),
         (F.col("needing") - listed).alias("files_not_listed"),

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Only settings that are safe on any cluster size.  Partition counts are left to adaptive execution, which starts wide and
 # coalesces, so the same job fits 60 thousand rows and 100 TB.
@@ -40,3 +41,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(configured)
     return configured
+
+
+def materialise(frame: DataFrame, label: str) -> DataFrame:
+    """Writes a frame to the shared folder and reads it back.
+
+    For small results that several later steps start from: the lineage is cut, a lost executor rereads a file, and the
+    planner knows the size.
+    """
+    target = f"{checkpoint_root(frame.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    frame.write.mode("overwrite").parquet(target)
+    return frame.sparkSession.read.schema(frame.schema).parquet(target)
