@@ -11,8 +11,12 @@ from shelfmark.operators import overview as O
 
 def _list(frame: DataFrame, order: list[str]) -> Column:
     """A limited frame as one array value.  ``order`` sorts it; every caller passes a frame cut by ``limit``."""
-    fields = order + [c for c in frame.columns if c not in order]
-    return frame.agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows")).scalar()
+    def by_key(left: Column, right: Column) -> Column:
+        return F.when(left["key"] < right["key"], -1).when(left["key"] > right["key"], 1).otherwise(0)
+
+    kept = [c for c in frame.columns if c != "_order"]
+    listed = F.collect_list(F.struct(F.struct(*order).alias("key"), F.struct(*kept).alias("row")))  # maps have no order of their own
+    return frame.agg(F.transform(F.array_sort(listed, by_key), lambda r: r["row"]).alias("rows")).scalar()
 
 
 def _ranked(frame: DataFrame, measure: str, item: str) -> Column:
