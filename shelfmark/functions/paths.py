@@ -29,15 +29,19 @@ def stem_of(base: Column) -> Column:
 
 
 def with_parts(inventory: DataFrame, path: str = "path") -> DataFrame:
-    """Adds ``dirs`` (array), ``dir`` (same, joined by ``/``), ``base``, ``stem`` and lower-case ``ext``."""
+    """Adds ``dirs`` (array), ``dir`` (same, joined by ``/``), ``base``, ``stem`` and lower-case ``ext``.
+
+    ``dir`` and ``ext`` are join keys, so they are declared never null: the planner then has no null filter to push below this
+    projection, which would split every path twice.
+    """
     return (
         inventory.withColumn("_parts", components(F.col(path)))
         .withColumn("dirs", directories(F.col("_parts")))
         .withColumn("base", F.coalesce(F.try_element_at("_parts", F.lit(-1)), F.lit("")))
         .drop("_parts")
-        .withColumn("dir", F.array_join("dirs", "/"))
+        .withColumn("dir", F.coalesce(F.array_join("dirs", "/"), F.lit("")))
         .withColumn("stem", stem_of(F.col("base")))
-        .withColumn("ext", F.lower(extension(F.col("base"))))
+        .withColumn("ext", F.coalesce(F.lower(extension(F.col("base"))), F.lit("")))
     )
 
 

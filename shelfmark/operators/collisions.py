@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 from shelfmark.functions import paths as P
 from shelfmark.functions import vocab as V
 from shelfmark.operators.ranking import ROW_BUDGET, ordinal
+from shelfmark.session import materialise
 
 KEYS = ["folder", "_stem", "_ext"]
 
 
 def _split(name) -> list:
     low = F.lower(name)
-    return [P.stem_of(low).alias("_stem"), P.extension(low).alias("_ext")]
+    return [F.coalesce(P.stem_of(low), F.lit("")).alias("_stem"), F.coalesce(P.extension(low), F.lit("")).alias("_ext")]
 
 
 def collision_plan(requests: DataFrame, existing: DataFrame, budget: int = ROW_BUDGET) -> DataFrame:
@@ -31,7 +32,8 @@ def collision_plan(requests: DataFrame, existing: DataFrame, budget: int = ROW_B
     """
     cut = F.when(F.length("base") > V.MAX_NAME, F.trim(F.substring("base", 1, V.MAX_NAME))).otherwise(F.col("base"))
     wanted = requests.withColumn("_name", F.concat(cut, F.col("ext")))
-    wanted = wanted.select("*", *_split(F.col("_name")))
+    # Read several times below, so the requests with their keys are written once.
+    wanted = materialise(wanted.select("*", *_split(F.col("_name"))), "wanted-names")
     disk = existing.select("folder", *_split(F.col("name"))).distinct().withColumn("_disk", F.lit(True))
     names = wanted.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"), F.min("path").alias("_first"))
     contended = (

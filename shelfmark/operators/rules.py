@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from shelfmark.functions import paths as P
 from shelfmark.functions import vocab as V
 
+NO_ROOT = "\\"
+
 
 def strip_scan_root(inventory: DataFrame, path: str = "path") -> DataFrame:
     """Drops the leading folders shared by every path, never the name itself.
@@ -38,12 +40,10 @@ def unit_folders(inventory: DataFrame) -> DataFrame:
     Works on distinct folders, not files: the prefix join costs folders x depth rows however many files a folder holds.
     """
     folders = inventory.select("dir").distinct().withColumn("_dirs", P.dirs_of(F.col("dir")))
-    roots = (
-        folders.withColumn("_depth", P.bundle_root_depth(F.col("_dirs")))
-        .filter("_depth > 0")
-        .select(F.array_join(F.slice("_dirs", F.lit(1), F.col("_depth")), "/").alias("folder"))
-        .distinct()
-    )
+    depth = P.bundle_root_depth(F.col("_dirs"))
+    # No filter on the depth: it would be pushed below the distinct and tested for every file.  NO_ROOT matches no folder.
+    root = F.when(depth > 0, F.array_join(F.slice("_dirs", F.lit(1), depth), "/"))
+    roots = folders.select(F.coalesce(root, F.lit(NO_ROOT)).alias("folder")).distinct()
     return (
         folders.select("dir", F.inline(P.ancestors(F.col("_dirs"))))
         .join(roots, "folder")

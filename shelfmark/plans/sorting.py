@@ -14,6 +14,7 @@ from shelfmark.operators.classify import decide
 from shelfmark.operators.index import with_codes
 from shelfmark.operators.rules import rule_destination, split_inventory, strip_scan_root
 from shelfmark.operators.vote import folder_vote
+from shelfmark.session import materialise
 
 PLAN = ["path", "topic", "destination", "count", "rel"]
 
@@ -50,6 +51,8 @@ def sort_files(routed: DataFrame, settings: SortSettings = SortSettings(), dense
         .drop("topic", "nearest")
     )
     if settings.vote:
+        # The vote reads the verdicts several times; they are written once, so no model runs twice.
+        decided = materialise(decided, "verdicts")
         voted = folder_vote(decided, settings.vote_share, settings.min_files, settings.vote_type_check)
     else:
         voted = decided.withColumns({"topic": F.col("own"), "voted": F.lit(False), "blocked": F.lit(False)})
@@ -81,6 +84,12 @@ def guard(rows: DataFrame, topic: str = "topic") -> DataFrame:
     )
 
 
+def split_once(inventory: DataFrame) -> DataFrame:
+    """The three-way split, written once by placement: every later step reads only its own part."""
+    split = split_inventory(P.with_parts(inventory))
+    return materialise(split, "split", partition_by="placement")
+
+
 def routed_texts(split: DataFrame, types: str | None = "ext") -> DataFrame:
     """Routed rows with the ``text`` a classifier reads.  The cheap rules run before any model."""
     text = P.plan_text(F.col("dirs"), F.col("stem"), F.col("ext"), types)
@@ -93,7 +102,7 @@ def organization_plan(inventory: DataFrame, index: DataFrame, classify: Callable
 
     ``classify`` adds ``candidates`` to rows with ``text``.
     """
-    split = split_inventory(P.with_parts(inventory))
+    split = split_once(inventory)
     nothing = F.lit(None).cast("string")
     units = (
         split.filter("placement = 'unit'")
@@ -127,11 +136,11 @@ def conservation(inventory: DataFrame, plan: DataFrame) -> DataFrame:
 def loop_check(inventory: DataFrame, index: DataFrame, classify: Callable[[DataFrame], DataFrame],
                settings: SortSettings = SortSettings(), types: str | None = "ext") -> dict[str, DataFrame]:
     """The check from an inventory alone: ``assignments``, ``stats``, the guard's ``verdict`` and ``leftovers``."""
-    split = split_inventory(P.with_parts(strip_scan_root(inventory)))
+    split = split_once(strip_scan_root(inventory))
     sorted_rows = sort_files(classify(routed_texts(split, types)), settings)
     known = with_codes(sorted_rows, index)
-    units = split.filter("placement = 'unit'").select("unit").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
-    ruled = split.agg(F.count_if(F.col("placement") == "junk").alias("n")).scalar()
+    units = split.filter("placement = 'unit'").agg(F.count_distinct("unit").alias("n")).scalar()
+    ruled = split.filter("placement = 'junk'").agg(F.count(F.lit(1)).alias("n")).scalar()
     verdict = guard(known).select("*", units.alias("units"), ruled.alias("junk"))
     how = F.when(F.col("how") == "held", "unsorted").otherwise(F.col("how"))
     return {

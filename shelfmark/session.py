@@ -43,12 +43,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     return configured
 
 
-def materialise(frame: DataFrame, label: str) -> DataFrame:
+def materialise(frame: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Writes a frame to the shared folder and reads it back.
 
-    For small results that several later steps start from: the lineage is cut, a lost executor rereads a file, and the
+    For results that several later steps start from: nothing above is computed twice, a lost executor rereads a file, and the
     planner knows the size.
     """
     target = f"{checkpoint_root(frame.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    frame.write.mode("overwrite").parquet(target)
+    writer = frame.write.mode("overwrite")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(target)
     return frame.sparkSession.read.schema(frame.schema).parquet(target)

@@ -36,9 +36,9 @@ DOC_NAME = """CASE
  ELSE concat('Ver', CAST(doc_id % 12 AS STRING), '.', source, ' draft') END"""
 DOC_EXT = """CASE doc_id % 12 WHEN 0 THEN '.pdf' WHEN 1 THEN '.docx' WHEN 2 THEN '.mp3' WHEN 3 THEN '.MP4' WHEN 4 THEN '.jpg'
  WHEN 5 THEN '.txt' WHEN 6 THEN '.tmp' WHEN 7 THEN '.bak' WHEN 8 THEN '.py' WHEN 9 THEN '' WHEN 10 THEN '.csv' ELSE '.pdf' END"""
-DOC_PATH = f"concat(source, '/', lang, '/', {DOC_FOLDER}, '/', CAST(doc_id AS STRING), '_', {DOC_NAME}, {DOC_EXT})"
+DOC_PATH = f"coalesce(concat(source, '/', lang, '/', {DOC_FOLDER}, '/', CAST(doc_id AS STRING), '_', {DOC_NAME}, {DOC_EXT}), '')"
 # The same listing with names that repeat, for anything about equal names.
-DOC_PLAIN_NAME = f"concat({DOC_NAME}, {DOC_EXT})"
+DOC_PLAIN_NAME = f"coalesce(concat({DOC_NAME}, {DOC_EXT}), '')"
 
 # documents -> a classifier's verdict, fixed by rule so that both engines agree: language as category, every third row sure.
 SURE = "doc_id % 3 = 0"
@@ -46,9 +46,9 @@ SURE = "doc_id % 3 = 0"
 # pages -> host and URL path components, query and fragment cut.
 PAGE_PATH = "regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '')"
 
-# events -> observations of files: one key per user and event type, two scans (first and second half of the month).
-EVENT_KEY = "concat(CAST(user_id AS STRING), '|', event_type)"
-EVENT_DIR = "CAST(floor(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) / 40.0) AS INT)"
+# events -> observations of files: one key per user, tens of k and event type; two scans (first and second half of the month).
+EVENT_KEY = "concat(CAST(user_id AS STRING), '|', substring(lpad(regexp_extract(props, '([0-9]+)', 1), 3, '0'), 1, 2), '|', event_type)"
+EVENT_DIR = "CAST(floor(value) AS BIGINT) % 3"
 EVENT_PATH = f"concat('d', CAST({EVENT_DIR} AS STRING), '/', event_type, '.dat')"
 EVENT_SIZE = "CAST(floor(value / 50.0) AS BIGINT)"
 MIDDLE = "2024-01-16"
@@ -79,7 +79,7 @@ def listing(spark: SparkSession, sf: str) -> DataFrame:
 def observations(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").selectExpr(
         f"{EVENT_KEY} AS file_key", f"{EVENT_PATH} AS path", f"{EVENT_SIZE} AS size", "event_type",
-        "CAST(ts AS timestamp) AS observed_at", "CAST(user_id AS STRING) AS file_id",
+        "CAST(ts AS timestamp) AS observed_at", f"{EVENT_KEY} AS file_id",
     )
     hashed = F.col("event_type").isin("view", "purchase")
     return rows.select(
