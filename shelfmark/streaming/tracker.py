@@ -9,61 +9,53 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-OBSERVATION = ["file_key", "path", "size", "sha256", "observed_at"]
 STATE = "path string, size double, sha256 string, is_active boolean, seen_us long"
 EVENTS = ("file_key string, observed_at timestamp, event_type string, path_changed boolean, content_changed boolean, "
           "active_state_changed boolean, previous_path string, path string, size double")
-
-
-class ChangeProcessor(StatefulProcessor):
-    def __init__(self, ttl_seconds: int | None = None):
-        self.ttl_ms = None if ttl_seconds is None else ttl_seconds * 1000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", STATE)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        newest = None
-        for chunk in rows:
-            top = chunk.sort_values(["observed_at", "path", "size"], kind="stable").iloc[-1]
-            if newest is None or (top["observed_at"], top["path"], top["size"]) > (
-                    newest["observed_at"], newest["path"], newest["size"]):
-                newest = top
-        if newest is None:
+COLUMNS = [field.split()[0] for field in EVENTS.split(", ")]
+
+
+def _newest(chunks: Iterator[pd.DataFrame]):
+    """``(micros, path, size, sha256)`` of the latest row over all chunks of a key; one row is held at a time."""
+    best = None
+    for chunk in chunks:
+        times = chunk["observed_at"].to_numpy().astype("datetime64[us]").astype(np.int64)
+        for at in np.flatnonzero(times == times.max()):  # more than one only on equal times
+            sha = chunk["sha256"].iat[at]
+            row = (int(times[at]), chunk["path"].iat[at], float(chunk["size"].iat[at]), sha if isinstance(sha, str) else None)
+            if best is None or row[:3] > best[:3]:
+                best = row
+    return best
+
+
+def _tracker(ttl_ms: int | None):
+    def track(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            path, size, sha, active, micros = state.get
+            state.update((path, size, sha, False, micros))
+            if active:
+                yield _row(key[0], micros + ttl_ms * 1000, ("missing_file", False, False, True), path, path, size)
             return
-        sha = newest["sha256"] if isinstance(newest["sha256"], str) else None
-        at = pd.Timestamp(newest["observed_at"])
-        micros = at.value // 1000
-        previous = self.last.get() if self.last.exists() else None
-        if previous is not None and micros < previous[4]:
+        newest = _newest(chunks)
+        previous = state.get if state.exists else None
+        if newest is None or (previous is not None and newest[0] < previous[4]):
             return  # older than what is known
-        event = _event(previous, newest["path"], float(newest["size"]), sha)
+        micros, path, size, sha = newest
+        event = _event(previous, path, size, sha)
         kept_sha = sha if sha is not None or previous is None else previous[2]
-        self.last.update((newest["path"], float(newest["size"]), kept_sha, True, micros))
-        if self.ttl_ms is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(micros // 1000 + self.ttl_ms)
+        state.update((path, size, kept_sha, True, micros))
+        if ttl_ms is not None:
+            state.setTimeoutTimestamp(max(micros // 1000 + ttl_ms, state.getCurrentWatermarkMs() + 1))
         if event:
-            yield _row(key[0], at, event, previous and previous[0], newest["path"], float(newest["size"]))
+            yield _row(key[0], micros, event, previous and previous[0], path, size)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.last.exists():
-            return
-        path, size, sha, active, micros = self.last.get()
-        if active:
-            self.last.update((path, size, sha, False, micros))
-            at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
-            yield _row(key[0], at, ("missing_file", False, False, True), path, path, size)
-
-    def close(self) -> None:
-        pass
+    return track
 
 
 def _event(previous, path: str, size: float, sha: str | None):
@@ -80,12 +72,8 @@ def _event(previous, path: str, size: float, sha: str | None):
     return ("content_changed", False, True, False) if changed else None
 
 
-def _row(key, at, event, previous_path, path, size) -> pd.DataFrame:
-    kind, moved, changed, active = event
-    return pd.DataFrame(
-        {"file_key": [key], "observed_at": [at], "event_type": [kind], "path_changed": [moved], "content_changed": [changed],
-         "active_state_changed": [active], "previous_path": [previous_path], "path": [path], "size": [size]}
-    )
+def _row(key, micros: int, event, previous_path, path, size) -> pd.DataFrame:
+    return pd.DataFrame([(key, pd.Timestamp(micros, unit="us"), *event, previous_path, path, size)], columns=COLUMNS)
 
 
 def track_changes(observations: DataFrame, ttl_seconds: int | None = None, lateness: str = "0 seconds") -> DataFrame:
@@ -97,12 +85,11 @@ def track_changes(observations: DataFrame, ttl_seconds: int | None = None, laten
         F.col("file_key").cast("string").alias("file_key"), "path", F.col("size").cast("double").alias("size"),
         F.col("sha256").cast("string").alias("sha256"), F.col("observed_at").cast("timestamp").alias("observed_at"),
     )
-    mode = "None"
+    timeout = GroupStateTimeout.NoTimeout
     if ttl_seconds is not None:
-        typed, mode = typed.withWatermark("observed_at", lateness), "EventTime"
-    return typed.groupBy("file_key").transformWithStateInPandas(
-        ChangeProcessor(ttl_seconds), outputStructType=EVENTS, outputMode="Append", timeMode=mode
-    )
+        typed, timeout = typed.withWatermark("observed_at", lateness), GroupStateTimeout.EventTimeTimeout
+    track = _tracker(None if ttl_seconds is None else ttl_seconds * 1000)
+    return typed.groupBy("file_key").applyInPandasWithState(track, EVENTS, STATE, "append", timeout)
 
 
 def append_events(events: DataFrame, path: str, checkpoint: str):
