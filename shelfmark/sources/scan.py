@@ -41,19 +41,15 @@ def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(rows, columns=["path", "is_dir"])
 
 
-def walk(spark: SparkSession, roots: list[str], into: Callable[[str], bool] | None = None, staging: str | None = None,
-         recursive: bool = True) -> DataFrame:
-    """Absolute ``path`` of every file below ``roots``.  ``into(name)`` says which folders are entered."""
+def walk(spark: SparkSession, roots: list[str], staging: str | None = None, recursive: bool = True) -> DataFrame:
+    """Absolute ``path`` of every file below ``roots``."""
     staging = staging or os.path.join(checkpoint_root(spark), f"walk-{uuid.uuid4().hex}")
     level, frontier = 0, spark.createDataFrame([(r,) for r in roots], "path string")
-    enter = F.udf(into, "boolean") if into else None
     while True:
         target = f"{staging}/level={level}"
         width = spark.sparkContext.defaultParallelism
         frontier.repartition(width * 4 if level else width).mapInPandas(_list, ENTRY).write.mode("overwrite").parquet(target)
         found = spark.read.parquet(target).filter("is_dir")
-        if enter is not None:
-            found = found.filter(enter(F.regexp_extract("path", r"([^/\\]*)$", 1)))
         if not recursive or found.isEmpty():
             break
         level, frontier = level + 1, found.select("path")

@@ -9,53 +9,50 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 STATE = "path string, size double, sha256 string, is_active boolean, seen_us long"
-EVENTS = ("file_key string, observed_at timestamp, event_type string, path_changed boolean, content_changed boolean, "
+EVENTS = ("file_key string, observed_us long, event_type string, path_changed boolean, content_changed boolean, "
           "active_state_changed boolean, previous_path string, path string, size double")
-COLUMNS = [field.split()[0] for field in EVENTS.split(", ")]
-
-
-def _newest(chunks: Iterator[pd.DataFrame]):
-    """``(micros, path, size, sha256)`` of the latest row over all chunks of a key; one row is held at a time."""
-    best = None
-    for chunk in chunks:
-        times = chunk["observed_at"].to_numpy().astype("datetime64[us]").astype(np.int64)
-        for at in np.flatnonzero(times == times.max()):  # more than one only on equal times
-            sha = chunk["sha256"].iat[at]
-            row = (int(times[at]), chunk["path"].iat[at], float(chunk["size"].iat[at]), sha if isinstance(sha, str) else None)
-            if best is None or row[:3] > best[:3]:
-                best = row
-    return best
-
-
-def _tracker(ttl_ms: int | None):
-    def track(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            path, size, sha, active, micros = state.get
-            state.update((path, size, sha, False, micros))
-            if active:
-                yield _row(key[0], micros + ttl_ms * 1000, ("missing_file", False, False, True), path, path, size)
-            return
-        newest = _newest(chunks)
-        previous = state.get if state.exists else None
-        if newest is None or (previous is not None and newest[0] < previous[4]):
+Event = Row(*[field.split()[0] for field in EVENTS.split(", ")])
+
+
+class ChangeProcessor(StatefulProcessor):
+    """One state row per key; one read and at most one write of it per key and micro-batch."""
+
+    def __init__(self, ttl_seconds: int | None = None):
+        self.ttl_ms = None if ttl_seconds is None else ttl_seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", STATE)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        micros, path, size, sha = max((r.observed_us, r.path, r.size, r.sha256 or "") for r in rows)
+        previous = self.last.get()
+        if previous is not None and micros < previous[4]:
             return  # older than what is known
-        micros, path, size, sha = newest
-        event = _event(previous, path, size, sha)
-        kept_sha = sha if sha is not None or previous is None else previous[2]
-        state.update((path, size, kept_sha, True, micros))
-        if ttl_ms is not None:
-            state.setTimeoutTimestamp(max(micros // 1000 + ttl_ms, state.getCurrentWatermarkMs() + 1))
+        event = _event(previous, path, size, sha or None)
+        kept_sha = sha or (previous[2] if previous is not None else None)
+        self.last.update((path, size, kept_sha, True, micros))
+        if self.ttl_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(micros // 1000 + self.ttl_ms)
         if event:
-            yield _row(key[0], micros, event, previous and previous[0], path, size)
+            yield Event(key[0], micros, *event, previous[0] if previous is not None else None, path, size)
 
-    return track
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        previous = self.last.get()
+        if previous is not None and previous[3]:
+            path, size, sha, _, micros = previous
+            self.last.update((path, size, sha, False, micros))
+            yield Event(key[0], expiredTimerInfo.getExpiryTimeInMs() * 1000, "missing_file", False, False, True, path, path, size)
+
+    def close(self) -> None:
+        pass
 
 
 def _event(previous, path: str, size: float, sha: str | None):
@@ -72,10 +69,6 @@ def _event(previous, path: str, size: float, sha: str | None):
     return ("content_changed", False, True, False) if changed else None
 
 
-def _row(key, micros: int, event, previous_path, path, size) -> pd.DataFrame:
-    return pd.DataFrame([(key, pd.Timestamp(micros, unit="us"), *event, previous_path, path, size)], columns=COLUMNS)
-
-
 def track_changes(observations: DataFrame, ttl_seconds: int | None = None, lateness: str = "0 seconds") -> DataFrame:
     """Change events of a stream with ``file_key, path, size, sha256, observed_at``.
 
@@ -85,11 +78,14 @@ def track_changes(observations: DataFrame, ttl_seconds: int | None = None, laten
         F.col("file_key").cast("string").alias("file_key"), "path", F.col("size").cast("double").alias("size"),
         F.col("sha256").cast("string").alias("sha256"), F.col("observed_at").cast("timestamp").alias("observed_at"),
     )
-    timeout = GroupStateTimeout.NoTimeout
+    mode = "None"
     if ttl_seconds is not None:
-        typed, timeout = typed.withWatermark("observed_at", lateness), GroupStateTimeout.EventTimeTimeout
-    track = _tracker(None if ttl_seconds is None else ttl_seconds * 1000)
-    return typed.groupBy("file_key").applyInPandasWithState(track, EVENTS, STATE, "append", timeout)
+        typed, mode = typed.withWatermark("observed_at", lateness), "EventTime"
+    keyed = typed.withColumn("observed_us", F.unix_micros("observed_at"))
+    events = keyed.groupBy("file_key").transformWithState(
+        ChangeProcessor(ttl_seconds), outputStructType=EVENTS, outputMode="Append", timeMode=mode
+    )
+    return events.withColumn("observed_at", F.timestamp_micros("observed_us")).drop("observed_us")
 
 
 def append_events(events: DataFrame, path: str, checkpoint: str):
