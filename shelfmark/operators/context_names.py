@@ -55,20 +55,22 @@ def _with_terms(files: DataFrame, k: int = LIMIT) -> DataFrame:
 def ranked_terms(files: DataFrame, content: str, k: int = LIMIT) -> DataFrame:
     """``(path, terms)``: the ``k`` heaviest terms of each file by weight, then first appearance, then term.
 
-    Files are distributed by path once; the term counts and the ranking reuse that partitioning.
+    Files are distributed by path once, as text, before it is cut into words; the term counts and the ranking reuse that
+    partitioning.
     """
     context, ext = _words(_context()), _words(F.col("ext"))
     said, around = F.size("_content"), F.size("_content") + F.size("_context")
     placed = (
-        files.select("path", _words(F.col(content)).alias("_content"), context.alias("_context"), ext.alias("_ext"))
+        files.select("path", "dirs", "stem", "ext", content)
+        .repartition("path")
+        .select("path", _words(F.col(content)).alias("_content"), context.alias("_context"), ext.alias("_ext"))
         .select("path", said.alias("_n"), around.alias("_m"), F.concat("_content", "_context", "_ext").alias("_all"))
     )
     weight = F.when(F.col("pos") < F.col("_n"), WEIGHTS["content"]).when(F.col("pos") < F.col("_m"), WEIGHTS["context"]).otherwise(
         WEIGHTS["ext"]
     )
     terms = (
-        placed.repartition("path")
-        .select("path", "_n", "_m", F.posexplode("_all").alias("pos", "term"))
+        placed.select("path", "_n", "_m", F.posexplode("_all").alias("pos", "term"))
         .filter((F.length("term") >= 3) & ~F.col("term").isin(V.CONTEXT_STOPWORDS))
         .groupBy("path", "term")
         .agg(F.sum(weight).alias("w"), F.min("pos").alias("p"))

@@ -44,11 +44,12 @@ def unit_folders(inventory: DataFrame) -> DataFrame:
     # No filter on the depth: it would be pushed below the distinct and tested for every file.  NO_ROOT matches no folder.
     root = F.when(depth > 0, F.array_join(F.slice("_dirs", F.lit(1), depth), "/"))
     roots = folders.select(F.coalesce(root, F.lit(NO_ROOT)).alias("folder")).distinct()
-    return (
-        folders.select("dir", F.inline(P.ancestors(F.col("_dirs"))))
-        .join(roots, "folder")
-        .groupBy("dir")
-        .agg(F.min_by("folder", "depth").alias("unit"))
+    # A root is a prefix of the folder, so its depth says it all and the aggregate stays a hash aggregate on integers.
+    shallowest = folders.select("dir", F.inline(P.ancestors(F.col("_dirs")))).join(roots, "folder").groupBy("dir").agg(
+        F.min("depth").alias("_depth")
+    )
+    return shallowest.select(
+        "dir", F.array_join(F.slice(P.dirs_of(F.col("dir")), F.lit(1), F.col("_depth")), "/").alias("unit")
     )
 
 

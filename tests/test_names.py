@@ -111,6 +111,14 @@ def test_light_clean_up_and_roles(spark):
         "GATE admit card form.pdf": "Admit_Form_AdmitCard_GATE",                 # roles: topic, type, issuer
         "steel design vs code book 7.pdf": "SteelDesign_vs_Code_BOOK7",  # a word of up to four letters takes its number before phrases are joined
     }
+    cases.update({
+        "Lecture 5 fluid mechanics (1).pdf": None,                               # only a benign suffix on a title
+        "Site Layout Springfield rev 2.dwg": "Site_Layout_Springfield_REV2",     # light: technical extension, number joined
+        # too many parts for a light clean-up; roles of the study class: five topic chunks, type, version
+        "Complete structural analysis and design notes volume part 3 of revised set.pdf":
+            "Complete_Structural_Analysis_Design_Volume_Notes_Part3",
+        "Artist - Song title (2).mp3": None,                                     # a media title with a benign suffix
+    })
     got = standard(spark, cases)
     assert {n: got[n]["proposed_base"] for n in cases} == cases
 
