@@ -16,9 +16,10 @@ CASES = ("current_name string, parent_path string, extension string, text_excerp
 TRUTH = "path string, bucket string, tag string"
 
 
-def read_inventory_csv(spark: SparkSession, path: str) -> DataFrame:
-    # Names may hold line breaks, so records are not lines: multiLine, which costs file splitting; parquet has no such limit.
-    return spark.read.schema(INVENTORY).csv(path, header=True, multiLine=True, quote='"', escape='"')
+def read_inventory_csv(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
+    """Names may hold line breaks, so a record is not a line and a file is one task.  Without them (``line_breaks=False``) large
+    files are split; very large inventories belong in parquet anyway."""
+    return spark.read.schema(INVENTORY).csv(path, header=True, multiLine=line_breaks, quote='"', escape='"')
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

@@ -21,15 +21,15 @@ PACKAGED = D.sql_list(NOISE.packaging + NOISE.format)
 CLUSTER = f"""coalesce(nullif(array_to_string(list_slice(list_filter(list_transform(dirs, lambda d:
   array_to_string(list_slice(list_filter({_tok(x='d')}, lambda t: t NOT IN {D.sql_list(NOISE.path_scaffolding)}), 1, 2), '_')),
   lambda m: m <> ''), 1, 3), ' > '), ''), 'root')"""
-FILES = f"""{ALL_PARTS}, toks AS (SELECT path, base, ext, {_tok(x='stem')} AS fn,
+FILES = f"""{ALL_PARTS}, toks AS (SELECT row_number() OVER () AS fid, path, base, ext, {_tok(x='stem')} AS fn,
   CASE WHEN len(dirs) > 0 THEN {_tok(x='dirs[len(dirs)]')} ELSE [] END AS pa,
   {_tok(x="coalesce(array_to_string(list_slice(dirs, 1, len(dirs) - 1), '/'), '')")} AS hi, {CLUSTER} AS cluster FROM parts),
 files AS (SELECT *, list_sort(list_distinct(list_concat({_tok(x='ext')}, list_filter(list_concat(list_concat(fn, pa), hi),
   lambda t: t IN {PACKAGED})))) AS fp FROM toks)"""
-OCC = f"""{FILES}, occ AS (SELECT path, base, cluster, 'filename' AS src, unnest(fn) AS term FROM files
- UNION ALL SELECT path, base, cluster, 'parent', unnest(pa) FROM files
- UNION ALL SELECT path, base, cluster, 'higher_path', unnest(hi) FROM files
- UNION ALL SELECT path, base, cluster, 'format_package', unnest(fp) FROM files)"""
+OCC = f"""{FILES}, occ AS (SELECT fid, path, base, cluster, 'filename' AS src, unnest(fn) AS term FROM files
+ UNION ALL SELECT fid, path, base, cluster, 'parent', unnest(pa) FROM files
+ UNION ALL SELECT fid, path, base, cluster, 'higher_path', unnest(hi) FROM files
+ UNION ALL SELECT fid, path, base, cluster, 'format_package', unnest(fp) FROM files)"""
 
 
 def _grams(tokens: str) -> str:
@@ -41,9 +41,9 @@ def _grams(tokens: str) -> str:
 
 
 PHRASES = f"""{FILES}, around AS (SELECT *, list_concat(pa, hi) AS ar FROM files),
-pocc AS (SELECT path, base, cluster, 'phrase_filename' AS src, unnest({_grams('fn')}) AS term FROM around
- UNION ALL SELECT path, base, cluster, 'phrase_path', unnest({_grams('ar')}) FROM around)"""
-BUNDLES = f"""refs AS (SELECT DISTINCT path, cluster, src, term FROM occ),
+pocc AS (SELECT fid, path, base, cluster, 'phrase_filename' AS src, unnest({_grams('fn')}) AS term FROM around
+ UNION ALL SELECT fid, path, base, cluster, 'phrase_path', unnest({_grams('ar')}) FROM around)"""
+BUNDLES = f"""refs AS (SELECT DISTINCT fid, cluster, src, term FROM occ),
 bundles AS (SELECT cluster, count(*) AS refs, count(*) FILTER (term IN {D.sql_list(V.BUNDLE_MARKERS)}) AS packaging_refs FROM refs GROUP BY cluster),
 flagged AS (SELECT *, refs >= 40 AND packaging_refs / refs >= 0.18 AS is_bundle FROM bundles)"""
 
@@ -58,7 +58,7 @@ def _weights(occ: str, weights: dict[str, float], kind: str) -> str:
       WHEN share >= 0.6 AND n_higher_path / mentions >= 0.4 THEN 0.45 ELSE 1 END"""
     single = kind == "single"
     return f"""tot AS (SELECT count(*) AS nf, count(DISTINCT cluster) AS nc FROM files),
-pres AS (SELECT term, count(DISTINCT path) AS file_presence, count(DISTINCT cluster) AS cluster_presence FROM {occ} GROUP BY term),
+pres AS (SELECT term, count(DISTINCT fid) AS file_presence, count(DISTINCT cluster) AS cluster_presence FROM {occ} GROUP BY term),
 inb AS (SELECT term, count(*) AS nb FROM (SELECT DISTINCT term, cluster FROM {occ}) JOIN flagged USING (cluster) WHERE is_bundle GROUP BY term),
 counts AS (SELECT term, {sums}, count(*) AS mentions FROM {occ} GROUP BY term),
 st AS (SELECT *, ({raw}) AS raw, coalesce(nb, 0) / cluster_presence AS share, 1 - cluster_presence / (nc + 1) AS conc,
@@ -148,12 +148,12 @@ ORACLES = {
  cluster AS cluster_root FROM files""",
     "path_phrases": f"""WITH {FILES}, around AS (SELECT *, list_concat(pa, hi) AS ar FROM files)
  SELECT path, coalesce(array_to_string({_grams('fn')}, ';'), '') AS name_phrases, coalesce(array_to_string({_grams('ar')}, ';'), '') AS path_phrases FROM around""",
-    "raw_terms": f"WITH {OCC} SELECT term, count(DISTINCT path) AS files FROM occ GROUP BY term",
+    "raw_terms": f"WITH {OCC} SELECT term, count(DISTINCT fid) AS files FROM occ GROUP BY term",
     "bundle_clusters": f"""WITH {OCC}, {BUNDLES} SELECT cluster AS cluster_root, refs, packaging_refs, round(packaging_refs / refs, 6) AS packaging_ratio,
  is_bundle FROM flagged""",
     "term_evidence": f"WITH {_single} FROM w",
     "phrase_evidence": f"WITH {_phrase} FROM w",
-    "term_samples": f"""WITH {OCC}, d AS (SELECT DISTINCT term, path, base FROM occ),
+    "term_samples": f"""WITH {OCC}, d AS (SELECT DISTINCT fid, term, path, base FROM occ),
  r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY path) AS rk FROM d), n AS (SELECT term, count(*) AS files FROM d GROUP BY term)
  SELECT term, any_value(files) AS files, string_agg(path, ' || ' ORDER BY rk) AS sample_paths, string_agg(base, ' || ' ORDER BY rk) AS sample_files
  FROM r JOIN n USING (term) WHERE rk <= 3 GROUP BY term""",
