@@ -32,9 +32,11 @@ def d_gate(g: np.ndarray) -> np.ndarray:
     return 0.5 * (1 - np.abs(2 * g - 1)) ** 2
 
 
-def _scatter(target: np.ndarray, symbols: np.ndarray, values: np.ndarray) -> None:
-    for k in range(values.shape[1]):
-        target[:, k] += np.bincount(symbols, values[:, k], len(target))
+def _scatter(target: np.ndarray, symbols: list[np.ndarray], values: list[np.ndarray]) -> None:
+    """Adds the gradients of all time steps to the rows of the symbols they belong to."""
+    joined, places = np.concatenate(values), np.concatenate(symbols)
+    for k in range(target.shape[1]):
+        target[:, k] += np.bincount(places, joined[:, k], len(target))
 
 
 class GRU:
@@ -76,6 +78,7 @@ class GRU:
     @staticmethod
     def back_pass(p: dict, kept: list, d_states: np.ndarray, grads: dict) -> None:
         dh = np.zeros_like(d_states[0])
+        seen = {k: [] for k in "zrc"}
         for (x, h, z, r, c), d in zip(reversed(kept), reversed(d_states), strict=True):
             dh = dh + d
             dc = dh * z * d_softsign(c)
@@ -83,9 +86,11 @@ class GRU:
             drh = dc @ p["Uc"].T
             dr = drh * h * d_gate(r)
             for name, value, left in (("z", dz, h), ("r", dr, h), ("c", dc, r * h)):
-                _scatter(grads["E" + name], x, value)
+                seen[name].append(value)
                 grads["U" + name] += left.T @ value
             dh = dh * (1 - z) + drh * r + dz @ p["Uz"].T + dr @ p["Ur"].T
+        for name, values in seen.items():
+            _scatter(grads["E" + name], [x for x, *_ in reversed(kept)], values)
 
 
 class LSTM:
@@ -124,16 +129,19 @@ class LSTM:
     def back_pass(cls, p: dict, kept: list, d_states: np.ndarray, grads: dict) -> None:
         dh = np.zeros_like(d_states[0])
         dc = np.zeros_like(dh)
+        seen = {k: [] for k in cls.GATES}
         for (x, h, c, i, f, o, g, s), d in zip(reversed(kept), reversed(d_states), strict=True):
             dh = dh + d
             dc = dc + dh * o * d_softsign(s)
             parts = {"i": dc * g * d_gate(i), "f": dc * c * d_gate(f), "o": dh * s * d_gate(o), "g": dc * i * d_softsign(g)}
             dh = np.zeros_like(dh)
             for name, value in parts.items():
-                _scatter(grads["E" + name], x, value)
+                seen[name].append(value)
                 grads["U" + name] += h.T @ value
                 dh += value @ p["U" + name].T
             dc = dc * f
+        for name, values in seen.items():
+            _scatter(grads["E" + name], [x for x, *_ in reversed(kept)], values)
 
 
 class BiRNN:
