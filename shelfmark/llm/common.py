@@ -50,25 +50,24 @@ def byte_slices(column: pa.Array, limit: int = SLICE_BYTES):
         first = last
 
 
-def bits_of(frame: DataFrame, column: str, log2_bits: int = 22) -> np.ndarray:
-    """A one-hash Bloom filter of a long column: 2**log2_bits bits, whatever the number of rows (512 KB by default).
+def bits_of(slots: DataFrame, log2_bits: int = 22) -> np.ndarray:
+    """A one-hash Bloom filter: 2**log2_bits bits (512 KB by default) of the column `slot`, whatever the number of rows.
 
     The bits are merged by an aggregate with map-side combine into 2**(log2_bits - 6) words, so what reaches the driver and the
     workers has a fixed size.  It only saves work: rows that pass are joined exactly.
     """
-    slot = F.pmod(F.xxhash64(F.col(column)), F.lit(1 << log2_bits))
     words = (
-        frame.where(F.col(column).isNotNull())
-        .select(F.shiftright(slot, 6).alias("w"), F.expr("1L").alias("one"), F.pmod(slot, F.lit(64)).cast("int").alias("s"))
+        slots.where(F.col("slot").isNotNull())
+        .select(F.shiftright("slot", 6).alias("w"), F.expr("1L").alias("one"), F.pmod("slot", F.lit(64)).cast("int").alias("s"))
         .groupBy("w").agg(F.bit_or(F.expr("shiftleft(one, s)")).alias("v"))
     )
     out = np.zeros(1 << (log2_bits - 6), np.int64)
-    for row in words.toLocalIterator():
+    for row in words.collect():
         out[row.w] = row.v
     return out.view(np.uint64)
 
 
 def bit_test(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    """Whether the bit of each slot (``pmod(xxhash64(value), n_bits)``, computed by Spark) is set."""
+    """Whether the bit of each slot is set."""
     slots = slots.astype(np.uint64)
     return (bits[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1) == 1

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import op1_query, op2_query, op3_query, op9_query
+from shelfmark.llm import op1_query, op2_query, op3_query, op8_query, op9_query
 
-MODULES = (op1_query, op2_query, op3_query, op9_query)
+MODULES = (op1_query, op2_query, op3_query, op8_query, op9_query)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
