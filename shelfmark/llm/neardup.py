@@ -2,10 +2,11 @@
 
 A document is the weighted set of its runs of five words (of all its words if it has fewer), weighted by how often they occur.
 Documents with equal sets are one node from the start, so exact copies cost nothing later.  In each band's bucket every node is
-compared with the bucket's pivot (its smallest node), never with all others: pairs are checked exactly on the shingles, nodes that
-are no match of the pivot stay for the next round with eight times as many pivots, until no bucket has such nodes left.  A pair of
-similarity 0.8 shares none of the 32 bands of five coordinates with a probability of 3 in a million.  Two nodes that match the same
-pivot are in one class without being compared.
+compared with the bucket's pivot (its smallest node), never with all others: pairs are checked exactly on the shingles.  Nodes that
+do not match the pivot stay for the next round, with eight times as many pivots, and so do matched nodes that one of them could still
+match by the triangle inequality; this ends when no bucket has an unmatched node left.  Two nodes that match the same pivot are in
+one class without being compared.  A pair of similarity 0.8 shares none of the 32 bands of five coordinates with a probability of 3
+in a million.
 
 Defined results: a null text is a class of its own; texts without words are copies if they are equal; repeated rows belong to one
 class; the class id is the smallest doc_id of the class (null ids only where no other is there); extra columns are ignored.
@@ -115,18 +116,22 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a binary, b binary, sim double")
 
 
+def _ordered(left: str, right: str):
+    return F.least(left, right).alias("a"), F.greatest(left, right).alias("b")
+
+
 def links(documents: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """a, b: checked matches that join the nodes of every class.  nodes: node, doc_id (one of its documents), keys."""
-    rows = nodes.where("keys is not null").select("node", F.explode("keys").alias("key"))
+    rows = nodes.where("keys is not null").select("node", F.explode("keys").alias("key"), F.lit(False).alias("matched"))
     found, sets, slots = None, None, 1
     while True:
         slot = F.pmod(F.xxhash64("node", F.lit(slots)), F.lit(slots))
         pivots = rows.groupBy("key", slot.alias("slot")).agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n"))
         if slots == 1:
             pivots = pivots.where("n > 1")
-        near = rows.join(pivots.select("key", "pivot"), "key").where("node != pivot").select("key", "node", "pivot")
-        near = materialise(near, "near")
-        pairs = materialise(near.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "pairs")
+        near = rows.join(pivots.select("key", "pivot"), "key").where("node != pivot")
+        near = materialise(near.select("key", "node", "matched", *_ordered("node", "pivot")), "near")
+        pairs = materialise(near.select("a", "b").distinct(), "pairs")
         if sets is None:
             used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
             wanted = materialise(nodes.select("doc_id", "node").join(used, "node", "left_semi"), "wanted")
@@ -134,16 +139,17 @@ def links(documents: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD)
         checked = materialise(_checked(pairs, sets), "checked")
         match = checked.where(F.col("sim") >= threshold).select("a", "b")
         found = match if found is None else found.union(match)
-        # nodes that are neither pivots of a bucket nor matched by one of them go on
-        state = near.select("key", "node", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        tried = state.join(checked, ["a", "b"]).groupBy("key", "node").agg(F.max("sim").alias("sim"))
-        rest = tried.where(F.col("sim") < threshold).select("key", "node")
-        if slots > 1:
-            rest = rest.join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
-        rows = materialise(rest, "rest")
+        tried = near.join(checked, ["a", "b"]).groupBy("key", "node").agg(F.max("sim").alias("sim"), F.max("matched").alias("matched"))
+        if slots > 1:  # pivots have met everything in their bucket
+            tried = tried.join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
+        tried = tried.withColumn("matched", F.col("matched") | (F.col("sim") >= threshold))
+        open_keys = tried.where("not matched").groupBy("key").agg(F.max("sim").alias("top"))
+        # 1 - similarity is a distance, so a matched node closer to the pivot than this matches no node that is still open
+        reach = F.lit(slots > 1) | ~F.col("matched") | (1 - F.col("sim") >= (1 - F.col("top")) - (1 - threshold) - 1e-9)
+        rows = materialise(tried.join(open_keys, "key").where(reach).select("node", "key", "matched"), "rest")
         if is_empty(rows):
             return found
-        slots = 8 if slots == 1 else slots * 8
+        slots *= 8
 
 
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
