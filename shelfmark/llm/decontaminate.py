@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark.llm.common import bit_test, bits_of, byte_slices, materialise
 from shelfmark.llm.words import run_hashes, word_hashes, word_spans
@@ -92,14 +93,14 @@ def prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
     return rarest.select("rarest.h", "rarest.at", "size", "content", "item_id")
 
 
-def candidates(documents: DataFrame, bits: np.ndarray | None, lengths: list[int], window: int) -> DataFrame:
-    """doc_id, n_words, found array<struct<h, pos, from, words>>: prefixes with the words that any window around them can have."""
+def candidates(documents: DataFrame, bits: np.ndarray | None, lengths: list[int], window: int, keep: list[str]) -> DataFrame:
+    """The kept columns, n_words, found array<struct<h, pos, from, words>>: prefixes with the words that any window around them can have."""
     kind = pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int64()), ("from", pa.int64()), ("words", pa.string())]))
 
     def run(batches):
         for batch in batches:
             n_words, found = [], []
-            for _, offsets, data in byte_slices(batch.column(1), SLICE):
+            for _, offsets, data in byte_slices(batch.column(len(keep)), SLICE):
                 low, starts, ends, firsts = word_spans(offsets, data)
                 here = [[] for _ in range(len(offsets) - 1)]
                 for hashes, at, rows in _matches(bits, low, starts, ends, firsts, lengths) if bits is not None else ():
@@ -109,26 +110,29 @@ def candidates(documents: DataFrame, bits: np.ndarray | None, lengths: list[int]
                         here[row].append({"h": h, "pos": p - int(firsts[row]), "from": int(first - firsts[row]), "words": words})
                 n_words += np.diff(firsts).tolist()
                 found += here
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(found, kind)], ["doc_id", "n_words", "found"])
+            columns = [*batch.columns[: len(keep)], pa.array(n_words, pa.int64()), pa.array(found, kind)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_words", "found"])
 
-    rows = documents.select("doc_id", F.col("text").cast("binary").alias("t"))
-    schema = "doc_id long, n_words long, found array<struct<h:long,pos:long,from:long,words:string>>"
+    rows = documents.select(*keep, F.col("text").cast("binary").alias("_bytes"))
+    one = T.StructType([T.StructField(x, T.LongType()) for x in ("h", "pos", "from")] + [T.StructField("words", T.StringType())])
+    schema = documents.select(*keep).schema.add("n_words", T.LongType()).add("found", T.ArrayType(one))
     return rows.mapInArrow(run, schema)
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row a document row: doc_id, n_words, n_hit, items (sorted ids as strings), contaminated."""
+def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
+    """One row a document row: the kept columns (default doc_id), n_words, n_hit, items (sorted ids as strings), contaminated."""
+    keep = ["doc_id"] if keep is None else keep
     windows = materialise(item_windows(benchmark, window), "item-windows")
     lengths = [row.n for row in windows.select(F.least("size", F.lit(SHINGLE)).alias("n")).distinct().collect()]
     none = F.array().cast("array<string>")
     if not lengths:
-        clean = candidates(documents, None, [], window)
-        return clean.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), none.alias("items"), F.lit(False).alias("contaminated"))
+        clean = candidates(documents, None, [], window, keep)
+        return clean.select(*keep, "n_words", F.lit(0).cast("long").alias("n_hit"), none.alias("items"), F.lit(False).alias("contaminated"))
     every = windows.select(F.explode("shingles").alias("h"))
     counts = shingle_counts(documents, bits_of(every.select(_slot("h").alias("slot")), LOG2_BITS), lengths)
     prefix = materialise(prefixes(windows, counts), "prefixes")
     bits = bits_of(prefix.select(_slot("h").alias("slot")), LOG2_BITS)
-    found = candidates(documents, bits, lengths, window).withColumn("row", F.monotonically_increasing_id())
+    found = candidates(documents, bits, lengths, window, keep).withColumn("row", F.monotonically_increasing_id())
     found = materialise(found, "candidates")
     each = found.where(F.size("found") > 0).select("row", "n_words", F.explode("found").alias("c")).select("row", "n_words", "c.*")
     start = F.col("pos") - F.col("at")
@@ -143,6 +147,6 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     covered = hits.select("row", "start", "size").distinct().select("row", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("p"))
     n_hit = covered.distinct().groupBy("row").agg(F.count(F.lit(1)).alias("n_hit"))
     items = hits.select("row", F.col("item_id").cast("string").alias("item")).distinct().groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    out = found.select("row", "doc_id", "n_words").join(n_hit.join(items, "row"), "row", "left")
+    out = found.select("row", *keep, "n_words").join(n_hit.join(items, "row"), "row", "left")
     n = F.coalesce("n_hit", F.lit(0))
-    return out.select("doc_id", "n_words", n.alias("n_hit"), F.coalesce("items", none).alias("items"), (n > 0).alias("contaminated"))
+    return out.select(*keep, "n_words", n.alias("n_hit"), F.coalesce("items", none).alias("items"), (n > 0).alias("contaminated"))

@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark.llm.common import byte_slices
 from shelfmark.llm.recurrent import GRU, BiRNN
@@ -110,36 +111,40 @@ def pooled(model: BiRNN, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     return out / np.maximum(letters, 1)[:, None]
 
 
-def predict(frame: DataFrame, languages: list[str], model: BiRNN | None) -> DataFrame:
-    """doc_id, lang_pred, score for every row, from its whole text."""
+def predict(frame: DataFrame, languages: list[str], model: BiRNN | None, keep: list[str]) -> DataFrame:
+    """The kept columns, lang_pred, score for every row, from its whole text."""
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = frame.select("doc_id", F.col("text").cast("binary").alias("t"), has_letter.alias("has_letter"))
+    rows = frame.select(*keep, has_letter.alias("_letter"), F.col("text").cast("binary").alias("_bytes"))
+    schema = frame.select(*keep).schema.add("lang_pred", T.StringType()).add("score", T.DoubleType())
 
     def run(batches):
         for batch in batches:
             found, score = [], []
-            for first, offsets, data in byte_slices(batch.column(1), SLICE):
+            for first, offsets, data in byte_slices(batch.column(len(keep) + 1), SLICE):
                 rows_here = len(offsets) - 1
-                letters = batch.column(2).slice(first, rows_here).to_numpy(zero_copy_only=False)
+                letters = batch.column(len(keep)).slice(first, rows_here).to_numpy(zero_copy_only=False)
                 p = pooled(model, offsets, data) if model is not None and len(data) else np.zeros((rows_here, 1))
                 best = p.argmax(1)
                 known = letters & (p.max(1) > 0)
                 found += [languages[k] if ok else "und" for k, ok in zip(best, known, strict=True)]
                 score += [min(1.0, float(x)) if ok else 0.0 for x, ok in zip(p.max(1), known, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), pa.array(score, pa.float64())],
-                                             ["doc_id", "lang_pred", "score"])
+            columns = [*batch.columns[: len(keep)], pa.array(found, pa.string()), pa.array(score, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1
 
 
-def identify(documents: DataFrame, training: DataFrame | None = None) -> DataFrame:
-    """Learns from the rows of `training` (default: `documents`) that are not held out, then labels every row of `documents`."""
-    training = documents if training is None else training
-    labelled = training.where(~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
+def label_rows(documents: DataFrame, keep: list[str]) -> DataFrame:
+    """The kept columns, lang_pred and score of every row; learns from the rows that are not held out."""
+    labelled = documents.where(~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
     languages, model = fit(training_pieces(labelled))
-    out = predict(documents, languages, model)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return predict(documents, languages, model, keep)
+
+
+def identify(documents: DataFrame) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every row."""
+    return label_rows(documents, ["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -2,11 +2,12 @@
 
 A document is the weighted set of its runs of five words (of all its words if it has fewer), weighted by how often they occur.
 Documents with equal sets are one node from the start, so exact copies cost nothing later.  In each band's bucket every node is
-compared with the bucket's pivot (its smallest node), never with all others: pairs are checked exactly on the shingles.  Nodes that
-do not match the pivot stay for the next round, with eight times as many pivots, and so do matched nodes that one of them could still
-match by the triangle inequality; this ends when no bucket has an unmatched node left.  Two nodes that match the same pivot are in
-one class without being compared.  A pair of similarity 0.8 shares none of the 32 bands of five coordinates with a probability of 3
-in a million.
+compared with the bucket's pivot, never with all others; pivots are the nodes that share most buckets, the middle of a group of near
+copies.  Pairs are checked exactly on the shingles and give classes.  Nodes that are not in the class of their pivot go on: first with
+a second pivot, then with the members of other classes in the bucket.  Before that, nodes are left out whose match with any other is
+impossible: a node can have no more in common with another than the shingles that others have too, so one that has edits of its own in
+over a fifth of its shingles matches nothing, and so does a pair whose sizes leave too little.  A pair of similarity 0.8 shares none of
+the 32 bands of five coordinates with a probability of 3 in a million.
 
 Defined results: a null text is a class of its own; texts without words are copies if they are equal; repeated rows belong to one
 class; the class id is the smallest doc_id of the class (null ids only where no other is there); extra columns are ignored.
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark.llm.common import bit_test, bits_of, byte_slices, is_empty, materialise
 from shelfmark.llm.components import components
@@ -52,14 +54,15 @@ def _name(text: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> bytes:
     return hashlib.blake2b(content, digest_size=16).digest()
 
 
-def signed(documents: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, node (16 bytes, null for a null text), keys (one bucket key a band; null without words)."""
+def signed(documents: DataFrame, keep: list[str], bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The kept columns, node (16 bytes, null for a null text), keys (one bucket key a band; null without words)."""
 
     def run(batches):
         for batch in batches:
-            null = batch.column(1).is_null().to_pylist()
+            texts = batch.column(len(keep))
+            null = texts.is_null().to_pylist()
             nodes, buckets = [], []
-            for row, text, keys, counts in shingle_sets(batch.column(1)):
+            for row, text, keys, counts in shingle_sets(texts):
                 nodes.append(None if null[row] else _name(text, keys, counts))
                 if not len(keys):
                     buckets.append(None)
@@ -69,11 +72,12 @@ def signed(documents: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFr
                 for k in range(rows):
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, k])
                 buckets.append(key.view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], ["doc_id", "node", "keys"])
+            columns = [*batch.columns[: len(keep)], pa.array(nodes, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "node", "keys"])
 
-    rows_in = documents.select("doc_id", F.col("text").cast("binary").alias("t"))
-    return rows_in.mapInArrow(run, "doc_id long, node binary, keys array<long>")
+    rows_in = documents.select(*keep, F.col("text").cast("binary").alias("_bytes"))
+    schema = documents.select(*keep).schema.add("node", T.BinaryType()).add("keys", T.ArrayType(T.LongType()))
+    return rows_in.mapInArrow(run, schema)
 
 
 def _sets_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -120,41 +124,65 @@ def _ordered(left: str, right: str):
     return F.least(left, right).alias("a"), F.greatest(left, right).alias("b")
 
 
-def links(documents: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """a, b: checked matches that join the nodes of every class.  nodes: node, doc_id (one of its documents), keys."""
-    rows = nodes.where("keys is not null").select("node", F.explode("keys").alias("key"), F.lit(False).alias("matched"))
-    found, sets, slots = None, None, 1
-    while True:
-        slot = F.pmod(F.xxhash64("node", F.lit(slots)), F.lit(slots))
-        pivots = rows.groupBy("key", slot.alias("slot")).agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n"))
-        if slots == 1:
-            pivots = pivots.where("n > 1")
-        near = rows.join(pivots.select("key", "pivot"), "key").where("node != pivot")
-        near = materialise(near.select("key", "node", "matched", *_ordered("node", "pivot")), "near")
-        pairs = materialise(near.select("a", "b").distinct(), "pairs")
-        if sets is None:
-            used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-            wanted = materialise(nodes.select("doc_id", "node").join(used, "node", "left_semi"), "wanted")
-            sets = materialise(_sets_of(documents, wanted), "sets")
-        checked = materialise(_checked(pairs, sets), "checked")
-        match = checked.where(F.col("sim") >= threshold).select("a", "b")
-        found = match if found is None else found.union(match)
-        tried = near.join(checked, ["a", "b"]).groupBy("key", "node").agg(F.max("sim").alias("sim"), F.max("matched").alias("matched"))
-        if slots > 1:  # pivots have met everything in their bucket
-            tried = tried.join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
-        tried = tried.withColumn("matched", F.col("matched") | (F.col("sim") >= threshold))
-        open_keys = tried.where("not matched").groupBy("key").agg(F.max("sim").alias("top"))
-        # 1 - similarity is a distance, so a matched node closer to the pivot than this matches no node that is still open
-        reach = F.lit(slots > 1) | ~F.col("matched") | (1 - F.col("sim") >= (1 - F.col("top")) - (1 - threshold) - 1e-9)
-        rows = materialise(tried.join(open_keys, "key").where(reach).select("node", "key", "matched"), "rest")
-        if is_empty(rows):
-            return found
-        slots *= 8
+def _open_rows(near: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose node is not in the class of its bucket's pivot, and the classes."""
+    labels = components(found)
+    own = near.join(labels.withColumnRenamed("label", "own"), "node", "left")
+    other = labels.select(F.col("node").alias("pivot"), F.col("label").alias("other"))
+    apart = own.join(other, "pivot", "left").where(F.coalesce("own", "node") != F.coalesce("other", "pivot"))
+    return apart.select("key", "node", "weight"), labels
+
 
+def _shared(sets: DataFrame, used: DataFrame) -> DataFrame:
+    """node, size (of its set), common (size of the part that other used nodes have too)."""
+    mine = sets.join(used.select("node").distinct(), "node", "left_semi")
+    size = F.aggregate("counts", F.lit(0), lambda x, y: x + y)
+    mine = mine.select("node", size.alias("size"), F.arrays_zip("shingles", "counts").alias("z"))
+    each = mine.select("node", F.explode("z").alias("z")).select("node", "z.shingles", "z.counts")
+    alone = each.groupBy("shingles").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.min("counts").alias("w")).where("n = 1")
+    lost = alone.groupBy("node").agg(F.sum("w").alias("lost"))
+    return mine.select("node", "size").join(lost, "node", "left").select("node", "size", (F.col("size") - F.coalesce("lost", F.lit(0))).alias("common"))
 
-def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id, n_links (checked matches of its text with other texts) for every row."""
-    rows = materialise(signed(documents), "signed")
+
+def links(documents: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, rounds: int = 2) -> DataFrame:
+    """a, b: checked matches that join the nodes of every class.  nodes: node, doc_id (one of its documents), keys."""
+    rows = nodes.where("keys is not null").select("node", F.explode("keys").alias("key"))
+    full = rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
+    full = materialise(full, "buckets")
+    weight = full.groupBy("node").agg(F.sum("n").alias("weight"))
+    full = materialise(full.select("key", "node").join(weight, "node"), "weighted")
+    used = full.select("node").distinct()
+    wanted = materialise(nodes.select("doc_id", "node").join(used, "node", "left_semi"), "wanted")
+    sets = materialise(_sets_of(documents, wanted), "sets")
+    open_rows, found, shared = full, None, None
+    for _ in range(rounds):
+        pivots = open_rows.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top")).select("key", F.col("top.node").alias("pivot"))
+        near = materialise(open_rows.join(pivots, "key").where("node != pivot"), "near")
+        pairs = near.select(*_ordered("node", "pivot")).distinct()
+        match = _checked(pairs, sets).where(F.col("sim") >= threshold).select("a", "b")
+        found = materialise(match if found is None else found.union(match), "found")
+        open_rows, labels = _open_rows(near, found)
+        open_rows = materialise(open_rows, "open")
+        if is_empty(open_rows):
+            return found
+        if shared is None:
+            shared = materialise(_shared(sets, full.join(open_rows.select("key").distinct(), "key", "left_semi")), "shared")
+        could = shared.where(F.col("common") >= threshold * F.col("size")).select("node")
+        open_rows = materialise(open_rows.join(could, "node", "left_semi").select("key", "node", "weight"), "open")
+    facts = shared.join(labels, "node", "left").select("node", "size", "common", F.coalesce("label", "node").alias("label"))
+    left = open_rows.select("key", "node").join(facts, "node").select("key", *[F.col(c).alias("l_" + c) for c in facts.columns])
+    right = full.select("key", "node").join(facts, "node").select(F.col("key").alias("r_key"), *[F.col(c).alias("r_" + c) for c in facts.columns])
+    most = F.least("l_common", "r_common")
+    can = (F.col("l_label") != F.col("r_label")) & (most >= threshold * (F.col("l_size") + F.col("r_size") - most))
+    last = left.join(right, (F.col("key") == F.col("r_key")) & can).select(*_ordered("l_node", "r_node")).distinct()
+    match = _checked(materialise(last, "last"), sets).where(F.col("sim") >= threshold).select("a", "b")
+    return materialise(found.union(match), "found")
+
+
+def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
+    """The kept columns (default and first: doc_id), class_id, n_links (checked matches of its text with other texts) for every row."""
+    keep = ["doc_id"] if keep is None else keep
+    rows = materialise(signed(documents, keep), "signed")
     known = rows.where("node is not null")
     nodes = materialise(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys", ignorenulls=True).alias("keys")), "nodes")
     edges = materialise(links(documents, nodes, threshold).distinct(), "links")
@@ -165,5 +193,5 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
     linked = labels.join(lowest, "label").join(degree, "node").select("node", "class_id", "n_links")
     classes = nodes.join(linked, "node", "left").select(
         "node", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = rows.select("doc_id", "node").join(classes, "node", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = rows.select(*keep, "node").join(classes, "node", "left")
+    return out.select(*keep, F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
