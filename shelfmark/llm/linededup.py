@@ -3,7 +3,8 @@
 Lines of all documents form one sequence in the order of doc_id; between documents one number is left out, so no run crosses them.
 Round k knows, for every suffix that is not alone, the class of its first 2**k lines: all suffixes with a common prefix of at least
 that length, an interval of the suffix array.  A class is named by the position of its first member, so names are exact and say at once
-whether an earlier copy exists.  A round joins the names at p and p + 2**k and names the pairs; suffixes that become unique leave.
+whether an earlier copy exists.  A round joins the names at p and p + 2**k and names the pairs; suffixes that become unique
+leave, and rounds end when no run that is looked up is longer.
 The interval of any length m is given by two overlapping classes, at p and p + m - 2**k.
 
 A repeated run counts if it has at least `min_words` words.  Every line of such a run lies in a shortest run of that many words which
@@ -17,6 +18,7 @@ lines go only as part of a run; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -88,18 +90,22 @@ def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     windows = lines.select("begin", F.col("pos").alias("start"), F.col("ahead").alias("size")).union(
         lines.select("begin", F.col("pos") - F.col("back") + 1, "back")).where("size > 0")
     single = level.where("name < pos").select(F.col("pos").alias("start"))
-    copies = windows.where("size = 1").distinct().join(single, "start").select("begin", "start", "size")
+    copies = [materialise(windows.where("size = 1").distinct().join(single, "start").select("begin", "start", "size"), "copies")]
     longer = materialise(windows.where("size > 1").distinct(), "windows")
+    longest = longer.agg(F.max("size").alias("n")).first().n or 1
     length = 1
-    while not is_empty(level):
+    while 2 * length <= longest and not is_empty(level):  # longer classes would decide nothing
         level = _double(level, length, "level")
         length *= 2
         here = longer.where((F.col("size") >= length) & (F.col("size") < 2 * length))
         left = level.select(F.col("pos").alias("start"), F.col("name").alias("left"))
         right = level.select(F.col("pos").alias("tail"), F.col("name").alias("right"))
         known = here.join(left, "start").withColumn("tail", F.col("start") + F.col("size") - length).join(right, "tail")
-        first = known.groupBy("size", "left", "right").agg(F.min("start").alias("first"))
-        copies = copies.union(known.join(first, ["size", "left", "right"]).where("start > first").select("begin", "start", "size"))
+        known = materialise(known.select("begin", "start", "size", "left", "right"), "known")
+        first = known.groupBy("size", "left", "right").agg(F.min("start").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        later = known.join(first, ["size", "left", "right"]).where("start > first").select("begin", "start", "size")
+        copies.append(materialise(later, "copies"))
+    copies = reduce(DataFrame.union, copies)
     gone = copies.select("begin", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("pos")).distinct()
     removed = gone.groupBy("begin").agg(F.sort_array(F.collect_list((F.col("pos") - F.col("begin")).cast("int"))).alias("removed"))
     out = rows.select("doc_id", "text_hash", "n_lines", "begin").join(removed, "begin", "left")
