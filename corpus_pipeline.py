@@ -25,6 +25,7 @@ from shelfmark.llm.neardup import near_duplicates
 MIN_SCORE = 0.4
 MIN_RATE = 0.5
 SHARDS = 24
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark, docs, sf_dir):
@@ -64,13 +65,20 @@ def shard(spark, docs, sf_dir):
     return document_shards(docs, SHARDS, docs.columns)
 
 
-STAGES = [
-    ("language", language),
-    ("near_dedup", near_dedup),
-    ("decontaminate", decontaminate),
-    ("mix", mix_domains),
-    ("shard", shard),
-]
+def _carrying(stage):
+    """Hides the names of extra columns from a stage, so that none can clash; a column that the stage makes itself wins."""
+
+    def run_stage(spark, docs, sf_dir):
+        hidden = {name: f"extra_{k}" for k, name in enumerate(docs.columns) if name not in OWN}
+        out = stage(spark, docs.withColumnsRenamed(hidden), sf_dir)
+        made = [k for k, name in hidden.items() if k in out.columns]
+        return out.drop(*[hidden[k] for k in made]).withColumnsRenamed({v: k for k, v in hidden.items() if k not in made})
+
+    return run_stage
+
+
+STAGES = [(name, _carrying(stage)) for name, stage in (
+    ("language", language), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix_domains), ("shard", shard))]
 # Learned models and hashed signatures have no SQL form; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 

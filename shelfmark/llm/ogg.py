@@ -128,6 +128,8 @@ def demultiplex(data: bytes) -> dict[int, list[tuple[int, bytes]]]:
 def read_payload(data: bytes) -> tuple[bytes, int, float]:
     """(payload, packets, seconds) from the stored bytes."""
     timed = []
+    if not data:
+        raise OggError("empty")
     for packets in demultiplex(data).values():
         if not packets or packets[0][1][:4] != MAGIC:
             raise OggError("unknown codec")
