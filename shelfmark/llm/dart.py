@@ -64,8 +64,21 @@ def signature(keys: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
         limit *= 1.5
 
 
-def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
-    """sum(min) / sum(max) of two weighted sets given as sorted keys and weights."""
+def common_weight(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
+    """sum(min) of two weighted sets given as sorted keys and weights."""
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    common = float(np.minimum(wa[i], wb[j]).sum())
+    return float(np.minimum(wa[i], wb[j]).sum())
+
+
+def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
+    """sum(min) / sum(max)."""
+    common = common_weight(a, wa, b, wb)
     return common / (float(wa.sum()) + float(wb.sum()) - common)
+
+
+def excess(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and weights of what a has beyond b."""
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    rest = wa.copy()
+    rest[i] -= np.minimum(wa[i], wb[j])
+    return a[rest > 0], rest[rest > 0]

@@ -4,10 +4,10 @@ A document is the weighted set of its runs of five words (of all its words if it
 Documents with equal sets are one node from the start, so exact copies cost nothing later.  In each band's bucket every node is
 compared with the bucket's pivot, never with all others; pivots are the nodes that share most buckets, the middle of a group of near
 copies.  Pairs are checked exactly on the shingles and give classes.  Nodes that are not in the class of their pivot go on: first with
-a second pivot, then with the members of other classes in the bucket.  Before that, nodes are left out whose match with any other is
-impossible: a node can have no more in common with another than the shingles that others have too, so one that has edits of its own in
-over a fifth of its shingles matches nothing, and so does a pair whose sizes leave too little.  A pair of similarity 0.8 shares none of
-the 32 bands of five coordinates with a probability of 3 in a million.
+a second pivot, then with those members of other classes that they can still match.  A node cannot match at all if it has edits of its
+own in over a fifth of its shingles; two nodes cannot match if they share too little beyond what the pivot has (see ``_last_pairs``).
+Nodes in the class of a second pivot are not searched further in that bucket; other bands show them with other pivots.  A pair
+of similarity 0.8 shares none of the 32 bands of five coordinates with a probability of 3 in a million.
 
 Defined results: a null text is a class of its own; texts without words are copies if they are equal; repeated rows belong to one
 class; the class id is the smallest doc_id of the class (null ids only where no other is there); extra columns are ignored.
@@ -19,13 +19,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.llm.common import bit_test, bits_of, byte_slices, is_empty, materialise
 from shelfmark.llm.components import components
-from shelfmark.llm.dart import signature, similarity
+from shelfmark.llm.dart import common_weight, excess, signature
 from shelfmark.llm.words import mix, run_hashes, word_hashes, word_spans
 
 WORDS = 5
@@ -103,21 +103,47 @@ def _sets_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("counts").alias("counts"))
 
 
-def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, sim of pairs of nodes."""
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("counts").alias("ca"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("counts").alias("cb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "ca", "sb", "cb")
+
+
+def _set_pairs(batch: pa.RecordBatch):
+    """(shingles, counts, shingles, counts) of each row of _with_sets."""
+    flat = [np.asarray(batch.column(k).flatten()) for k in range(2, 6)]
+    cuts = [np.concatenate(([0], np.cumsum(batch.column(k).value_lengths().to_numpy()))) for k in range(2, 6)]
+    for i in range(len(batch)):
+        parts = [flat[k][cuts[k][i] : cuts[k][i + 1]] for k in range(4)]
+        yield parts[0].view(np.uint64), parts[1], parts[2].view(np.uint64), parts[3]
+
+
+def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, common weight and similarity of pairs of nodes."""
+
+    def run(batches):
+        for batch in batches:
+            found = [(common_weight(*x), float(x[1].sum()) + float(x[3].sum())) for x in _set_pairs(batch)]
+            common = [c for c, _ in found]
+            sim = [c / (total - c) for c, total in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.float64()), pa.array(sim, pa.float64())], ["a", "b", "common", "sim"])
+
+    return _with_sets(pairs, sets).mapInArrow(run, "a binary, b binary, common double, sim double")
+
+
+def _beyond(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, pivot, shingle, w: what a node has beyond its pivot.  pairs: a (node), b (pivot)."""
 
     def run(batches):
         for batch in batches:
-            flat = [np.asarray(batch.column(k).flatten()) for k in range(2, 6)]
-            cuts = [np.concatenate(([0], np.cumsum(batch.column(k).value_lengths().to_numpy()))) for k in range(2, 6)]
-            part = lambda k, i: flat[k][cuts[k][i] : cuts[k][i + 1]]  # noqa: E731, B023
-            sim = [similarity(part(0, i).view(np.uint64), part(1, i), part(2, i).view(np.uint64), part(3, i)) for i in range(len(batch))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sim, pa.float64())], ["a", "b", "sim"])
+            parts = [excess(*x) for x in _set_pairs(batch)]
+            row = pa.array(np.repeat(np.arange(len(parts)), [len(k) for k, _ in parts]))
+            keys = np.concatenate([k for k, _ in parts]) if parts else np.zeros(0, np.uint64)
+            weights = np.concatenate([w for _, w in parts]) if parts else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(keys.view(np.int64)), pa.array(weights.astype(np.int32))],
+                                             ["node", "pivot", "shingle", "w"])
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "ca", "sb", "cb")
-    return joined.mapInArrow(run, "a binary, b binary, sim double")
+    return _with_sets(pairs, sets).mapInArrow(run, "node binary, pivot binary, shingle long, w int")
 
 
 def _ordered(left: str, right: str):
@@ -144,6 +170,43 @@ def _shared(sets: DataFrame, used: DataFrame) -> DataFrame:
     return mine.select("node", "size").join(lost, "node", "left").select("node", "size", (F.col("size") - F.coalesce("lost", F.lit(0))).alias("common"))
 
 
+def _last_pairs(open_rows: DataFrame, first: DataFrame, facts: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """a, b: all pairs of an open node and a node of another class that can match although both were compared with one pivot.
+
+    first: key, node, pivot, common of the first round.  What two nodes share is at most what the pivot has in common with either,
+    plus what they share beyond the pivot.  So either sizes are so small that the first part is enough, or a certain weight is shared
+    beyond the pivot; then the rarest shingles beyond the pivot, up to where less than that weight is left, have one in common.
+    """
+    need = threshold / (1 + threshold)  # of the sum of both sizes
+    own_keys = open_rows.select("key", F.col("node").alias("open_node"))
+    begun = first.join(open_rows.select("key").distinct(), "key", "left_semi").select("pivot").distinct()
+    opened = own_keys.join(first.select("key", F.col("node").alias("open_node"), "pivot"), ["key", "open_node"]).select("pivot", F.col("open_node").alias("node")).distinct()
+    group = first.join(begun, "pivot", "left_semi").select("pivot", "node", F.col("common").alias("near")).distinct()
+    group = group.join(facts.where(F.col("common") >= threshold * F.col("size")), "node")
+    group = group.join(opened.withColumn("open", F.lit(True)), ["pivot", "node"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    least = group.groupBy("pivot").agg(F.min("size").alias("least"))
+    group = materialise(group.join(least, "pivot").select("pivot", "node", "near", "size", "label", "open", "least"), "group")
+
+    def sides(frame: DataFrame, columns: list[str], name: str) -> DataFrame:
+        return frame.select(*columns, *[F.col(c).alias(f"{name}_{c}") for c in ("node", "near", "size", "label")])
+
+    apart = F.col("l_label") != F.col("r_label")
+    small = sides(group.where("open").where(need * (F.col("size") + F.col("least")) <= F.col("near")), ["pivot"], "l")
+    enough = need * (F.col("l_size") + F.col("r_size")) <= F.least("l_near", "r_near")
+    by_size = small.join(sides(group, [F.col("pivot").alias("r_pivot")], "r"), (F.col("pivot") == F.col("r_pivot")) & apart & enough)
+    beyond = _beyond(group.select(F.col("node").alias("a"), F.col("pivot").alias("b")), sets)
+    beyond = materialise(beyond, "beyond")
+    rarity = beyond.groupBy("pivot", "shingle").agg(F.count(F.lit(1)).alias("n"))
+    missing = F.greatest(F.lit(1.0), F.ceil(need * (F.col("least") + F.col("size")) - F.col("near") - 1e-9))
+    window = Window.partitionBy("pivot", "node").orderBy(F.desc("n"), F.desc("shingle"))
+    ranked = beyond.join(rarity, ["pivot", "shingle"]).withColumn("left", F.sum("w").over(window))  # weight of this one and all more frequent ones
+    prefix = ranked.where("n > 1").join(group, ["pivot", "node"]).where(F.col("left") >= missing)
+    prefix = materialise(prefix.select("pivot", "shingle", "node", "near", "size", "label", "open"), "prefix")
+    on = (F.col("pivot") == F.col("r_pivot")) & (F.col("shingle") == F.col("r_shingle")) & apart
+    by_rest = sides(prefix.where("open"), ["pivot", "shingle"], "l").join(sides(prefix, [F.col("pivot").alias("r_pivot"), F.col("shingle").alias("r_shingle")], "r"), on)
+    return by_size.select(*_ordered("l_node", "r_node")).union(by_rest.select(*_ordered("l_node", "r_node"))).distinct()
+
+
 def links(documents: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, rounds: int = 2) -> DataFrame:
     """a, b: checked matches that join the nodes of every class.  nodes: node, doc_id (one of its documents), keys."""
     rows = nodes.where("keys is not null").select("node", F.explode("keys").alias("key"))
@@ -154,13 +217,15 @@ def links(documents: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD,
     used = full.select("node").distinct()
     wanted = materialise(nodes.select("doc_id", "node").join(used, "node", "left_semi"), "wanted")
     sets = materialise(_sets_of(documents, wanted), "sets")
-    open_rows, found, shared = full, None, None
+    open_rows, found, first, shared, labels = full, None, None, None, None
     for _ in range(rounds):
         pivots = open_rows.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top")).select("key", F.col("top.node").alias("pivot"))
         near = materialise(open_rows.join(pivots, "key").where("node != pivot"), "near")
-        pairs = near.select(*_ordered("node", "pivot")).distinct()
-        match = _checked(pairs, sets).where(F.col("sim") >= threshold).select("a", "b")
+        checked = materialise(_checked(near.select(*_ordered("node", "pivot")).distinct(), sets), "checked")
+        match = checked.where(F.col("sim") >= threshold).select("a", "b")
         found = materialise(match if found is None else found.union(match), "found")
+        if first is None:
+            first = near.select("key", "node", "pivot", *_ordered("node", "pivot")).join(checked.select("a", "b", "common"), ["a", "b"])
         open_rows, labels = _open_rows(near, found)
         open_rows = materialise(open_rows, "open")
         if is_empty(open_rows):
@@ -170,12 +235,8 @@ def links(documents: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD,
         could = shared.where(F.col("common") >= threshold * F.col("size")).select("node")
         open_rows = materialise(open_rows.join(could, "node", "left_semi").select("key", "node", "weight"), "open")
     facts = shared.join(labels, "node", "left").select("node", "size", "common", F.coalesce("label", "node").alias("label"))
-    left = open_rows.select("key", "node").join(facts, "node").select("key", *[F.col(c).alias("l_" + c) for c in facts.columns])
-    right = full.select("key", "node").join(facts, "node").select(F.col("key").alias("r_key"), *[F.col(c).alias("r_" + c) for c in facts.columns])
-    most = F.least("l_common", "r_common")
-    can = (F.col("l_label") != F.col("r_label")) & (most >= threshold * (F.col("l_size") + F.col("r_size") - most))
-    last = left.join(right, (F.col("key") == F.col("r_key")) & can).select(*_ordered("l_node", "r_node")).distinct()
-    match = _checked(materialise(last, "last"), sets).where(F.col("sim") >= threshold).select("a", "b")
+    last = materialise(_last_pairs(open_rows, first, facts, sets, threshold), "last")
+    match = _checked(last, sets).where(F.col("sim") >= threshold).select("a", "b")
     return materialise(found.union(match), "found")
 
 
