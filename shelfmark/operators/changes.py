@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.session import materialise
+
 # What a scan knows about a file, besides its key.
 SEEN = ["volume", "file_id", "identity_source", "path", "file_name", "extension", "size", "created", "modified",
         "metadata_signature", "scan_root"]
@@ -202,26 +204,59 @@ def counters(diff: DataFrame) -> DataFrame:
 
 
 def verify_state(master: DataFrame, current: DataFrame, events: DataFrame, exported: DataFrame) -> DataFrame:
-    """One row of counts about the health of the tables.  ``events`` and ``exported`` have an ``event_id``."""
-    def rows(df: DataFrame) -> Column:
-        return df.agg(F.count(F.lit(1)).alias("n")).scalar()
-
-    doubled = master.groupBy("file_key").count().filter("count > 1")
-    unanchored = current.select("file_key").join(master.select("file_key"), "file_key", "left_anti")
-    return current.agg(
-        F.count(F.lit(1)).alias("current_rows"),
-        F.count_if(~F.col("is_active")).alias("inactive_rows"),
-        F.count_if(F.col("content_identity_status") == "deleted_before_hash").alias("deleted_before_hash_rows"),
-    ).select(
-        "*",
-        rows(master).alias("master_rows"),
-        rows(doubled).alias("duplicate_master_file_keys"),
-        rows(unanchored).alias("current_rows_missing_master_anchor"),
-        rows(pending_export(events, exported)).alias("pending_exports"),
-        rows(exported).alias("tracker_rows"),
-    )
+    """One row of counts about the health of the tables.  ``events`` and ``exported`` have an ``event_id``.
+
+    Each side is read once: the tables are put under each other with marks and counted by key.
+    """
+    def side(frame: DataFrame, key: str, **marks: Column) -> DataFrame:
+        names = ("in_master", "in_current", "inactive", "lost") if key == "file_key" else ("in_events", "in_exported")
+        return frame.select(key, *[marks.get(n, F.lit(False)).cast("int").alias(n) for n in names])
+
+    lost = F.coalesce(F.col("content_identity_status") == "deleted_before_hash", F.lit(False))
+    files = side(master, "file_key", in_master=F.lit(True)).unionByName(
+        side(current, "file_key", in_current=F.lit(True), inactive=~F.col("is_active"), lost=lost))
+    files = files.groupBy("file_key").agg(*[F.sum(c).alias(c) for c in files.columns[1:]])
+    log = side(events, "event_id", in_events=F.lit(True)).unionByName(side(exported, "event_id", in_exported=F.lit(True)))
+    log = log.groupBy("event_id").agg(F.sum("in_events").alias("in_events"), F.sum("in_exported").alias("in_exported"))
+
+    def total(name: str, where: Column | None = None) -> Column:
+        return F.coalesce(F.sum(F.col(name) if where is None else F.when(where, F.col(name))), F.lit(0))
+
+    return files.agg(
+        total("in_current").alias("current_rows"),
+        total("inactive").alias("inactive_rows"),
+        total("lost").alias("deleted_before_hash_rows"),
+        total("in_master").alias("master_rows"),
+        F.count_if(F.col("in_master") > 1).alias("duplicate_master_file_keys"),
+        total("in_current", F.col("in_master") == 0).alias("current_rows_missing_master_anchor"),
+    ).crossJoin(log.agg(  # one row each
+        total("in_events", F.col("in_exported") == 0).alias("pending_exports"),
+        total("in_exported").alias("tracker_rows"),
+    ))
 
 
 def pending_export(events: DataFrame, exported: DataFrame) -> DataFrame:
     """Events not yet in the log.  Writing these and nothing else makes a repeated export harmless."""
     return events.join(exported.select("event_id"), "event_id", "left_anti")
+
+
+def with_event_id(events: DataFrame) -> DataFrame:
+    """``event_id`` from what an event is: the same event gets the same id however often it is made."""
+    return events.withColumn("event_id", F.sha1(F.concat_ws("|", "file_key", F.unix_micros(F.col("observed_at").cast("timestamp")).cast("string"), "event_type")))
+
+
+def snapshot_run(master: DataFrame, current: DataFrame, exported: DataFrame, observed: DataFrame, scan_root: str, observed_at: Column,
+                 stage: str = "metadata") -> dict[str, DataFrame]:
+    """One scan from observations and tables to what has to be written: ``state``, ``master`` (rows to add), ``events`` and ``export``.
+
+    An empty master makes it the initial load: everything becomes state, no event is written.  ``export`` holds the events that
+    ``exported`` (``event_id``) lacks, so a run that is repeated exports nothing twice.
+    """
+    observed = latest_observation(observed)
+    if not master.take(1):
+        state = materialise(initial_load(observed), "state")
+        nothing = materialise(with_event_id(change_events(snapshot_diff(state, observed, scan_root, observed_at, stage)).filter(F.lit(False))), "events")
+        return {"state": state, "master": state.select(*MASTER), "events": nothing, "export": nothing}
+    diff = materialise(snapshot_diff(current, observed, scan_root, observed_at, stage), "diff")
+    events = materialise(with_event_id(change_events(diff)), "events")
+    return {"state": next_state(diff), "master": master_additions(diff, master), "events": events, "export": pending_export(events, exported)}

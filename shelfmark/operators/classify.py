@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text as T
 from shelfmark.functions import vocab as V
+from shelfmark.session import materialise
 
 # Prototype vectors held by one task at a time.  A larger prototype table is scored block by block, with the same result.
 PROTOTYPE_BLOCK = 20_000
+PRODUCT_CELLS = 4_000_000
+RANKED = "array<struct<category:string,score:double,cat_ord:int>>"
 CANDIDATES = "array<struct<category:string,score:double>>"
 
 
@@ -43,15 +47,36 @@ def missing_profiles(index: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def hashed_tokens(texts: list[str], dim: int = 256) -> np.ndarray:
-    """Default encoder: L2-normalised counts of hashed words.  Any function list[str] -> matrix can take its place."""
+    """``hashed_vector`` for texts in Python.  Any function list[str] -> matrix can take its place."""
     out = np.zeros((len(texts), dim))
     for row, text in enumerate(texts):
-        for word in re.findall(r"\w+", text.lower()):
-            out[row, zlib.crc32(word.encode()) % dim] += 1.0
+        for word in re.findall(r"[^\W_]+", text.lower()):
+            out[row, int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim] += 1.0
     norms = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norms == 0, 1.0, norms)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, not again in every inner function that reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def hashed_vector(text: Column, dim: int = 256) -> Column:
+    """Default encoder: L2-normalised counts of hashed words (letters and digits, lower case), by built-in functions only."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    places = F.array_sort(F.transform(words, lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % dim).cast("int")))
+
+    def vector(present: Column, starts: Column, total: Column) -> Column:
+        ends = F.concat(F.slice(starts, 2, dim), F.array(total.cast("long") + 1))
+        return _let(F.zip_with(starts, ends, lambda a, b: (b - a).cast("double")), lambda n: _let(
+            F.sqrt(F.aggregate(n, F.lit(0.0), lambda x, y: x + y * y)), lambda norm: F.transform(
+                F.sequence(F.lit(0), F.lit(dim - 1)),
+                lambda k: F.coalesce(F.get(n, (F.array_position(present, k) - 1).cast("int")) / norm, F.lit(0.0)))))
+
+    return _let(places, lambda s: _let(F.array_distinct(s), lambda present: _let(
+        F.transform(present, lambda d: F.array_position(s, d)), lambda starts: vector(present, starts, F.size(s)))))
+
+
 def model_prefix(model: str, role: str) -> str:
     """E5 models were trained with ``query: `` and ``passage: `` prefixes; other models read the plain text."""
     return f"{role}: " if "e5" in model.lower() else ""
@@ -67,9 +92,10 @@ def encoder_column(text: Column, encode: Callable[[list[str]], np.ndarray] = has
     return vectors(text)
 
 
-def model_text(text: Column) -> Column:
-    """The first 1000 characters a model reads, after normalisation."""
-    return F.substring(T.normalise(text), 1, 1000)
+def model_text(text: Column, max_chars: int | None = None) -> Column:
+    """The normalised text a model reads: all of it, or its first ``max_chars`` characters for models that take no more."""
+    whole = T.normalise(text)
+    return whole if max_chars is None else F.substring(whole, 1, max_chars)
 
 
 def text_key(text: Column) -> Column:
@@ -83,10 +109,13 @@ def encoding_todo(texts: DataFrame, cache: DataFrame, model: str) -> DataFrame:
     return distinct.join(cache.filter(F.col("model") == model), "text_sha1", "left_anti")
 
 
-def encode_new(texts: DataFrame, cache: DataFrame, model: str, encode: Callable = hashed_tokens) -> DataFrame:
-    """New cache rows ``(model, text_sha1, vec)``: every unseen text is encoded once, however many rows carry it."""
+def encode_new(texts: DataFrame, cache: DataFrame, model: str, encode: Callable | None = None) -> DataFrame:
+    """New cache rows ``(model, text_sha1, vec)``: every unseen text is encoded once, however many rows carry it.
+
+    Without ``encode``, a function list[str] -> matrix, the default encoder makes the vectors.
+    """
     todo = encoding_todo(texts, cache, model)
-    vec = encoder_column(F.col("text"), encode, model_prefix(model, "query"))
+    vec = encoder_column(F.col("text"), encode, model_prefix(model, "query")) if encode else hashed_vector(F.col("text"))
     return todo.select(F.lit(model).alias("model"), "text_sha1", vec.alias("vec"))
 
 
@@ -96,67 +125,80 @@ def with_cached_vectors(rows: DataFrame, cache: DataFrame, model: str) -> DataFr
 
 
 def _score_block(vec: Column, owners: np.ndarray, categories: list[str], matrix: np.ndarray, top_k: int, digits: int | None,
-                 spark) -> Column:
-    """Candidates of one block of prototypes: one matrix product per Arrow batch, best prototype per category."""
+                 spark, kind: str) -> tuple[Column, Broadcast]:
+    """Candidates of one block of prototypes, best prototype per category, and the block's broadcast.  ``kind`` is their type.
+
+    The product of a batch is made in pieces of at most ``PRODUCT_CELLS`` numbers (8 bytes each), so a worker holds one block and
+    two such pieces.
+    """
     shared = spark.sparkContext.broadcast((owners, np.asarray(categories, dtype=object), matrix))
 
-    @F.pandas_udf(CANDIDATES)
+    fields = 3 if kind == RANKED else 2
+
+    @F.pandas_udf(kind)
     def candidates(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         owner, names, protos = shared.value
         starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        ordinals = owner[starts]
+        piece = max(1, PRODUCT_CELLS // len(protos))
         for batch in batches:
-            known = batch.notna().to_numpy()
             out = np.empty(len(batch), dtype=object)
             out[:] = [[] for _ in range(len(batch))]
-            if known.any():
-                queries = np.stack(batch[known].to_numpy()).astype(np.float64)
+            known = np.flatnonzero(batch.notna().to_numpy())
+            for first in range(0, len(known), piece):
+                rows = known[first : first + piece]
+                queries = np.stack(batch.iloc[rows].to_numpy()).astype(np.float64)
                 best = np.maximum.reduceat(queries @ protos.T, starts, axis=1)
                 if digits is not None:
                     best = np.round(best, digits)
                 order = np.argsort(-best, axis=1, kind="stable")[:, :top_k]
-                for at, row, scores in zip(np.flatnonzero(known), order, best):
-                    out[at] = [{"category": names[c], "score": float(scores[c])} for c in row]
+                for at, row, scores in zip(rows, order, best):
+                    full = [(("category", names[c]), ("score", float(scores[c])), ("cat_ord", int(ordinals[c]))) for c in row]
+                    out[at] = [dict(x[:fields]) for x in full]
             yield pd.Series(out, index=batch.index)
 
-    return candidates(vec)
+    return candidates(vec), shared
+
+
+def _merged(left: Column, right: Column, top_k: int) -> Column:
+    """The best of two candidate lists, by score, then ``cat_ord``; a category counts once, with its better score."""
+    both = F.concat(left, right)
+    ordered = F.transform(
+        F.array_sort(F.transform(both, lambda c: F.struct((-c["score"]).alias("s"), c["cat_ord"].alias("o"), c.alias("c")))), lambda t: t["c"])
+    ordinals = F.transform(ordered, lambda c: c["cat_ord"])
+    return F.slice(F.filter(ordered, lambda c, i: F.array_position(ordinals, c["cat_ord"]) == i + 1), 1, top_k)
 
 
 def nearest(rows: DataFrame, protos: DataFrame, vec: str = "vec", top_k: int = 3, digits: int | None = None,
             block: int = PROTOTYPE_BLOCK) -> DataFrame:
     """Adds ``candidates``: the ``top_k`` categories by best prototype, best first, ties by ``cat_ord``.
 
-    ``protos`` is ``(category, cat_ord, vec)``.  The rows are never shuffled: prototypes are sent to them in blocks of at most
-    ``block`` vectors, and the per-block candidates are merged inside the row.
+    ``protos`` is ``(category, cat_ord, vec)``.  Rows are never shuffled.  Prototypes are written once, in blocks of about ``block``
+    vectors; a block goes to the driver, out to the workers, and is freed before the next, whose pass merges its candidates with those
+    so far.  With one block nothing is written and the pass is part of the caller's plan.  Vectors made by ``hashed_vector`` should be
+    stored first (the cache, or ``materialise``): Spark does not take a Python function over higher-order functions in every plan.
     """
-    total = protos.count()
-    pieces = max(1, -(-total // block))
     ranked = protos.select("cat_ord", "category", F.col("vec").cast("array<double>").alias("vec"))
+    total = ranked.count()
+    pieces = max(1, -(-total // block))
     if pieces > 1:
-        ranked = ranked.withColumn("_piece", F.pmod(F.xxhash64("cat_ord", "vec"), F.lit(pieces)))
-    merged = []
-    out = rows
+        ranked = materialise(ranked.withColumn("_piece", F.pmod(F.xxhash64("cat_ord", "vec"), F.lit(pieces))), "prototypes", partition_by="_piece")
+    plain = lambda c: F.transform(c, lambda x: F.struct(x["category"].alias("category"), x["score"].alias("score"))).cast(CANDIDATES)
+    out, shared = rows.withColumn("_ranked", F.array().cast(RANKED)), None
     for piece in range(pieces):
         part = (ranked.filter(F.col("_piece") == piece) if pieces > 1 else ranked).toPandas().sort_values("cat_ord", kind="stable")
         if part.empty:
             continue
-        ordinals = part["cat_ord"].to_numpy()
         names = part.drop_duplicates("cat_ord")["category"].tolist()
         matrix = np.stack(part["vec"].to_numpy()).astype(np.float64)
-        column = f"_cand{piece}"
-        out = out.withColumn(column, _score_block(F.col(vec), ordinals, names, matrix, top_k, digits, rows.sparkSession))
-        merged.append(column)
-    if not merged:
-        return rows.withColumn("candidates", F.array().cast(CANDIDATES))
-    if len(merged) == 1:
-        return out.withColumnRenamed(merged[0], "candidates")
-    flat = F.flatten(F.array(*merged))
-    by_score = F.transform(
-        F.array_sort(F.transform(flat, lambda c, i: F.struct((-c["score"]).alias("s"), i.alias("i"), c.alias("c")))), lambda t: t["c"]
-    )
-    out = out.withColumn("_all", by_score)
-    names = F.transform("_all", lambda c: c["category"])
-    firsts = F.filter("_all", lambda c, i: F.array_position(names, c["category"]) == i + 1)
-    return out.withColumn("candidates", F.slice(firsts, 1, top_k)).drop("_all", *merged)
+        column, shared = _score_block(F.col(vec), part["cat_ord"].to_numpy(), names, matrix, top_k, digits, rows.sparkSession,
+                                      CANDIDATES if pieces == 1 else RANKED)
+        if pieces == 1:
+            return rows.withColumn("candidates", column)
+        found = out.withColumn("_new", column).withColumn("_ranked", _merged(F.col("_ranked"), F.col("_new"), top_k)).drop("_new")
+        out = materialise(found, "candidates")
+        shared.destroy()
+    return out.withColumn("candidates", plain(F.col("_ranked"))).drop("_ranked")
 
 
 def lead(candidates: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import paths as P
 from shelfmark.functions import vocab as V
-from shelfmark.operators.ranking import ROW_BUDGET, ordinal
+from shelfmark.operators.ranking import ordinal
 from shelfmark.session import materialise
 
 KEYS = ["folder", "_stem", "_ext"]
@@ -25,7 +25,7 @@ def _split(name) -> list:
     return [F.coalesce(P.stem_of(low), F.lit("")).alias("_stem"), F.coalesce(P.extension(low), F.lit("")).alias("_ext")]
 
 
-def collision_plan(requests: DataFrame, existing: DataFrame, budget: int = ROW_BUDGET) -> DataFrame:
+def collision_plan(requests: DataFrame, existing: DataFrame, ranges: int | None = None) -> DataFrame:
     """Adds ``final_name`` to requests ``(path, folder, base, ext)``; ``existing`` is ``(folder, name)``.
 
     Paths are unique.  Comparison ignores case.  Long names are cut before anything is compared.
@@ -42,9 +42,11 @@ def collision_plan(requests: DataFrame, existing: DataFrame, budget: int = ROW_B
         .filter((F.col("_n") > 1) | F.col("_disk"))
         .select(*KEYS, F.when(~F.col("_disk"), F.col("_first")).alias("_keeper"))
     )
+    # Rows of uncontended names are done; only the others are numbered, and the rows themselves go along with the numbering.
     known = wanted.join(contended.withColumn("_contended", F.lit(True)), KEYS, "left")
     extra = F.coalesce("_contended", F.lit(False)) & ~F.col("path").eqNullSafe(F.col("_keeper"))
-    extras = known.filter(extra).select("path", *KEYS)
+    known = known.withColumn("_extra", extra)
+    extras = known.filter("_extra").select("path", *KEYS, F.struct(*wanted.columns).alias("_row"))
     # Numbers of a contended name that are already in use: name_7 is on disk or is itself requested.
     used = names.select(*KEYS).unionByName(disk.select(*KEYS)).distinct()
     number = r"(?s)^(.*)_([1-9]\d{0,17})$"
@@ -58,16 +60,14 @@ def collision_plan(requests: DataFrame, existing: DataFrame, budget: int = ROW_B
         .filter("k IS NOT NULL")
         .join(contended.select(*KEYS), KEYS, "left_semi")
     )
-    queue = ordinal(extras, KEYS, ["path"], name="pos", budget=budget).select(*KEYS, "pos", F.lit(1).alias("kind"), "path")
-    gaps = ordinal(blocked, KEYS, ["k"], name="_i", budget=budget).select(
-        *KEYS, (F.col("k") - F.col("_i") - 1).alias("pos"), F.lit(0).alias("kind"), F.col("k").cast("string").alias("path")
+    queue = ordinal(extras, KEYS, ["path"], name="pos", ranges=ranges).select(*KEYS, "pos", F.lit(1).alias("kind"), "path", "_row")
+    gaps = ordinal(blocked, KEYS, ["k"], name="_i", ranges=ranges).select(
+        *KEYS, (F.col("k") - F.col("_i") - 1).alias("pos"), F.lit(0).alias("kind"), F.col("k").cast("string").alias("path"),
+        F.lit(None).cast(extras.schema["_row"].dataType).alias("_row"),
     )
-    merged = ordinal(queue.unionByName(gaps), KEYS, ["pos", "kind", "path"], name="_at", budget=budget)
-    numbers = merged.filter("kind = 1").select("path", (F.col("_at") + 1).alias("_number"))
+    merged = ordinal(queue.unionByName(gaps), KEYS, ["pos", "kind", "path"], name="_at", ranges=ranges)
     shown = F.col("_name")
     numbered = F.concat(P.stem_of(shown), F.lit("_"), F.col("_number").cast("string"), P.extension(shown))
-    return (
-        wanted.join(numbers, "path", "left")
-        .withColumn("final_name", F.when(F.col("_number").isNull(), shown).otherwise(numbered))
-        .select(*requests.columns, "final_name")
-    )
+    moved = merged.filter("kind = 1").select("_row.*", (F.col("_at") + 1).alias("_number"))
+    kept = known.filter("NOT _extra").select(*requests.columns, shown.alias("final_name"))
+    return kept.unionByName(moved.select(*requests.columns, numbered.alias("final_name")))

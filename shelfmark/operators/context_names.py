@@ -55,14 +55,12 @@ def _with_terms(files: DataFrame, k: int = LIMIT) -> DataFrame:
 def ranked_terms(files: DataFrame, content: str, k: int = LIMIT) -> DataFrame:
     """``(path, terms)``: the ``k`` heaviest terms of each file by weight, then first appearance, then term.
 
-    Files are distributed by path once, as text, before it is cut into words; the term counts and the ranking reuse that
-    partitioning.
+    Texts are cut into words where they are read, and counted there before anything is shuffled; no text leaves its task.
     """
     context, ext = _words(_context()), _words(F.col("ext"))
     said, around = F.size("_content"), F.size("_content") + F.size("_context")
     placed = (
         files.select("path", "dirs", "stem", "ext", content)
-        .repartition("path")
         .select("path", _words(F.col(content)).alias("_content"), context.alias("_context"), ext.alias("_ext"))
         .select("path", said.alias("_n"), around.alias("_m"), F.concat("_content", "_context", "_ext").alias("_all"))
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import paths as P
 from shelfmark.functions import vocab as V
-from shelfmark.operators.ranking import ROW_BUDGET, ordinal
+from shelfmark.operators.ranking import ordinal
 from shelfmark.session import materialise
 
 BRANCHES = 30
@@ -129,9 +129,9 @@ def target_range(files: Column) -> tuple[Column, Column]:
     return low, F.greatest(low, F.floor(low * 1.5))
 
 
-def spread_sample(rows: DataFrame, group: str, order: str, k: int, budget: int = ROW_BUDGET) -> DataFrame:
+def spread_sample(rows: DataFrame, group: str, order: str, k: int, ranges: int | None = None) -> DataFrame:
     """``k`` rows of each group at even distances in the sort order; smaller groups whole.  ``slot`` is the sample number."""
-    placed = ordinal(rows, [group], [order], name="_at", total="_of", budget=budget)
+    placed = ordinal(rows, [group], [order], name="_at", total="_of", ranges=ranges)
     slot = F.floor((F.col("_at") * k + F.col("_of") - 1) / F.col("_of"))  # the only i with floor(i * n / k) = position, if any
     return (
         placed.withColumn("slot", F.when(F.col("_of") <= k, F.col("_at")).otherwise(slot))
@@ -152,7 +152,7 @@ def closest_summary(samples: DataFrame, group: str, top: int = 2) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
 
-def leftover_groups(leftovers: DataFrame, max_groups: int = 150, samples: int = 5, budget: int = ROW_BUDGET) -> DataFrame:
+def leftover_groups(leftovers: DataFrame, max_groups: int = 150, samples: int = 5, ranges: int | None = None) -> DataFrame:
     """Unsorted files by two-level folder: size, three main types, spread samples, closest categories.
 
     ``leftovers`` has parts; ``candidates`` is optional.  Only the rows of the listed groups are sampled.
@@ -163,7 +163,7 @@ def leftover_groups(leftovers: DataFrame, max_groups: int = 150, samples: int =
     listed = F.broadcast(sizes.select("folder"))
     types = top_joined(groups.join(listed, "folder", "left_semi"), "folder", "type", "files", 3, "top_types")
     columns = ["folder", "path", "base"] + (["candidates"] if "candidates" in leftovers.columns else [])
-    picked = spread_sample(keyed.join(listed, "folder", "left_semi").select(*columns), "folder", "path", samples, budget)
+    picked = spread_sample(keyed.join(listed, "folder", "left_semi").select(*columns), "folder", "path", samples, ranges)
     names = picked.groupBy("folder").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", "base"))), lambda s: s["base"]), ";").alias("sample_names")
     )

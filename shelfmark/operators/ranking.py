@@ -1,8 +1,7 @@
 """Row numbers inside groups of any size.
 
-A plain ``row_number`` sends a whole group to one task.  ``ordinal`` first counts the groups (partially aggregated, so cheap).
-When none exceeds the row budget a window is used.  Otherwise large groups are cut into slices of the sort order, each slice is
-numbered on its own and the sizes of the slices before it are added, so no task holds much more than one slice.
+A plain ``row_number`` sends a whole group to one task.  ``ordinal`` cuts all rows into ranges of (group, order), numbers each group
+within a range, and adds how many of its rows lie in the ranges before.  A task holds one range, whatever the groups' sizes.
 """
 
 from __future__ import annotations
@@ -10,54 +9,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROW_BUDGET = 1_000_000
-SLICES = 200
+from shelfmark.session import materialise
 
 
 def ordinal(rows: DataFrame, group: list[str], order: list[str], name: str = "ordinal", total: str | None = None,
-            budget: int = ROW_BUDGET, slices: int = SLICES) -> DataFrame:
+            ranges: int | None = None) -> DataFrame:
     """Adds the 0-based position of each row in its group by ``order`` (ascending), and optionally the group size.
 
-    ``group`` and ``order`` together identify a row.  At most rows / ``budget`` groups can be large, which bounds the table of
-    large groups.  The cut points are a hash sample of bounded size: they balance the slices and never change the numbers.
+    ``group`` and ``order`` together identify a row and hold no nulls.  The ranges are written once, so that a range keeps its rows
+    when a task runs again; ``ranges`` sets their number, else the session's shuffle setting does.
     """
-    large = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > budget).select(*group)
-    if large.isEmpty():
-        window = Window.partitionBy(*group)
-        out = rows.withColumn(name, F.row_number().over(window.orderBy(*order)) - 1)
-        return out.withColumn(total, F.count(F.lit(1)).over(window)) if total else out
-    sliced = _sliced(rows, large, group, order, slices)
-    counts = sliced.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per slice: a group has at most `slices` of them.
-    before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*group, *order]
+    cut = rows.repartitionByRange(ranges, *keys) if ranges else rows.repartitionByRange(*keys)
+    cut = materialise(cut.withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = cut.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*group)  # one row a range that the group touches
     offsets = counts.select(
-        *group, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        F.sum("_n").over(Window.partitionBy(*group)).alias("_total"),
-    )
-    local = Window.partitionBy(*group, "_slice").orderBy(*order)
-    out = sliced.join(offsets, group + ["_slice"]).withColumn(name, F.row_number().over(local) - 1 + F.col("_before"))
+        *group, "_range", (F.sum("_n").over(whole.orderBy("_range")) - F.col("_n")).alias("_before"), F.sum("_n").over(whole).alias("_total"))
+    local = F.row_number().over(Window.partitionBy("_range", *group).orderBy(*order)) - 1
+    out = cut.withColumn(name, local).join(offsets, [*group, "_range"]).withColumn(name, (F.col(name) + F.col("_before")).cast("int"))
     if total:
         out = out.withColumn(total, F.col("_total"))
-    return out.drop("_slice", "_before", "_total")
-
-
-def _sliced(rows: DataFrame, large: DataFrame, group: list[str], order: list[str], slices: int) -> DataFrame:
-    """Adds ``_slice``: for rows of large groups, how many cut points lie below their key; 0 for all others."""
-    key = F.struct(*group, *order)
-    cuts = (
-        rows.join(large, group, "left_semi")
-        .select(key.alias("_key"), F.xxhash64(*group, *order).alias("_h"))
-        .orderBy("_h", "_key")
-        .limit(slices * 10)
-        .agg(F.array_sort(F.collect_list("_key")).alias("_keys"))
-        .select(F.filter(F.col("_keys"), lambda _, i: i % 10 == 0).alias("_cuts"))
-        .scalar()
-    )
-    below = F.size(F.filter("_cuts", lambda cut: cut < F.col("_key")))
-    return (
-        rows.join(large.withColumn("_large", F.lit(True)), group, "left")
-        .withColumn("_key", key)
-        .withColumn("_cuts", cuts)
-        .withColumn("_slice", F.when(F.col("_large"), below).otherwise(F.lit(0)))
-        .drop("_key", "_cuts", "_large")
-    )
+    return out.select(*rows.columns, name, *([total] if total else []))

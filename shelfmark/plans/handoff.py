@@ -10,7 +10,7 @@ from shelfmark.operators import overview as O
 
 
 def _list(frame: DataFrame, order: list[str]) -> Column:
-    """A limited frame as one array value.  ``order`` sorts it; every caller passes a frame cut by ``limit``."""
+    """A small frame as one array value, sorted by ``order``: top lists, the index, the flagged bundle roots of one inventory."""
     def by_key(left: Column, right: Column) -> Column:
         return F.when(left["key"] < right["key"], -1).when(left["key"] > right["key"], 1).otherwise(0)
 
@@ -31,8 +31,7 @@ def round_one(inventory_split: DataFrame, evidence: DataFrame, note: str = "", t
     best = E.with_samples(best, kept(best, E.exploded_tokens(evidence, ["path", "base"])))
     grams = E.with_samples(grams, kept(grams, E.exploded_phrases(evidence, ["path", "base"])))
     groups = O.folder_groups(inventory_split.filter("placement = 'routed'"))
-    # Bundled clusters are listed largest first; the list is cut like the term lists.
-    flagged = bundles.filter("is_bundle").orderBy(F.desc("refs"), "cluster_root").limit(terms)
+    flagged = bundles.filter("is_bundle")  # all of them, largest first: one row a bundle root
     return O.overview(inventory_split, groups).select(
         F.to_json(
             F.struct(

@@ -16,9 +16,9 @@ CASES = ("current_name string, parent_path string, extension string, text_excerp
 TRUTH = "path string, bucket string, tag string"
 
 
-def read_inventory_csv(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
-    """Names may hold line breaks, so a record is not a line and a file is one task.  Without them (``line_breaks=False``) large
-    files are split; very large inventories belong in parquet anyway."""
+def read_inventory_csv(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
+    """Large files are split into tasks by lines.  Where names hold line breaks a record is not a line: ``line_breaks=True`` reads
+    them, one task a file."""
     return spark.read.schema(INVENTORY).csv(path, header=True, multiLine=line_breaks, quote='"', escape='"')
 
 
@@ -32,12 +32,15 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_noise(spark: SparkSession, path: str) -> NoiseTerms:
-    """Noise configuration: four short lists, so they become literals of the plan."""
-    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).limit(1).collect())
-    user = json.loads(text)
+    """Noise configuration: four short lists, so they become literals of the plan.  Several files add up, in the order of their names."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value").orderBy("file").collect()
     names = {"stopword": "global_stopwords", "path_scaffolding": "path_scaffolding_terms", "packaging": "packaging_terms",
              "format": "format_terms"}
-    return NoiseTerms().merged(**{k: user[v] for k, v in names.items() if isinstance(user.get(v), list)})
+    terms = NoiseTerms()
+    for row in files:
+        user = json.loads(row.value)
+        terms = terms.merged(**{k: user[v] for k, v in names.items() if isinstance(user.get(v), list)})
+    return terms
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:

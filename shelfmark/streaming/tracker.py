@@ -69,9 +69,11 @@ def _event(previous, path: str, size: float, sha: str | None):
     return ("content_changed", False, True, False) if changed else None
 
 
-def track_changes(observations: DataFrame, ttl_seconds: int | None = None, lateness: str = "0 seconds") -> DataFrame:
+def track_changes(observations: DataFrame, ttl_seconds: int | None = None, lateness: str | None = None) -> DataFrame:
     """Change events of a stream with ``file_key, path, size, sha256, observed_at``.
 
+    With a time to live, ``lateness`` must say how far behind the newest row a row may come; Spark leaves out later ones.
+
     The state store must be RocksDB (``shelfmark.session.ROCKSDB``), which keeps state off the heap.
     """
     typed = observations.select(
@@ -80,6 +82,8 @@ def track_changes(observations: DataFrame, ttl_seconds: int | None = None, laten
     )
     mode = "None"
     if ttl_seconds is not None:
+        if lateness is None:
+            raise ValueError("a time to live needs an explicit lateness")
         typed, mode = typed.withWatermark("observed_at", lateness), "EventTime"
     keyed = typed.withColumn("observed_us", F.unix_micros("observed_at"))
     events = keyed.groupBy("file_key").transformWithState(

@@ -136,11 +136,11 @@ def test_adaptive_folder_groups_match_the_recursive_definition(spark, inventory)
     assert got == want and len(want) > 5
 
 
-@pytest.mark.parametrize("budget", [10**6, 7])
-def test_spread_sample_is_even_and_independent_of_the_row_budget(spark, budget):
+@pytest.mark.parametrize("ranges", [None, 1, 7])
+def test_spread_sample_is_even_however_rows_are_cut(spark, ranges):
     rows = [("big", f"{i:04d}") for i in range(53)] + [("small", f"{i}") for i in range(3)]
     df = spark.createDataFrame(rows, "g string, path string")
-    got = sorted((r["g"], r["path"], r["slot"]) for r in O.spread_sample(df, "g", "path", 5, budget).collect())
+    got = sorted((r["g"], r["path"], r["slot"]) for r in O.spread_sample(df, "g", "path", 5, ranges).collect())
     want = [("big", f"{i * 53 // 5:04d}", i) for i in range(5)] + [("small", f"{i}", i) for i in range(3)]
     assert got == sorted(want)
 

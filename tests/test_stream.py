@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.operators import changes as C
@@ -46,8 +47,14 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == want and len(got) == 7
 
 
+def test_a_time_to_live_needs_a_lateness(spark, tmp_path):
+    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path))
+    with pytest.raises(ValueError):
+        track_changes(stream, ttl_seconds=10)
+
+
 def test_missing_and_restored_with_time_to_live(spark, tmp_path):
     scans = [[("a", "a", 1.0, 0), ("b", "b", 1.0, 0)], [("a", "a", 1.0, 0)], [("a", "a", 1.0, 0)], [("a", "a", 1.0, 0)], [("a", "a", 1.0, 0), ("b", "b", 1.0, 0)]]
-    rows = run(spark, tmp_path, scans, ttl_seconds=36 * 3600).orderBy("observed_at").collect()
+    rows = run(spark, tmp_path, scans, ttl_seconds=36 * 3600, lateness="0 seconds").orderBy("observed_at").collect()
     assert [r["event_type"] for r in rows if r["file_key"] == "b"] == ["new_file", "missing_file", "restored_file"]
     assert [r["event_type"] for r in rows if r["file_key"] == "a"] == ["new_file"]

@@ -8,11 +8,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from shelfmark.operators import changes as C
-from shelfmark.session import ROCKSDB, checkpoint_root
+from shelfmark.session import ROCKSDB, materialise, run_folder
 from shelfmark.streaming.tracker import append_events, track_changes
 from workloads import derive as D
 
 AT = "2024-02-01"
+EDGES = ("2024-01-11", "2024-01-21")
 
 
 def _scan(spark, sf, half):
@@ -73,29 +74,52 @@ def hash_todo(spark, sf):
     return C.hash_todo(_current(spark, sf), _scan(spark, sf, 1), "drive", limit=1)
 
 
-def _numbered(spark, sf):
-    return C.change_events(_diff(spark, sf)).withColumn("event_id", F.col("file_key"))
+def _tables(spark, sf):
+    """The diff of the two scans, written once, and its events with their ids."""
+    diff = materialise(_diff(spark, sf), "diff")
+    return diff, C.with_event_id(C.change_events(diff))
 
 
 def pending_export(spark, sf):
-    events = _numbered(spark, sf)
+    events = _tables(spark, sf)[1]
     return C.pending_export(events, events.filter("event_type = 'new_file'")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def verify_state(spark, sf):
-    events = _numbered(spark, sf)
+    diff, events = _tables(spark, sf)
     exported = events.filter("event_type = 'new_file'").select("event_id")
-    return C.verify_state(_current(spark, sf).select(*C.MASTER), C.next_state(_diff(spark, sf)), events, exported)
+    master = diff.filter("p_file_key IS NOT NULL").select(F.col("p_file_key").alias("file_key"))
+    return C.verify_state(master, C.next_state(diff), events, exported)
+
+
+def three_scans(spark, sf):
+    """Three scans in a row through the whole run: initial load, two updates, the export log appended each time and the last run
+    repeated; the log of all events with the state that is left."""
+    seen = D.observations(spark, sf)
+    at, edges = F.col("observed_at"), [F.lit(x).cast("timestamp") for x in EDGES]
+    parts = [seen.filter(at < edges[0]), seen.filter((at >= edges[0]) & (at < edges[1])), seen.filter(at >= edges[1])]
+    state = master = C.initial_load(C.latest_observation(seen.limit(0)))
+    log = None
+    for part, day in zip([*parts, parts[-1]], ("2024-01-11", "2024-01-21", "2024-02-01", "2024-02-01")):
+        exported = log.select("event_id") if log is not None else spark.createDataFrame([], "event_id string")
+        run = C.snapshot_run(master.select(*C.MASTER), state, exported, part, "drive", F.lit(day).cast("timestamp"), "hash")
+        new = materialise(run["export"], "export")
+        log = new if log is None else log.unionByName(new)
+        master = materialise(master.select(*C.MASTER).unionByName(run["master"].select(*C.MASTER)), "master")
+        state = materialise(run["state"], "state")
+    return log.groupBy("file_key").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("observed_at", "event_type"))), lambda e: e["event_type"]), ">").alias("events"),
+    ).join(state.select("file_key", "path", "is_active", "first_seen_at"), "file_key", "right")
 
 
 def stream_changes(spark, sf):
     """The whole events table as three scans, one micro-batch each, through the stateful tracker."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    root = os.path.join(checkpoint_root(spark), f"stream-{uuid.uuid4().hex}")
+    root = os.path.join(run_folder(spark), f"stream-{uuid.uuid4().hex}")
     seen = D.observations(spark, sf).select("file_key", "path", "size", "sha256", "observed_at")
-    edges = ["2024-01-01", "2024-01-11", "2024-01-21", "2030-01-01"]
-    for i, (low, high) in enumerate(zip(edges, edges[1:])):
-        part = seen.filter((F.col("observed_at") >= F.lit(low).cast("timestamp")) & (F.col("observed_at") < F.lit(high).cast("timestamp")))
+    edges = [F.lit(x).cast("timestamp") for x in EDGES]
+    at = F.col("observed_at")
+    for i, part in enumerate([seen.filter(at < edges[0]), seen.filter((at >= edges[0]) & (at < edges[1])), seen.filter(at >= edges[1])]):
         C.latest_observation(part).coalesce(1).write.mode("append").parquet(f"{root}/in/scan={i}")
     stream = spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/*")
     append_events(track_changes(stream), f"{root}/out", f"{root}/cp").awaitTermination()
@@ -104,7 +128,7 @@ def stream_changes(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (latest_observation, identity_keys, snapshot_diff, metadata_diff, event_counts, current_state, master_additions,
-                                   first_sighting, hash_todo, pending_export, verify_state, stream_changes)}
+                                   first_sighting, hash_todo, pending_export, verify_state, three_scans, stream_changes)}
 
 HALVES = f"""obs AS ({D.OBS}),
 a AS (SELECT *, file_key NOT LIKE '%|signup' AS act FROM obs WHERE observed_at < TIMESTAMP '{D.MIDDLE}'
@@ -129,6 +153,19 @@ d AS (SELECT *, CASE WHEN is_new THEN 'new_file' WHEN is_missing THEN 'missing_f
    ELSE 'not_hashed_yet' END AS status FROM d0)"""
 
 
+def _step(scan: str, old: str, diff: str, new: str) -> str:
+    """CTEs of one update: the differences of a scan and the state after it."""
+    return f"""{diff} AS (SELECT *, CASE WHEN is_new THEN 'new_file' WHEN is_missing THEN 'missing_file' WHEN back THEN 'restored_file'
+  WHEN pc AND cc THEN 'path_and_content_changed' WHEN pc THEN 'path_changed' WHEN cc THEN 'content_changed' WHEN mc THEN 'metadata_refreshed' END AS event_type
+ FROM (SELECT coalesce(b.file_key, a.file_key) AS file_key, a.file_key IS NULL AS is_new, b.file_key IS NULL AND a.act AS is_missing,
+   coalesce(b.file_key IS NOT NULL AND NOT a.act, false) AS back, coalesce(a.path <> b.path, false) AS pc, coalesce(a.size <> b.size, false)
+   OR coalesce(a.sha256 <> b.sha256, false) OR coalesce(b.sha256 IS NOT NULL AND a.sha256 IS NULL AND (a.path <> b.path OR a.size <> b.size OR a.modified <> b.modified
+   OR NOT a.act), false) AS cc, coalesce(a.modified <> b.modified OR a.path <> b.path OR a.size <> b.size, false) AS mc,
+   coalesce(b.path, a.path) AS path, coalesce(b.size, a.size) AS size, coalesce(b.modified, a.modified) AS modified, coalesce(b.sha256, a.sha256) AS sha256,
+   b.file_key IS NOT NULL AS act, coalesce(a.first_seen, b.observed_at) AS first_seen FROM {old} a FULL JOIN {scan} b ON a.file_key = b.file_key)),
+{new} AS (SELECT file_key, path, size, modified, sha256, act, first_seen FROM {diff})"""
+
+
 DIFF = _diff_sql("hash")
 PERIODS = f"""WITH obs AS ({D.OBS}), p AS (SELECT *, CASE WHEN observed_at < TIMESTAMP '2024-01-11' THEN 0 WHEN observed_at < TIMESTAMP '2024-01-21' THEN 1
   ELSE 2 END AS scan FROM obs),
@@ -162,4 +199,14 @@ ORACLES = {
  count(*) FILTER (is_new) AS current_rows_missing_master_anchor, count(*) FILTER (event_type <> 'new_file') AS pending_exports,
  count(*) FILTER (is_new) AS tracker_rows FROM d""",
     "stream_changes": PERIODS,
+    "three_scans": f"""WITH obs AS ({D.OBS}), s1 AS (SELECT * FROM obs WHERE observed_at < TIMESTAMP '2024-01-11'
+  QUALIFY row_number() OVER (PARTITION BY file_key ORDER BY observed_at DESC) = 1),
+ s2 AS (SELECT * FROM obs WHERE observed_at >= TIMESTAMP '2024-01-11' AND observed_at < TIMESTAMP '2024-01-21'
+  QUALIFY row_number() OVER (PARTITION BY file_key ORDER BY observed_at DESC) = 1),
+ s3 AS (SELECT * FROM obs WHERE observed_at >= TIMESTAMP '2024-01-21' QUALIFY row_number() OVER (PARTITION BY file_key ORDER BY observed_at DESC) = 1),
+ c1 AS (SELECT file_key, path, size, modified, sha256, true AS act, observed_at AS first_seen FROM s1), {_step('s2', 'c1', 'd2', 'c2')}, {_step('s3', 'c2', 'd3', 'c3')},
+ ev AS (SELECT file_key, 1 AS n, event_type FROM d2 WHERE event_type IS NOT NULL UNION ALL SELECT file_key, 2, event_type FROM d3 WHERE event_type IS NOT NULL
+),
+ lg AS (SELECT file_key, string_agg(event_type, '>' ORDER BY n) AS events FROM ev GROUP BY file_key)
+ SELECT file_key, events, path, act AS is_active, first_seen AS first_seen_at FROM c3 LEFT JOIN lg USING (file_key)""",
 }

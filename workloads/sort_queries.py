@@ -12,6 +12,7 @@ from shelfmark.operators import index as I
 from shelfmark.operators.vote import folder_vote
 from shelfmark.plans import audit
 from shelfmark.plans import sorting as S
+from shelfmark.session import materialise
 from workloads import derive as D
 from workloads.path_queries import DOC_PARTS, DOC_SPLIT
 
@@ -224,15 +225,57 @@ def embedding_todo(spark, sf):
 
 
 def encoded_texts(spark, sf):
-    """Every distinct document text through the default encoder."""
+    """Every distinct whole document text through the default encoder: its vector, in millionths where not zero."""
     docs = D.table(spark, sf, "documents").select(C.model_text(F.col("text")).alias("text"))
-    none = spark.createDataFrame([], "model string, text_sha1 string, vec array<float>")
-    return C.encode_new(docs, none, "hashed").select("text_sha1", F.size("vec").alias("dim"))
+    none = spark.createDataFrame([], "model string, text_sha1 string, vec array<double>")
+    return C.encode_new(docs, none, "hashed").select("text_sha1", _shown(F.col("vec")).alias("vec"))
+
+
+def _shown(vec):
+    each = F.transform(vec, lambda v, k: F.concat(k.cast("string"), F.lit(":"), F.round(v * 1e6).cast("long").cast("string")))
+    return F.array_join(F.filter(each, lambda x: ~x.endswith(":0")), " ")
+
+
+def cached_vectors(spark, sf):
+    """Two runs over a cache: German texts first, then whatever is missing; every document finds its vector."""
+    docs = D.table(spark, sf, "documents").select("doc_id", "lang", C.model_text(F.col("text")).alias("text"))
+    none = spark.createDataFrame([], "model string, text_sha1 string, vec array<double>")
+    first = C.encode_new(docs.filter("lang = 'de'").select("text"), none, "hashed")
+    cache = first.unionByName(C.encode_new(docs.select("text"), first, "hashed"))
+    return C.with_cached_vectors(docs, cache, "hashed").select("doc_id", _shown(F.col("vec")).alias("vec"))
+
+
+def nearest_ties(spark, sf):
+    """Whole-number vectors with equal scores everywhere: the order of categories decides, however the prototypes are cut."""
+    ones = _vectors(spark, sf).select("vec_id", F.transform(F.slice("vec", 1, 4), lambda x: F.when(x > 0, 1.0).otherwise(0.0)).alias("vec"))
+    return C.nearest(ones, _prototype_ties(spark, sf), top_k=3, block=7).select("vec_id", F.posexplode("candidates").alias("rank", "c")).select(
+        "vec_id", "rank", F.col("c.category").alias("category"), F.col("c.score").alias("score"))
+
+
+def _prototype_ties(spark, sf):
+    cut = F.transform(F.slice("vec", 1, 4), lambda x: F.when(x > 0, 1.0).otherwise(0.0))
+    return _vectors(spark, sf).filter("vec_id < 40").select(F.concat(F.lit("c"), F.col("label")).alias("category"), (9 - F.col("label")).alias("cat_ord"), cut.alias("vec"))
+
+
+def text_sorted(spark, sf):
+    """From an index to placed files with the real encoder: prototypes from three texts a language, documents by their whole text,
+    nearest prototype, abstention, holding, folder vote, codes."""
+    docs = D.documents(spark, sf, "text")
+    ranked = docs.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list("doc_id")), 1, 3).alias("ids"))
+    chosen = docs.join(ranked.select(F.explode("ids").alias("doc_id")), "doc_id", "left_semi")
+    texts = chosen.groupBy(F.col("lang").alias("category")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text")))["text"].alias("t"))
+    codes = I.index_frame(spark, LANGS)
+    index = codes.drop("profile").join(texts, "category", "left").withColumn("profile", F.when(F.col("t").isNotNull(), F.struct(
+        F.get("t", F.lit(0)).alias("description"), F.array().cast("array<string>").alias("aliases"), F.slice("t", 2, 2).alias("positive_examples"))))
+    protos = C.prototypes(index.filter("t IS NOT NULL")).withColumn("vec", C.hashed_vector(F.col("text"))).select("category", "cat_ord", "vec")
+    rows = materialise(P.with_parts(docs).withColumn("vec", C.hashed_vector(C.model_text(F.col("text")))).drop("text"), "vectors")
+    placed = I.with_codes(S.sort_files(C.nearest(rows, protos, digits=6).drop("vec"), SETTINGS), codes)
+    return placed.select("doc_id", "path", "topic", "how", "code", "destination", F.round("score", 6).alias("score"))
 
 
 _queries = (nearest_topk, decide, lead, guard, category_shares, routing_metrics, benchmark_metrics, confusion_pairs, grid_search, best_setting,
             coarse_groups, prototype_texts, sort_how, sort_stats, organization_plan, plan_summary, conservation, loop_check, judge_by_tag,
-            quality_confusion, mapping_audit, validation_summary, missing_terms, merge_indexes, missing_profiles, embedding_todo, encoded_texts)
+            quality_confusion, mapping_audit, validation_summary, missing_terms, merge_indexes, missing_profiles, embedding_todo, encoded_texts, cached_vectors, nearest_ties, text_sorted)
 QUERIES = {**{f.__name__: f for f in _queries}, "folder_vote": _vote(False), "vote_type_check": _vote(True)}
 
 # ---- oracles ----------------------------------------------------------------------------------------------------------
@@ -280,9 +323,16 @@ PLAN = f"""{SORTED}, plan AS (SELECT unit AS path, NULL::VARCHAR AS topic, '{V.S
   FROM split WHERE placement = 'junk'
  UNION ALL SELECT path, CASE WHEN {_known} THEN topic ELSE '{U}' END, {_dest}, 1, NULL FROM srt)"""
 _auditext = "translate(concat(stem, ' ', path), '\\/_-', '    ')"
-AUDIT = f"""{DOC_PARTS}, aud AS (SELECT path, stem, ext, substring(trim(regexp_replace({_auditext}, '[\\s_-]+', ' ', 'g')), 1, 1000) AS text,
+AUDIT = f"""{DOC_PARTS}, aud AS (SELECT path, stem, ext, trim(regexp_replace({_auditext}, '[\\s_-]+', ' ', 'g')) AS text,
   CASE WHEN {D.SURE} THEN lang ELSE '{U}' END AS topic, CASE WHEN {D.SURE} THEN '90.00%' ELSE '10.00%' END AS confidence_pct,
   CASE WHEN {D.SURE} THEN '__NO__' ELSE '__YES__' END AS low_confidence FROM parts)"""
+HASHED = """wd AS (SELECT doc_id, trim(regexp_replace(text, '[\\s_-]+', ' ', 'g')) AS text FROM documents),
+tk AS (SELECT doc_id, md5(unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS h FROM wd),
+pc AS (SELECT doc_id, (instr('0123456789abcdef', h[7:7]) - 1) * 16 + instr('0123456789abcdef', h[8:8]) - 1 AS place FROM tk),
+ct AS (SELECT doc_id, place, count(*)::DOUBLE AS n FROM pc GROUP BY ALL),
+entries AS (SELECT doc_id, place, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS v FROM ct),
+shown AS (SELECT wd.doc_id, text, coalesce(string_agg(concat(place, ':', round(v * 1e6)::BIGINT), ' ' ORDER BY place), '') AS vec
+  FROM wd LEFT JOIN entries ON wd.doc_id = entries.doc_id GROUP BY wd.doc_id, text)"""
 _i = "unnest(range(0, 5)) AS di"
 GRID = f"""{SCORES}, g AS (SELECT di * 16 + mi * 4 + oi AS ord, {D.sql_list(V.GRID_DENSE).replace("'", '').replace('(', '[').replace(')', ']')}[di + 1]::DOUBLE AS dense_threshold,
  {D.sql_list(V.GRID_LEAD).replace("'", '').replace('(', '[').replace(')', ']')}[mi + 1]::DOUBLE AS margin_threshold,
@@ -349,7 +399,26 @@ ORACLES = {
     "missing_profiles": """SELECT concat(source, '_', lang) AS category FROM documents GROUP BY 1 HAVING count(*) <= 10""",
     "embedding_todo": """SELECT sha1(text) AS text_sha1, any_value(length(text)) AS chars FROM documents GROUP BY 1
  HAVING count(*) FILTER (lang = 'en') = 0""",
-    "encoded_texts": """SELECT DISTINCT sha1(substring(trim(regexp_replace(text, '[\\s_-]+', ' ', 'g')), 1, 1000)) AS text_sha1, 256 AS dim FROM documents""",
+    "encoded_texts": f"""WITH {HASHED} SELECT DISTINCT sha1(text) AS text_sha1, vec FROM shown""",
+    "cached_vectors": f"WITH {HASHED} SELECT doc_id, vec FROM shown",
+    "nearest_ties": """WITH v AS (SELECT vec_id, label, list_transform(list_slice(embedding, 1, 4), lambda x: CASE WHEN x > 0 THEN 1.0::DOUBLE ELSE 0 END) AS v
+  FROM embeddings),
+ sc AS (SELECT q.vec_id, p.label, max(list_dot_product(q.v, p.v)) AS score FROM v q CROSS JOIN v p WHERE p.vec_id < 40 GROUP BY ALL),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, 9 - label) - 1 AS rank FROM sc)
+ SELECT vec_id, rank, concat('c', label) AS category, score FROM rk WHERE rank < 3""",
+    "text_sorted": f"""WITH {HASHED}, {DOC_PARTS}, pr AS (SELECT doc_id, lang FROM documents WHERE lang IN ('de', 'en', 'fr') QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= 3),
+ nm AS (SELECT unnest(['de', 'en', 'fr']) AS lang), nh AS (SELECT lang, md5(lang) AS h FROM nm),
+ pe AS (SELECT lang AS cat, doc_id AS proto, place, v FROM entries JOIN pr USING (doc_id) UNION ALL
+  SELECT lang, -1, (instr('0123456789abcdef', h[7:7]) - 1) * 16 + instr('0123456789abcdef', h[8:8]) - 1, 1.0 FROM nh),
+ dots AS (SELECT a.doc_id, b.cat, b.proto, sum(a.v * b.v) AS s FROM entries a JOIN pe b ON a.place = b.place GROUP BY ALL),
+ cats AS (SELECT doc_id, cat, round(max(s), 6) AS s FROM dots GROUP BY ALL),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, cat) AS r FROM cats),
+ best AS (SELECT doc_id, max(s) FILTER (r = 1) AS s1, coalesce(max(s) FILTER (r = 2), 0) AS s2, max(cat) FILTER (r = 1) AS c1 FROM rk GROUP BY doc_id),
+ v0 AS (SELECT *, {HELD} AS held FROM parts LEFT JOIN best USING (doc_id)),
+ verd AS (SELECT * EXCLUDE (s2), CASE WHEN held OR s1 IS NULL OR s1 < {V.DENSE_THRESHOLD} OR s1 - s2 < {V.LEAD_THRESHOLD} THEN '{U}' ELSE c1 END AS own,
+  CASE WHEN held OR c1 IS NULL THEN '{U}' ELSE c1 END AS near FROM v0), {_voted('verd', True)}
+ SELECT doc_id, path, topic, CASE WHEN held THEN 'held' WHEN own <> '{U}' THEN 'model' WHEN topic <> '{U}' THEN 'vote' ELSE 'unsorted' END AS how,
+  {_code} AS code, concat({_code}, '_', upper(topic[1:1]), topic[2:]) AS destination, coalesce(s1, 0) AS score FROM voted""",
 }
 from workloads.evidence_queries import ORACLES as _EVIDENCE  # noqa: E402
 
