@@ -257,3 +257,18 @@ VAGUE_NAMES = [
 VAGUE_MARKERS = ["copy", "document", "file", "image", "scan", "temp", "new", "untitled"]
 SERIAL_NAME = r"(?i)^(\d{1,6}(?:_[a-z0-9]*)*)$"
 TOPIC_SCORE = 0.20
+
+# ---- dates in names ---------------------------------------------------------------------------------------------------
+# The forms of dates, in order of precedence; (kind, pattern, groups of year, month and day, century to put before).
+MONTH_WORDS = "|".join(MONTHS)
+DATE_FORMS = [
+    ("day", r"\b(20\d{2})[-_](\d{2})[-_](\d{2})\b", (1, 2, 3), ""),
+    ("day", r"(?<!\d)(\d{2})[-_. ](\d{2})[-_. ](20\d{2})(?!\d)", (3, 2, 1), ""),
+    ("month", r"\b(20\d{2})[-_](\d{2})\b", (1, 2), ""),
+    ("day", r"\b(\d{2})(\d{2})(20\d{2})\b", (3, 2, 1), ""),
+    ("day", r"\b(\d{2})(\d{2})(\d{2})\b", (3, 2, 1), "20"),
+    ("word", rf"(?i)\b({MONTH_WORDS})[ _.-]*(20\d{{2}})\b", (2, 1), ""),
+    ("year", r"\b(20\d{2})\b", (1,), ""),
+    ("month", r"\b(\d{4})[-_](\d{2})\b", (1, 2), ""),
+]
+MONTH_SPAN = rf"(?i)\b({MONTH_WORDS})[ _.-]+(?:to[ _.-]+)?({MONTH_WORDS})[ _.-]*20\d{{2}}"
