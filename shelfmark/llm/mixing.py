@@ -31,6 +31,7 @@ MOST_SHARE = 0.1
 TOLERANCE = 0.01
 STEPS = 80
 SLICE = 2 << 20
+TRAIN_SLICE = 1 << 17  # on the driver
 DENSE = ("bias", "symbols", "capitals", "repeats", "length")
 IS_SYMBOL = np.zeros(256, bool)
 IS_SYMBOL[[*b"#$%&*!@^~|<>{}[]\\=+_/"]] = True
@@ -125,7 +126,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Flag
     if not len(found):
         return FlagModel(np.zeros(0, np.uint64), np.zeros((0, 2)), np.zeros((len(DENSE), 2)))
     dense, distinct = [], []
-    for _, offsets, data in byte_slices(pa.array([x.encode() for x in found["text"]], pa.binary()), SLICE):
+    for _, offsets, data in byte_slices(pa.array([x.encode() for x in found["text"]], pa.binary()), TRAIN_SLICE):
         d, words, _ = features(offsets, data)
         dense.append(d)
         distinct += words
