@@ -30,7 +30,6 @@ HIDDEN = 8
 STEPS = 160
 WINDOW, OVERLAP = 384, 48
 SLICE = 1 << 20
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]+@")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -189,12 +188,13 @@ def window_tags(model: BiRNN, codes: np.ndarray, offsets: np.ndarray):
     return place[:, open_rows][keep][order], tags[keep][order]
 
 
-CHECKS = (lambda x: DOMAIN.search(x) is not None and LOCAL.match(x) is not None, is_ip, is_card, is_phone)
+SHAPES = (re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), IP, CARD, re.compile(r"\+?[0-9(][\x20().0-9-]+[0-9]"))
+CHECKS = (lambda _: True, is_ip, is_card, is_phone)
 EDGES = (".,;:!?()[]<>\"' ", ".,;:()- ", ".,;:()- ", ".,;:)- ")
 
 
 def added_spans(text: str, positions: np.ndarray, tags: np.ndarray, base: list) -> list[tuple[int, int, int]]:
-    """Runs of one tag, trimmed, checked by kind, and clear of base spans."""
+    """Runs of one tag, trimmed; kept if they have the shape of their kind, pass its check, stand alone and meet no base span."""
     out = []
     cuts = np.flatnonzero((np.diff(positions) != 1) | (np.diff(tags) != 0)) + 1
     for run_at, run_tags in zip(np.split(positions, cuts), np.split(tags, cuts), strict=True):
@@ -202,7 +202,8 @@ def added_spans(text: str, positions: np.ndarray, tags: np.ndarray, base: list)
         found = text[a:b]
         a += len(found) - len(found.lstrip(EDGES[kind]))
         b -= len(found) - len(found.rstrip(EDGES[kind]))
-        if a < b and CHECKS[kind](text[a:b]) and not any(s < b and a < e for s, _, e in base):
+        alone = not (text[a - 1 : a].isalnum() or text[b : b + 1].isalnum())
+        if a < b and alone and SHAPES[kind].fullmatch(text, a, b) and CHECKS[kind](text[a:b]) and not any(s < b and a < e for s, _, e in base):
             out.append((a, kind, b))
     return out
 
