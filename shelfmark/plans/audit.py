@@ -62,3 +62,19 @@ def validation_summary(audit: DataFrame) -> DataFrame:
         ratio(F.col("topic") == V.UNSORTED).alias("unsorted_ratio"),
         ratio(F.col("low_confidence") == "__YES__").alias("low_confidence_ratio"),
     )
+
+
+def validation_document(audit: DataFrame, missing: DataFrame) -> DataFrame:
+    """One row: the summary, every category's share, the overbroad ones, and the terms (`missing_terms`) no category covers."""
+    def largest_first(rows: DataFrame, measure: str, item: str, *columns: str) -> Column:
+        listed = F.sort_array(F.collect_list(F.struct((-F.col(measure)).alias("_by"), item, *columns)))
+        return rows.agg(F.transform(listed, lambda r: F.struct(*[r[c].alias(c) for c in (item, *columns)])).alias("l")).scalar()
+
+    shares = category_shares(audit)  # one row a category of the index
+    terms = missing.select("term", "token_type", "adjusted_weight", "sample_files")
+    return validation_summary(audit).select(
+        "*",
+        largest_first(shares, "files", "topic", "files", "share").alias("top_categories"),
+        largest_first(shares.filter("overbroad"), "files", "topic", "files", "share").alias("likely_overbroad_categories"),
+        largest_first(terms, "adjusted_weight", "term", "token_type", "adjusted_weight", "sample_files").alias("likely_missing_categories"),
+    )

@@ -200,6 +200,23 @@ def missing_terms(spark, sf):
     return audit.missing_terms(singles, I.index_frame(spark, {"Tax_Papers": "10.01", "Music_Albums": "10.02"}), weight=20).select("term")
 
 
+def validation_document(spark, sf):
+    """The whole document; its lists as text, so that SQL can hold them against its own."""
+    from shelfmark.operators import evidence as E
+
+    index = I.index_frame(spark, LANGS)
+    evidence = E.file_evidence(D.listing(spark, sf))
+    singles = E.theme_evidence(evidence)[0]
+    missing = audit.missing_terms(singles, index, weight=20)
+    missing = E.with_samples(missing, E.exploded_tokens(evidence, ["path", "base"]))
+    document = audit.validation_document(audit.mapping_audit(D.documents(spark, sf).select("path"), index, _classify), missing)
+    lines = lambda c, f: F.array_join(F.transform(c, f), ";")
+    shares = lambda r: F.concat(r["topic"], F.lit("="), r["files"].cast("string"))
+    return document.select(
+        "total_files", "unsorted_ratio", "low_confidence_ratio", lines("top_categories", shares).alias("top_categories"),
+        lines("likely_overbroad_categories", shares).alias("overbroad"), lines("likely_missing_categories", lambda r: r["term"]).alias("missing"))
+
+
 def merge_indexes(spark, sf):
     """Two indexes over the same names, from the part and supplier sides of the data."""
     part = D.table(spark, sf, "part")
@@ -275,7 +292,7 @@ def text_sorted(spark, sf):
 
 _queries = (nearest_topk, decide, lead, guard, category_shares, routing_metrics, benchmark_metrics, confusion_pairs, grid_search, best_setting,
             coarse_groups, prototype_texts, sort_how, sort_stats, organization_plan, plan_summary, conservation, loop_check, judge_by_tag,
-            quality_confusion, mapping_audit, validation_summary, missing_terms, merge_indexes, missing_profiles, embedding_todo, encoded_texts, cached_vectors, nearest_ties, text_sorted)
+            quality_confusion, mapping_audit, validation_summary, validation_document, missing_terms, merge_indexes, missing_profiles, embedding_todo, encoded_texts, cached_vectors, nearest_ties, text_sorted)
 QUERIES = {**{f.__name__: f for f in _queries}, "folder_vote": _vote(False), "vote_type_check": _vote(True)}
 
 # ---- oracles ----------------------------------------------------------------------------------------------------------
@@ -424,3 +441,12 @@ from workloads.evidence_queries import ORACLES as _EVIDENCE  # noqa: E402
 
 ORACLES["missing_terms"] = f"""WITH e AS ({_EVIDENCE['term_evidence']}) SELECT term FROM e WHERE adjusted_weight >= 20 AND noise_labels = ''
  AND NOT contains('music_albums tax_papers', term) ORDER BY adjusted_weight DESC, term LIMIT 25"""
+ORACLES["validation_document"] = f"""WITH {AUDIT}, e AS ({_EVIDENCE['term_evidence']}),
+ m AS (SELECT term, adjusted_weight FROM e WHERE adjusted_weight >= 20 AND noise_labels = ''
+  AND NOT contains({repr(' '.join(sorted(k.lower() for k in LANGS)))}, term) ORDER BY adjusted_weight DESC, term LIMIT 25),
+ c AS (SELECT topic, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM aud GROUP BY topic)
+ SELECT (SELECT count(*) FROM aud) AS total_files, (SELECT round(avg(CASE WHEN topic = '{U}' THEN 1.0::DOUBLE ELSE 0 END), 6) FROM aud) AS unsorted_ratio,
+  (SELECT round(avg(CASE WHEN low_confidence = '__YES__' THEN 1.0::DOUBLE ELSE 0 END), 6) FROM aud) AS low_confidence_ratio,
+  (SELECT string_agg(concat(topic, '=', n), ';' ORDER BY n DESC, topic) FROM c) AS top_categories,
+  coalesce((SELECT string_agg(concat(topic, '=', n), ';' ORDER BY n DESC, topic) FROM c WHERE share >= {V.OVERBROAD_SHARE}), '') AS overbroad,
+  coalesce((SELECT string_agg(term, ';' ORDER BY adjusted_weight DESC, term) FROM m), '') AS missing"""
