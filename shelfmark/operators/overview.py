@@ -93,6 +93,23 @@ def folder_map(groups: DataFrame, limit: int = 250) -> DataFrame:
     return sizes.join(F.broadcast(top_joined(kept, "folder", "type", "files", 3, "top_types")), "folder")
 
 
+def folder_samples(routed: DataFrame, limit: int = 250, samples: int = 5, min_big: int = MIN_BIG) -> DataFrame:
+    """``(folder, sample_names)`` of the groups that ``folder_map`` lists: names spread evenly over each group's paths."""
+    cells = folder_cells(routed)
+    splits = splitting_folders(cells, min_big)
+    groups = with_folder_group(cells, splits).groupBy("folder", "type").agg(F.sum("files").alias("files"))
+    listed = F.broadcast(folder_map(groups, limit).select("folder"))
+    keys = [P.folder_key(F.col("dirs"), d).alias(f"k{d}") for d in DEPTHS]
+    rows = with_folder_group(routed.select("path", "base", *keys), splits).join(listed, "folder", "left_semi").select("folder", "path", "base")
+    return _sample_names(spread_sample(rows, "folder", "path", samples))
+
+
+def _sample_names(picked: DataFrame) -> DataFrame:
+    return picked.groupBy("folder").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", "base"))), lambda s: s["base"]), ";").alias("sample_names")
+    )
+
+
 def type_table(groups: DataFrame, limit: int = 40) -> DataFrame:
     """Largest types with the two folder groups that hold most of each."""
     sizes = groups.groupBy("type").agg(F.sum("files").alias("files")).orderBy(F.desc("files"), "type").limit(limit)
@@ -164,9 +181,7 @@ def leftover_groups(leftovers: DataFrame, max_groups: int = 150, samples: int =
     types = top_joined(groups.join(listed, "folder", "left_semi"), "folder", "type", "files", 3, "top_types")
     columns = ["folder", "path", "base"] + (["candidates"] if "candidates" in leftovers.columns else [])
     picked = spread_sample(keyed.join(listed, "folder", "left_semi").select(*columns), "folder", "path", samples, ranges)
-    names = picked.groupBy("folder").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", "base"))), lambda s: s["base"]), ";").alias("sample_names")
-    )
+    names = _sample_names(picked)
     out = sizes.join(F.broadcast(types), "folder").join(F.broadcast(names), "folder")
     if "candidates" in leftovers.columns:
         closest = closest_summary(picked, "folder").groupBy("folder").agg(

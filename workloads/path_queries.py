@@ -36,7 +36,7 @@ DOC_SPLIT = SPLIT.format(parts=DOC_PARTS)
 TYPE = "CASE WHEN ext = '' THEN '(none)' ELSE ext END"
 # Adaptive folder groups, top-down over four fixed depths.
 KEYS = ", ".join(f"{FOLDER2.format(d=d)} AS k{d}" for d in (2, 3, 4, 5))
-GROUPS = f"""{DOC_SPLIT}, keyed AS (SELECT path, {TYPE} AS type, {KEYS} FROM split WHERE placement = 'routed'),
+GROUPS = f"""{DOC_SPLIT}, keyed AS (SELECT path, base, {TYPE} AS type, {KEYS} FROM split WHERE placement = 'routed'),
 big AS (SELECT greatest(300, count(*) // 30) AS big FROM keyed),
 l4 AS (SELECT k4, CASE WHEN count(*) > (SELECT big FROM big) AND count(DISTINCT k5) > 1 THEN count(DISTINCT k5) ELSE 1 END AS n4
   FROM keyed GROUP BY k4),
@@ -113,6 +113,10 @@ def folder_map(spark, sf):
     return O.folder_map(O.folder_groups(_split(spark, sf).filter("placement = 'routed'")))
 
 
+def folder_samples(spark, sf):
+    return O.folder_samples(_split(spark, sf).filter("placement = 'routed'"))
+
+
 def unique_paths(spark, sf):
     return distinct_paths(D.pages(spark, sf).select("path"))
 
@@ -138,7 +142,7 @@ def closest_summary(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     inventory_parts, junk_tier, managed_filter, bundle_units, split_placement, split_overview, has_information, plan_text, strip_root,
-    topic_folders, type_table, folder_groups, folder_map, unique_paths, leftover_groups, spread_sample, closest_summary)}
+    topic_folders, type_table, folder_groups, folder_map, folder_samples, unique_paths, leftover_groups, spread_sample, closest_summary)}
 
 _TEXT = "translate(concat(stem, ' ', coalesce(array_to_string(dirs, ' '), '')), '_-', '  ')"
 _WORD = "regexp_replace(ext, '^\\.+', '')"
@@ -180,6 +184,10 @@ ORACLES = {
  r AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY n DESC, type) AS rk FROM t)
  SELECT listed.folder, files, {_TOP.format(item='type', n='n')} AS top_types FROM listed JOIN r ON r.folder = listed.folder AND rk <= 3
  GROUP BY listed.folder, files""",
+    "folder_samples": f"""WITH {GROUPS}, listed AS (SELECT * FROM sized ORDER BY files DESC, folder LIMIT 250),
+ pos AS (SELECT folder, list(grouped.base ORDER BY grouped.path) AS names, count(*) AS n FROM grouped JOIN listed USING (folder) GROUP BY folder)
+ SELECT folder, array_to_string(list_transform(CASE WHEN n <= 5 THEN range(1, n + 1) ELSE list_transform(range(0, 5), lambda i: i * n // 5 + 1) END,
+  lambda i: names[i]), ';') AS sample_names FROM pos""",
     "unique_paths": f"SELECT DISTINCT path FROM ({D.PAGES})",
     "leftover_groups": f"""WITH {DOC_PARTS}, keyed AS (SELECT path, base, lang, {TYPE} AS type, {FOLDER2.format(d=2)} AS folder FROM parts),
  listed AS (SELECT folder, count(*) AS files FROM keyed GROUP BY folder ORDER BY files DESC, folder LIMIT 150),
