@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.operators import changes as C
+from shelfmark.streaming.scans import read_log, read_state, track_scans
 from shelfmark.streaming.tracker import append_events, track_changes
 
 SCHEMA = "file_key string, path string, size double, sha256 string, observed_at timestamp"
@@ -58,3 +59,24 @@ def test_missing_and_restored_with_time_to_live(spark, tmp_path):
     rows = run(spark, tmp_path, scans, ttl_seconds=36 * 3600, lateness="0 seconds").orderBy("observed_at").collect()
     assert [r["event_type"] for r in rows if r["file_key"] == "b"] == ["new_file", "missing_file", "restored_file"]
     assert [r["event_type"] for r in rows if r["file_key"] == "a"] == ["new_file"]
+
+
+def test_scans_equal_the_batch_run_and_may_repeat(spark, tmp_path):
+    """Missing and restored files, and a batch that runs twice: the tables are the same as after one run."""
+    names = ("volume", "file_id", "identity_source", "file_name", "extension", "metadata_signature", "sha256", "hash_error")
+    null = [F.lit(None).cast("string").alias(c) for c in names] + [F.lit(None).cast("timestamp").alias(c) for c in ("created", "modified")]
+    scans = [[("a", "x/a", 1), ("b", "x/b", 1)], [("a", "y/a", 1)], [("a", "y/a", 2), ("b", "x/b", 1), ("c", "x/c", 1)]]
+    for day, rows in enumerate(scans):
+        frame = spark.createDataFrame([(k, p, s, T0 + dt.timedelta(days=day)) for k, p, s in rows for _ in range(2)], "file_key string, path string, size long, observed_at timestamp")
+        frame = frame.select("*", *null, F.lit("r").alias("scan_root"))
+        frame.write.mode("append").parquet(f"{tmp_path}/in")
+        track_scans(spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", "r").awaitTermination()
+    log = read_log(spark, f"{tmp_path}/out", "events", 3)
+    got = sorted((r["file_key"], r["observed_at"].day, r["event_type"]) for r in log.collect())
+    assert got == [("a", 2, "path_changed"), ("a", 3, "content_changed"), ("b", 2, "missing_file"), ("b", 3, "restored_file"), ("c", 3, "new_file")]
+    assert log.select("event_id").distinct().count() == 5 and read_log(spark, f"{tmp_path}/out", "master", 3).count() == 3
+    state = {r["file_key"]: (r["path"], r["is_active"], r["first_seen_at"].day) for r in read_state(spark, f"{tmp_path}/out", 3).collect()}
+    assert state == {"a": ("y/a", True, 1), "b": ("x/b", True, 1), "c": ("x/c", True, 3)}
+    again = C.snapshot_run(read_log(spark, f"{tmp_path}/out", "master", 2), read_state(spark, f"{tmp_path}/out", 2), log.select("event_id"),
+                           frame, "r", F.lit(T0 + dt.timedelta(days=2)))
+    assert again["events"].count() == 3 and again["export"].count() == 0

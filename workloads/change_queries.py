@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import changes as C
 from shelfmark.session import ROCKSDB, materialise, run_folder
+from shelfmark.streaming.scans import read_log, read_state, track_scans
 from shelfmark.streaming.tracker import append_events, track_changes
 from workloads import derive as D
 
@@ -113,22 +114,38 @@ def three_scans(spark, sf):
 
 
 def stream_changes(spark, sf):
-    """The whole events table as three scans, one micro-batch each, through the stateful tracker."""
+    """The whole events table, raw, as three scans, one micro-batch each, through the stateful tracker."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     root = os.path.join(run_folder(spark), f"stream-{uuid.uuid4().hex}")
     seen = D.observations(spark, sf).select("file_key", "path", "size", "sha256", "observed_at")
     edges = [F.lit(x).cast("timestamp") for x in EDGES]
     at = F.col("observed_at")
-    for i, part in enumerate([seen.filter(at < edges[0]), seen.filter((at >= edges[0]) & (at < edges[1])), seen.filter(at >= edges[1])]):
-        C.latest_observation(part).coalesce(1).write.mode("append").parquet(f"{root}/in/scan={i}")
-    stream = spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/*")
-    append_events(track_changes(stream), f"{root}/out", f"{root}/cp").awaitTermination()
+    for part in (seen.filter(at < edges[0]), seen.filter((at >= edges[0]) & (at < edges[1])), seen.filter(at >= edges[1])):
+        part.write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(seen.schema).parquet(f"{root}/in")
+        append_events(track_changes(stream), f"{root}/out", f"{root}/cp").awaitTermination()
     return spark.read.parquet(f"{root}/out").select("file_key", "event_type", "path_changed", "content_changed", "previous_path", "path", "size",
                                                     "observed_at")
 
 
+def stream_scans(spark, sf):
+    """All events in three scans through the stream of scans: every event of a key in order, and the state that is left."""
+    root = os.path.join(run_folder(spark), f"scans-{uuid.uuid4().hex}")
+    seen = D.observations(spark, sf)
+    at, edges = F.col("observed_at"), [F.lit(x).cast("timestamp") for x in EDGES]
+    for part in (seen.filter(at < edges[0]), seen.filter((at >= edges[0]) & (at < edges[1])), seen.filter(at >= edges[1])):
+        part.write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(seen.schema).parquet(f"{root}/in")
+        track_scans(stream, f"{root}/out", "drive", "hash").awaitTermination()
+    log = read_log(spark, f"{root}/out", "events", 3)
+    chains = log.groupBy("file_key").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("observed_at", "event_type"))), lambda e: e["event_type"]), ">").alias("events"))
+    state = read_state(spark, f"{root}/out", 3).select("file_key", "path", "is_active", "first_seen_at")
+    return chains.join(state, "file_key", "right")
+
+
 QUERIES = {f.__name__: f for f in (latest_observation, identity_keys, snapshot_diff, metadata_diff, event_counts, current_state, master_additions,
-                                   first_sighting, hash_todo, pending_export, verify_state, three_scans, stream_changes)}
+                                   first_sighting, hash_todo, pending_export, verify_state, three_scans, stream_changes, stream_scans)}
 
 HALVES = f"""obs AS ({D.OBS}),
 a AS (SELECT *, file_key NOT LIKE '%|signup' AS act FROM obs WHERE observed_at < TIMESTAMP '{D.MIDDLE}'
@@ -210,3 +227,4 @@ ORACLES = {
  lg AS (SELECT file_key, string_agg(event_type, '>' ORDER BY n) AS events FROM ev GROUP BY file_key)
  SELECT file_key, events, path, act AS is_active, first_seen AS first_seen_at FROM c3 LEFT JOIN lg USING (file_key)""",
 }
+ORACLES["stream_scans"] = ORACLES["three_scans"]
