@@ -28,6 +28,7 @@ TOKEN = re.compile(
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+STATES = re.compile(r"\b(?:has|is|no|with|without)[-_][A-Za-z]+")  # they tell what the page has elsewhere, not what this element is
 
 
 @dataclass
@@ -48,7 +49,7 @@ class Block:
 
 
 def _words(attributes: str) -> frozenset:
-    found = [x.lower() for groups in NAMES.findall(attributes) for value in groups for x in WORD.findall(value)]
+    found = [x.lower() for groups in NAMES.findall(attributes) for value in groups for x in WORD.findall(STATES.sub("", value))]
     if HIDDEN.search(attributes):
         found.append("hidden")
     return frozenset(found)
@@ -138,12 +139,17 @@ def _block_of(elements: list[Element], stack: list[int]) -> int:
     return next((k for k in reversed(stack) if elements[k].tag in BLOCKS), stack[0])
 
 
-def is_boiler(element: Element) -> bool:
-    """By its tag or its class, id and role; words do not count on what holds the article, nor a header inside it."""
-    if element.tag in ("html", "body"):
-        return False
-    if element.words & COMMENT_WORDS:
-        return True
-    if element.holds_main:
-        return False
-    return element.tag in BOILER_TAGS or bool(element.words & BOILER_WORDS)
+def boiler_elements(elements: list[Element]) -> list[bool]:
+    """By tag, class, id and role; words do not count on what holds the article, and a header inside the article is its own."""
+    inside, out = [], []
+    for element in elements:
+        within = element.parent >= 0 and inside[element.parent]
+        inside.append(within or element.tag in ("article", "main"))
+        signs = (element.words & BOILER_WORDS) | ({element.tag} & BOILER_TAGS)
+        if element.tag in ("html", "body"):
+            out.append(False)
+        elif element.words & COMMENT_WORDS:
+            out.append(True)
+        else:
+            out.append(not element.holds_main and bool(signs - {"header"} if within else signs))
+    return out

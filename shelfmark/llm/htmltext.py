@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.blocks import Block, Element, is_boiler, parse
+from shelfmark.llm.blocks import Block, Element, boiler_elements, parse
 from shelfmark.llm.mincut import source_side
 
 SAMPLE_PAGES = 300
@@ -28,7 +28,7 @@ FEATURES = ("bias", "in_main", "boiler", "link_share", "log_chars", "sentence_en
 
 
 def describe(elements: list[Element], blocks: list[Block]) -> np.ndarray:
-    boiler = [is_boiler(e) for e in elements]
+    boiler = boiler_elements(elements)
     rows = []
     for number, block in enumerate(blocks):
         tags = [elements[k].tag for k in block.chain[:3]]

@@ -46,6 +46,14 @@ def test_boilerplate_goes_with_and_without_article_tags(small):
         assert main_text(PAGE % wrapped, weights) == TEXT
 
 
+def test_headers_and_state_words(small):
+    weights = fit([r.html for r in small["pages"].collect()])
+    article = f'<article class="post"><header class="entry-header"><h1>Head line</h1></header>{BODY}</article>'
+    assert main_text(PAGE % article, weights) == "Head line " + TEXT
+    assert main_text(PAGE % f'<div class="content has-sidebar no-comments">{BODY}</div>', weights) == TEXT
+    assert main_text(PAGE % f'<div class="sidebar">{BODY}</div><main>{BODY}</main>', weights) == TEXT
+
+
 def test_edges(spark):
     schema = "page_id long, url string, html string, text string, blocks int"
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p>a"), (3, "u", "<p>a"), (4, "u", "<article>" + "<p>x y.</p>" * 20_000 + "</article>"),
