@@ -181,7 +181,8 @@ def _last_pairs(open_rows: DataFrame, first: DataFrame, facts: DataFrame, sets:
     own_keys = open_rows.select("key", F.col("node").alias("open_node"))
     begun = first.join(open_rows.select("key").distinct(), "key", "left_semi").select("pivot").distinct()
     opened = own_keys.join(first.select("key", F.col("node").alias("open_node"), "pivot"), ["key", "open_node"]).select("pivot", F.col("open_node").alias("node")).distinct()
-    group = first.join(begun, "pivot", "left_semi").select("pivot", "node", F.col("common").alias("near")).distinct()
+    # Dealt out by node before the distinct, else it would keep the dealing by pivot, and a hot pivot could not be split.
+    group = first.join(begun, "pivot", "left_semi").select("pivot", "node", F.col("common").alias("near")).repartition("node").distinct()
     group = group.join(facts.where(F.col("common") >= threshold * F.col("size")), "node")
     group = group.join(opened.withColumn("open", F.lit(True)), ["pivot", "node"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
     least = group.groupBy("pivot").agg(F.min("size").alias("least"))
@@ -210,8 +211,9 @@ def _last_pairs(open_rows: DataFrame, first: DataFrame, facts: DataFrame, sets:
 def links(documents: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, rounds: int = 2) -> DataFrame:
     """a, b: checked matches that join the nodes of every class.  nodes: node, doc_id (one of its documents), keys."""
     rows = nodes.where("keys is not null").select("node", F.explode("keys").alias("key"))
-    full = rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
-    full = materialise(full, "buckets")
+    # Aggregates are written before they are joined by their own key: read back, both sides are dealt out anew, and a hot key can be split.
+    shared_keys = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-keys")
+    full = materialise(rows.join(shared_keys, "key"), "buckets")
     weight = full.groupBy("node").agg(F.sum("n").alias("weight"))
     full = materialise(full.select("key", "node").join(weight, "node"), "weighted")
     used = full.select("node").distinct()
@@ -220,6 +222,7 @@ def links(documents: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD,
     open_rows, found, first, shared, labels = full, None, None, None, None
     for _ in range(rounds):
         pivots = open_rows.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top")).select("key", F.col("top.node").alias("pivot"))
+        pivots = materialise(pivots, "pivots")
         near = materialise(open_rows.join(pivots, "key").where("node != pivot"), "near")
         checked = materialise(_checked(near.select(*_ordered("node", "pivot")).distinct(), sets), "checked")
         match = checked.where(F.col("sim") >= threshold).select("a", "b")
@@ -254,5 +257,5 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, keep: li
     linked = labels.join(lowest, "label").join(degree, "node").select("node", "class_id", "n_links")
     classes = nodes.join(linked, "node", "left").select(
         "node", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = rows.select(*keep, "node").join(classes, "node", "left")
+    out = rows.select(*keep, "node").join(materialise(classes, "classes"), "node", "left")
     return out.select(*keep, F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
