@@ -180,12 +180,14 @@ def _last_pairs(open_rows: DataFrame, first: DataFrame, facts: DataFrame, sets:
     need = threshold / (1 + threshold)  # of the sum of both sizes
     own_keys = open_rows.select("key", F.col("node").alias("open_node"))
     begun = first.join(open_rows.select("key").distinct(), "key", "left_semi").select("pivot").distinct()
+    begun = materialise(begun, "begun")
     opened = own_keys.join(first.select("key", F.col("node").alias("open_node"), "pivot"), ["key", "open_node"]).select("pivot", F.col("open_node").alias("node")).distinct()
     # Dealt out by node before the distinct, else it would keep the dealing by pivot, and a hot pivot could not be split.
     group = first.join(begun, "pivot", "left_semi").select("pivot", "node", F.col("common").alias("near")).repartition("node").distinct()
     group = group.join(facts.where(F.col("common") >= threshold * F.col("size")), "node")
     group = group.join(opened.withColumn("open", F.lit(True)), ["pivot", "node"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
-    least = group.groupBy("pivot").agg(F.min("size").alias("least"))
+    group = materialise(group, "group")
+    least = materialise(group.groupBy("pivot").agg(F.min("size").alias("least")), "least")
     group = materialise(group.join(least, "pivot").select("pivot", "node", "near", "size", "label", "open", "least"), "group")
 
     def sides(frame: DataFrame, columns: list[str], name: str) -> DataFrame:
