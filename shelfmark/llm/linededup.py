@@ -68,8 +68,12 @@ def _line_rows(documents: DataFrame, least: int) -> DataFrame:
 
 
 def _name(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """pos, name: the first position with the same keys, for keys that occur more than once."""
+    """pos, name: the first position with the same keys, for keys that occur more than once.
+
+    Classes are written before the join: read back, both sides of it are dealt out anew, and a very frequent key can be split.
+    """
     classes = rows.groupBy(*keys).agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    classes = materialise(classes, "classes")
     return materialise(rows.select("pos", *keys).join(classes, keys).select("pos", F.col("first").alias("name")), label)
 
 
@@ -103,6 +107,7 @@ def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFram
         known = here.join(left, "start").withColumn("tail", F.col("start") + F.col("size") - length).join(right, "tail")
         known = materialise(known.select("begin", "start", "size", "left", "right"), "known")
         first = known.groupBy("size", "left", "right").agg(F.min("start").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        first = materialise(first, "first")
         later = known.join(first, ["size", "left", "right"]).where("start > first").select("begin", "start", "size")
         copies.append(materialise(later, "copies"))
     copies = reduce(DataFrame.union, copies)
