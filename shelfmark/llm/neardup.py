@@ -4,10 +4,11 @@ A document is the weighted set of its runs of five words (of all its words if it
 Documents with equal sets are one node from the start, so exact copies cost nothing later.  In each band's bucket every node is
 compared with the bucket's pivot, never with all others; pivots are the nodes that share most buckets, the middle of a group of near
 copies.  Pairs are checked exactly on the shingles and give classes.  Nodes that are not in the class of their pivot go on: first with
-a second pivot, then with those members of other classes that they can still match.  A node cannot match at all if it has edits of its
-own in over a fifth of its shingles; two nodes cannot match if they share too little beyond what the pivot has (see ``_last_pairs``).
-Nodes in the class of a second pivot are not searched further in that bucket; other bands show them with other pivots.  A pair
-of similarity 0.8 shares none of the 32 bands of five coordinates with a probability of 3 in a million.
+a second pivot, whose class saves comparisons within it, then all of them, second pivots and their classes too, with those members of
+other classes that they can still match.  A node cannot match at all if it has edits of its own in over a fifth of its shingles; two
+nodes cannot match if they share too little beyond what the first pivot has (see ``_last_pairs``).  So every match that shares a bucket
+is found or joins nodes of one class.  A pair of similarity 0.8 shares none of the 32 bands of five coordinates with a probability of
+3 in a million.
 
 Defined results: a null text is a class of its own; texts without words are copies if they are equal; repeated rows belong to one
 class; the class id is the smallest doc_id of the class (null ids only where no other is there); extra columns are ignored.
@@ -150,13 +151,12 @@ def _ordered(left: str, right: str):
     return F.least(left, right).alias("a"), F.greatest(left, right).alias("b")
 
 
-def _open_rows(near: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows whose node is not in the class of its bucket's pivot, and the classes."""
-    labels = components(found)
+def _open_rows(near: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows whose node is not in the class of its bucket's pivot."""
     own = near.join(labels.withColumnRenamed("label", "own"), "node", "left")
     other = labels.select(F.col("node").alias("pivot"), F.col("label").alias("other"))
     apart = own.join(other, "pivot", "left").where(F.coalesce("own", "node") != F.coalesce("other", "pivot"))
-    return apart.select("key", "node", "weight"), labels
+    return apart.select("key", "node", "weight")
 
 
 def _shared(sets: DataFrame, used: DataFrame) -> DataFrame:
@@ -221,7 +221,7 @@ def links(documents: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD,
     used = full.select("node").distinct()
     wanted = materialise(nodes.select("doc_id", "node").join(used, "node", "left_semi"), "wanted")
     sets = materialise(_sets_of(documents, wanted), "sets")
-    open_rows, found, first, shared, labels = full, None, None, None, None
+    open_rows, found, first, begun, could = full, None, None, None, None
     for _ in range(rounds):
         pivots = open_rows.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top")).select("key", F.col("top.node").alias("pivot"))
         pivots = materialise(pivots, "pivots")
@@ -231,14 +231,18 @@ def links(documents: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD,
         found = materialise(match if found is None else found.union(match), "found")
         if first is None:
             first = near.select("key", "node", "pivot", *_ordered("node", "pivot")).join(checked.select("a", "b", "common"), ["a", "b"])
-        open_rows, labels = _open_rows(near, found)
-        open_rows = materialise(open_rows, "open")
+            begun = near
+        labels = components(found)
+        # Always against the first pivots: a second pivot and its class have met no other member of the first one's class.
+        open_rows = materialise(_open_rows(begun, labels), "open")
         if is_empty(open_rows):
             return found
-        if shared is None:
+        if could is None:
             shared = materialise(_shared(sets, full.join(open_rows.select("key").distinct(), "key", "left_semi")), "shared")
-        could = shared.where(F.col("common") >= threshold * F.col("size")).select("node")
-        open_rows = materialise(open_rows.join(could, "node", "left_semi").select("key", "node", "weight"), "open")
+            could = shared.where(F.col("common") >= threshold * F.col("size")).select("node")
+        open_rows = materialise(open_rows.join(could, "node", "left_semi"), "open")
+        if is_empty(open_rows):
+            return found
     facts = shared.join(labels, "node", "left").select("node", "size", "common", F.coalesce("label", "node").alias("label"))
     last = materialise(_last_pairs(open_rows, first, facts, sets, threshold), "last")
     match = _checked(last, sets).where(F.col("sim") >= threshold).select("a", "b")

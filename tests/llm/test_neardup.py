@@ -84,6 +84,32 @@ def test_groups_of_near_copies(documents, edits):
     assert sorted((r.doc_id, r.class_id) for r in near_duplicates(documents(rows)).collect()) == classes(rows)
 
 
+def bridged(seed, two):
+    """Two families of near copies (or one and a lone document) of which only one pair, far from both hubs, reaches the threshold."""
+    rng = np.random.default_rng(seed % 1000)
+    base = [f"s{seed}w{k}" for k in range(400)]
+    spots = rng.permutation(np.arange(6, 394, 6)).tolist()
+    bridge, spots = spots[:8], spots[8:]
+
+    def edited(words, at, name):
+        return [f"{name}x{k}" if k in at else w for k, w in enumerate(words)]
+
+    ends = [base, edited(base, bridge, f"b{seed}")]
+    rows = list(ends)
+    for side in range(1 + two):
+        hub = edited(ends[side], [spots[side]], f"h{seed}s{side}")
+        rows += [hub] + [edited(hub, [spots[2 + i]], f"m{seed}s{side}i{i}") for i in range(20)]
+    return [" ".join(x) for x in rows]
+
+
+def test_bridges_between_first_and_second_pivots(documents):
+    texts = [t for seed in (3, 8, 14, 18) for two in (False, True) for t in bridged(seed + 1000 * two, two)]
+    rows = [(k, t, "en") for k, t in enumerate(texts)]
+    expected = classes(rows)
+    assert len({c for _, c in expected}) == 8
+    assert sorted((r.doc_id, r.class_id) for r in near_duplicates(documents(rows)).collect()) == expected
+
+
 def test_edges(documents):
     rows = [(1, None, "en"), (2, None, "en"), (3, "", "en"), (4, "", "en"), (5, " !?", "en"), (6, "one two", "en"), (7, "One  two!", "en"),
             (8, "a " * 100_000, "en"), (9, "a " * 100_001, "en"), (9, "a " * 100_001, "en"), (10, "é e", "en")]
