@@ -4,7 +4,10 @@ Logistic models are trained on a bounded sample of the labelled table; its quali
 Every document gets domain probabilities in thousandths.  Nonnegative rates (expected copies) are then fitted by projected gradient
 descent on the squared differences between the domains' expected token totals and their targets.  Steps are scaled by document
 length, so a rate depends on the probabilities alone, starting at 1; documents with equal probabilities are summed first, and each
-step is one distributed aggregate over these sums.  Only the step vectors (one number a domain) pass through the driver.
+step is one distributed aggregate over these sums.  Then ``settle`` goes on with steps scaled by each domain's own mass, until every
+domain is within the tolerance of its own target, however small its share.  A domain with target 0 is done when a document wholly
+in it has a rate of at most the tolerance; small memberships of other documents do not push it further.  ``settle`` works on the
+driver, on the token sums of the different probabilities: at most 501,501 rows (thousandths of three domains), whatever the table.
 
 Defined results: a null or empty text has no tokens and the probabilities of the bias; without labels each flag has probability one half;
 repeated rows get equal probabilities and rates; rows of `labels` with a null are not used; copies are the rate's whole part plus one
@@ -166,9 +169,14 @@ def rate_of(p: Column, steps: list[list[float]]) -> Column:
     return F.aggregate(moves, F.lit(1.0), lambda rate, s: F.greatest(F.lit(0.0), rate - change(s)))
 
 
+def _cells(members: DataFrame) -> DataFrame:
+    """p, tokens: the tokens of all documents with equal probabilities."""
+    return materialise(members.groupBy("p").agg(F.sum("tokens").alias("tokens")).where("tokens > 0"), "cells")
+
+
 def fit_rates(members: DataFrame, targets: dict[str, float], tolerance: float = TOLERANCE, limit: int = STEPS) -> list[list[float]]:
     """Steps of projected gradient descent until every domain is within `tolerance` of the total from its target."""
-    cells = materialise(members.groupBy("p").agg(F.sum("tokens").alias("tokens")).where("tokens > 0"), "cells")
+    cells = _cells(members)
     size = len(DOMAINS)
     product = [F.sum(F.col("tokens") * (F.col("p")[i] * F.col("p")[j] / 1e6)) for i in range(size) for j in range(size)]
     first = cells.agg(F.sum("tokens").alias("n"), *[x.alias(f"g{k}") for k, x in enumerate(product)]).first()
@@ -189,11 +197,44 @@ def fit_rates(members: DataFrame, targets: dict[str, float], tolerance: float =
     return steps
 
 
+def settle(members: DataFrame, targets: dict[str, float], steps: list[list[float]], tolerance: float = TOLERANCE) -> list[list[float]]:
+    """The given steps and more, until every domain is within `tolerance` of its own target, or no step changes a total any more."""
+    columns = [F.col("p")[k].alias(f"p{k}") for k in range(len(DOMAINS))]
+    cells = _cells(members).select("tokens", *columns).toPandas().sort_values([f"p{k}" for k in range(len(DOMAINS))])
+    if not len(cells):
+        return steps
+    share = cells["tokens"].to_numpy(float) / cells["tokens"].sum()
+    p = cells.drop(columns="tokens").to_numpy(float) / 1000
+    wanted = np.array([targets[k] for k in DOMAINS]) / max(sum(targets.values()), 1e-12)
+    gram = (p * share[:, None]).T @ p
+    mass = share @ p
+    present, zero = mass > 0, wanted == 0
+    scale = np.where(present, 1 / np.where(present, np.diag(gram), 1), 0)
+    scale = scale / float(np.linalg.eigvalsh(np.sqrt(scale)[:, None] * gram * np.sqrt(scale))[-1])
+    # The last rows are documents wholly in one domain; they have no tokens.
+    p, share = np.concatenate((p, np.eye(len(DOMAINS)))), np.concatenate((share, np.zeros(len(DOMAINS))))
+    rate = np.ones(len(p))
+    for step in steps:
+        rate = np.maximum(0, rate - p @ step)
+    steps, before = list(steps), None
+    while True:
+        over, pure = (share * rate) @ p - wanted, rate[-len(DOMAINS):]
+        off = np.where(zero, pure > tolerance, np.abs(over) > tolerance * wanted)
+        moved = np.inf if before is None else (np.abs(over - before)[present] / np.maximum(mass, wanted)[present]).max()
+        if not (off & present).any() or moved < 1e-6:
+            return steps
+        step = scale * over
+        step[zero] = np.minimum(step[zero], pure[zero])
+        rate, before = np.maximum(0, rate - p @ step), over
+        steps.append(step.tolist())
+
+
 def mix(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep: list[str] | None = None) -> DataFrame:
     """The kept columns, tokens, p_good, p_low, p_toxic, rate, copies for every row."""
     keep = ["doc_id"] if keep is None else keep
     members = materialise(memberships(documents, fit(documents, labels), keep), "members")
-    rate = rate_of(F.col("p"), fit_rates(members, targets or TARGETS))
+    targets = targets or TARGETS
+    rate = rate_of(F.col("p"), settle(members, targets, fit_rates(members, targets)))
     place = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     out = members.withColumn("rate", F.round(rate, 6))
     copies = F.floor("rate") + (place < F.col("rate") - F.floor("rate")).cast("long")

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.llm.mixing import DOMAINS, TARGETS, fit_rates, mix, rate_of
+from shelfmark.llm.mixing import DOMAINS, TARGETS, fit_rates, mix, rate_of, settle
 
 
 def plain_rates(tokens, p, targets, steps):
@@ -55,3 +55,18 @@ def test_edges(spark, documents, labelled):
     if not labelled:
         assert {(r.p_good, r.p_low, r.p_toxic) for r in out} == {(0.25, 0.25, 0.5)}
     assert mix(documents([]), labels).count() == 0
+
+
+@pytest.mark.parametrize("share", [0.002, 0.01])
+@pytest.mark.parametrize("good", [0.85, 0.7])
+def test_toxic_documents_leave_whatever_their_share(spark, share, good):
+    rest = 1_000_000 * (1 - share)
+    rows = [(int(rest * good), [990, 5, 5]), (int(rest * (1 - good)), [10, 985, 5]), (int(1_000_000 * share), [0, 20, 980])]
+    frame = spark.createDataFrame(rows, "tokens long, p array<int>")
+    steps = settle(frame, TARGETS, fit_rates(frame, TARGETS))
+    got = frame.select("tokens", "p", rate_of(F.col("p"), steps).alias("rate")).collect()
+    by_domain = [r.rate for r in sorted(got, key=lambda r: -r.tokens)]
+    assert by_domain[2] < 0.1 and min(by_domain[:2]) > 0.4
+    total = sum(r.tokens for r in got)
+    for k, name in enumerate(DOMAINS[:2]):
+        assert abs(sum(r.tokens * r.rate * r.p[k] for r in got) / 1000 / total - TARGETS[name]) <= 0.01 * TARGETS[name] + 1e-9
