@@ -38,8 +38,9 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = {"item_id": [], "size": [], "content": [], "shingles": []}
-            for row, (_, offsets, data) in enumerate(byte_slices(batch.column(1), 1)):
-                low, starts, ends, _ = word_spans(offsets, data)
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                data = np.frombuffer(text or b"", np.uint8)
+                low, starts, ends, _ = word_spans(np.array([0, len(data)]), data)
                 size = min(window, len(starts))
                 if not size:
                     continue

@@ -59,3 +59,13 @@ def test_nothing_to_find(spark, documents, items):
     out = contamination(documents([(1, "a b", "en"), (2, None, "en")]), frame).collect()
     assert sorted((r.doc_id, r.n_words, r.n_hit, r.contaminated) for r in out) == [(1, 2, 0, False), (2, 0, 0, False)]
     assert contamination(documents([]), spark.createDataFrame([(1, "a")], "item_id long, text string")).count() == 0
+
+
+def test_items_keep_their_ids_after_empty_ones(spark, documents):
+    """All items in one batch; two nulls, two empty items, and one-byte items beside empty ones stand before the long ones."""
+    texts = [None, None, "first long item of five", "", "", "second item", "z", "", "third item", "", "q", "last item of all"]
+    items = [(10 + k, t) for k, t in enumerate(texts)]
+    rows = [(k, t) for k, t in enumerate(texts) if t] + [(99, " | ".join(t or "" for t in texts))]
+    frame = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    out = contamination(documents([(i, t, "en") for i, t in rows]), frame).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in out) == expected(rows, items)
