@@ -8,18 +8,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text as T
 from shelfmark.functions import vocab as V
-from shelfmark.session import materialise
+from shelfmark.operators.listed import listed_nearest
 
-# Prototype vectors held by one task at a time.  A larger prototype table is scored block by block, with the same result.
+# Prototype vectors that a worker holds.  A larger prototype table becomes an inverted list, with the same result.
 PROTOTYPE_BLOCK = 20_000
 PRODUCT_CELLS = 4_000_000
-RANKED = "array<struct<category:string,score:double,cat_ord:int>>"
 CANDIDATES = "array<struct<category:string,score:double>>"
 
 
@@ -124,22 +122,17 @@ def with_cached_vectors(rows: DataFrame, cache: DataFrame, model: str) -> DataFr
     return rows.withColumn("text_sha1", text_key(F.col("text"))).join(vectors, "text_sha1", "left")
 
 
-def _score_block(vec: Column, owners: np.ndarray, categories: list[str], matrix: np.ndarray, top_k: int, digits: int | None,
-                 spark, kind: str) -> tuple[Column, Broadcast]:
-    """Candidates of one block of prototypes, best prototype per category, and the block's broadcast.  ``kind`` is their type.
+def _score_block(vec: Column, owners: np.ndarray, categories: list[str], matrix: np.ndarray, top_k: int, digits: int | None, spark) -> Column:
+    """Candidates by a prototype table that a worker can hold, best prototype per category.
 
-    The product of a batch is made in pieces of at most ``PRODUCT_CELLS`` numbers (8 bytes each), so a worker holds one block and
-    two such pieces.
+    The product of a batch is made in pieces of at most ``PRODUCT_CELLS`` numbers (8 bytes each).
     """
     shared = spark.sparkContext.broadcast((owners, np.asarray(categories, dtype=object), matrix))
 
-    fields = 3 if kind == RANKED else 2
-
-    @F.pandas_udf(kind)
+    @F.pandas_udf(CANDIDATES)
     def candidates(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         owner, names, protos = shared.value
         starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        ordinals = owner[starts]
         piece = max(1, PRODUCT_CELLS // len(protos))
         for batch in batches:
             out = np.empty(len(batch), dtype=object)
@@ -153,52 +146,31 @@ def _score_block(vec: Column, owners: np.ndarray, categories: list[str], matrix:
                     best = np.round(best, digits)
                 order = np.argsort(-best, axis=1, kind="stable")[:, :top_k]
                 for at, row, scores in zip(rows, order, best):
-                    full = [(("category", names[c]), ("score", float(scores[c])), ("cat_ord", int(ordinals[c]))) for c in row]
-                    out[at] = [dict(x[:fields]) for x in full]
+                    out[at] = [{"category": names[c], "score": float(scores[c])} for c in row]
             yield pd.Series(out, index=batch.index)
 
-    return candidates(vec), shared
-
-
-def _merged(left: Column, right: Column, top_k: int) -> Column:
-    """The best of two candidate lists, by score, then ``cat_ord``; a category counts once, with its better score."""
-    both = F.concat(left, right)
-    ordered = F.transform(
-        F.array_sort(F.transform(both, lambda c: F.struct((-c["score"]).alias("s"), c["cat_ord"].alias("o"), c.alias("c")))), lambda t: t["c"])
-    ordinals = F.transform(ordered, lambda c: c["cat_ord"])
-    return F.slice(F.filter(ordered, lambda c, i: F.array_position(ordinals, c["cat_ord"]) == i + 1), 1, top_k)
+    return candidates(vec)
 
 
 def nearest(rows: DataFrame, protos: DataFrame, vec: str = "vec", top_k: int = 3, digits: int | None = None,
             block: int = PROTOTYPE_BLOCK) -> DataFrame:
     """Adds ``candidates``: the ``top_k`` categories by best prototype, best first, ties by ``cat_ord``.
 
-    ``protos`` is ``(category, cat_ord, vec)``.  Rows are never shuffled.  Prototypes are written once, in blocks of about ``block``
-    vectors; a block goes to the driver, out to the workers, and is freed before the next, whose pass merges its candidates with those
-    so far.  With one block nothing is written and the pass is part of the caller's plan.  Vectors made by ``hashed_vector`` should be
-    stored first (the cache, or ``materialise``): Spark does not take a Python function over higher-order functions in every plan.
+    ``protos`` is ``(category, cat_ord, vec)``.  Up to ``block`` prototypes go to the workers and the pass over the rows is part of the
+    caller's plan, without a shuffle.  More are kept as an inverted list (``listed_nearest``), with the same result.  Vectors made by
+    ``hashed_vector`` should be stored first (the cache, or ``materialise``): Spark does not take a Python function over higher-order
+    functions in every plan.
     """
-    ranked = protos.select("cat_ord", "category", F.col("vec").cast("array<double>").alias("vec"))
+    ranked = protos.select("category", "cat_ord", F.col("vec").cast("array<double>").alias("vec"))
     total = ranked.count()
-    pieces = max(1, -(-total // block))
-    if pieces > 1:
-        ranked = materialise(ranked.withColumn("_piece", F.pmod(F.xxhash64("cat_ord", "vec"), F.lit(pieces))), "prototypes", partition_by="_piece")
-    plain = lambda c: F.transform(c, lambda x: F.struct(x["category"].alias("category"), x["score"].alias("score"))).cast(CANDIDATES)
-    out, shared = rows.withColumn("_ranked", F.array().cast(RANKED)), None
-    for piece in range(pieces):
-        part = (ranked.filter(F.col("_piece") == piece) if pieces > 1 else ranked).toPandas().sort_values("cat_ord", kind="stable")
-        if part.empty:
-            continue
-        names = part.drop_duplicates("cat_ord")["category"].tolist()
-        matrix = np.stack(part["vec"].to_numpy()).astype(np.float64)
-        column, shared = _score_block(F.col(vec), part["cat_ord"].to_numpy(), names, matrix, top_k, digits, rows.sparkSession,
-                                      CANDIDATES if pieces == 1 else RANKED)
-        if pieces == 1:
-            return rows.withColumn("candidates", column)
-        found = out.withColumn("_new", column).withColumn("_ranked", _merged(F.col("_ranked"), F.col("_new"), top_k)).drop("_new")
-        out = materialise(found, "candidates")
-        shared.destroy()
-    return out.withColumn("candidates", plain(F.col("_ranked"))).drop("_ranked")
+    if total > block:
+        return listed_nearest(rows, ranked, total, vec, top_k, digits)
+    if not total:
+        return rows.withColumn("candidates", F.array().cast(CANDIDATES))
+    part = ranked.toPandas().sort_values("cat_ord", kind="stable")
+    names = part.drop_duplicates("cat_ord")["category"].tolist()
+    matrix = np.stack(part["vec"].to_numpy()).astype(np.float64)
+    return rows.withColumn("candidates", _score_block(F.col(vec), part["cat_ord"].to_numpy(), names, matrix, top_k, digits, rows.sparkSession))
 
 
 def lead(candidates: Column) -> Column:

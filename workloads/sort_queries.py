@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import paths as P
@@ -27,8 +28,6 @@ def _vectors(spark, sf):
 
 def _prototypes(spark, sf):
     """The first three vectors of each label; the row-number filter is applied per task before the shuffle."""
-    from pyspark.sql import Window
-
     ranked = _vectors(spark, sf).withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))
     return ranked.filter("r <= 3").select(F.concat(F.lit("c"), F.col("label")).alias("category"), F.col("label").alias("cat_ord"), "vec")
 
@@ -263,23 +262,30 @@ def cached_vectors(spark, sf):
 
 
 def nearest_ties(spark, sf):
-    """Whole-number vectors with equal scores everywhere: the order of categories decides, however the prototypes are cut."""
-    ones = _vectors(spark, sf).select("vec_id", F.transform(F.slice("vec", 1, 4), lambda x: F.when(x > 0, 1.0).otherwise(0.0)).alias("vec"))
-    return C.nearest(ones, _prototype_ties(spark, sf), top_k=3, block=7).select("vec_id", F.posexplode("candidates").alias("rank", "c")).select(
-        "vec_id", "rank", F.col("c.category").alias("category"), F.col("c.score").alias("score"))
+    """Whole-number vectors (which components are positive) with equal scores everywhere: the order of categories decides."""
+    ones = _vectors(spark, sf).select("vec_id", "label", F.transform("vec", lambda x: F.when(x > 0, 1.0).otherwise(0.0)).alias("vec"))
+    protos = ones.select(F.concat(F.lit("c"), F.col("label")).alias("category"), (9 - F.col("label")).alias("cat_ord"), "vec")
+    return _shown_candidates(C.nearest(ones.select("vec_id", "vec"), protos, top_k=3, block=50), "vec_id")
+
+
+def _shown_candidates(rows, key):
+    each = rows.select(key, F.posexplode("candidates").alias("rank", "c"))
+    return each.select(key, "rank", F.col("c.category").alias("category"), F.col("c.score").alias("score"))
 
 
-def _prototype_ties(spark, sf):
-    cut = F.transform(F.slice("vec", 1, 4), lambda x: F.when(x > 0, 1.0).otherwise(0.0))
-    return _vectors(spark, sf).filter("vec_id < 40").select(F.concat(F.lit("c"), F.col("label")).alias("category"), (9 - F.col("label")).alias("cat_ord"), cut.alias("vec"))
+def nearest_listed(spark, sf):
+    """The vectors of all documents against every embedding as a category of its own, by the inverted list."""
+    docs = D.table(spark, sf, "documents").select("doc_id", C.hashed_vector(C.model_text(F.col("text")), 64).alias("vec"))
+    protos = _vectors(spark, sf).select(F.concat(F.lit("v"), F.col("vec_id")).alias("category"), F.col("vec_id").cast("int").alias("cat_ord"), "vec")
+    return _shown_candidates(C.nearest(materialise(docs, "vectors"), protos, top_k=3, digits=6, block=100), "doc_id")
 
 
 def text_sorted(spark, sf):
     """From an index to placed files with the real encoder: prototypes from three texts a language, documents by their whole text,
     nearest prototype, abstention, holding, folder vote, codes."""
     docs = D.documents(spark, sf, "text")
-    ranked = docs.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list("doc_id")), 1, 3).alias("ids"))
-    chosen = docs.join(ranked.select(F.explode("ids").alias("doc_id")), "doc_id", "left_semi")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))
+    chosen = docs.select("lang", "doc_id", "text").withColumn("r", first).filter("r <= 3")
     texts = chosen.groupBy(F.col("lang").alias("category")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text")))["text"].alias("t"))
     codes = I.index_frame(spark, LANGS)
     index = codes.drop("profile").join(texts, "category", "left").withColumn("profile", F.when(F.col("t").isNotNull(), F.struct(
@@ -292,7 +298,7 @@ def text_sorted(spark, sf):
 
 _queries = (nearest_topk, decide, lead, guard, category_shares, routing_metrics, benchmark_metrics, confusion_pairs, grid_search, best_setting,
             coarse_groups, prototype_texts, sort_how, sort_stats, organization_plan, plan_summary, conservation, loop_check, judge_by_tag,
-            quality_confusion, mapping_audit, validation_summary, validation_document, missing_terms, merge_indexes, missing_profiles, embedding_todo, encoded_texts, cached_vectors, nearest_ties, text_sorted)
+            quality_confusion, mapping_audit, validation_summary, validation_document, missing_terms, merge_indexes, missing_profiles, embedding_todo, encoded_texts, cached_vectors, nearest_ties, nearest_listed, text_sorted)
 QUERIES = {**{f.__name__: f for f in _queries}, "folder_vote": _vote(False), "vote_type_check": _vote(True)}
 
 # ---- oracles ----------------------------------------------------------------------------------------------------------
@@ -418,11 +424,18 @@ ORACLES = {
  HAVING count(*) FILTER (lang = 'en') = 0""",
     "encoded_texts": f"""WITH {HASHED} SELECT DISTINCT sha1(text) AS text_sha1, vec FROM shown""",
     "cached_vectors": f"WITH {HASHED} SELECT doc_id, vec FROM shown",
-    "nearest_ties": """WITH v AS (SELECT vec_id, label, list_transform(list_slice(embedding, 1, 4), lambda x: CASE WHEN x > 0 THEN 1.0::DOUBLE ELSE 0 END) AS v
+    "nearest_ties": """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1.0::DOUBLE ELSE 0 END) AS v
   FROM embeddings),
- sc AS (SELECT q.vec_id, p.label, max(list_dot_product(q.v, p.v)) AS score FROM v q CROSS JOIN v p WHERE p.vec_id < 40 GROUP BY ALL),
+ sc AS (SELECT q.vec_id, p.label, max(list_dot_product(q.v, p.v)) AS score FROM v q CROSS JOIN v p GROUP BY ALL),
  rk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, 9 - label) - 1 AS rank FROM sc)
  SELECT vec_id, rank, concat('c', label) AS category, score FROM rk WHERE rank < 3""",
+    "nearest_listed": f"""WITH {HASHED}, few AS (SELECT doc_id, place % 64 AS place, sum(n) AS n FROM ct GROUP BY ALL),
+ size AS (SELECT doc_id, sqrt(sum(n * n)) AS size FROM few GROUP BY doc_id),
+ pe AS (SELECT vec_id, unnest(range(0, 64)) AS place, unnest(embedding::DOUBLE[]) AS w FROM embeddings),
+ dot AS (SELECT f.doc_id, vec_id, round(sum(n / size * w), 6) AS score FROM few f JOIN size USING (doc_id) JOIN pe USING (place) GROUP BY ALL),
+ none AS (SELECT doc_id, vec_id, 0.0 AS score FROM documents, embeddings WHERE doc_id NOT IN (SELECT doc_id FROM few)),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, vec_id) - 1 AS rank FROM (FROM dot UNION ALL FROM none))
+ SELECT doc_id, rank, concat('v', vec_id) AS category, score FROM rk WHERE rank < 3""",
     "text_sorted": f"""WITH {HASHED}, {DOC_PARTS}, pr AS (SELECT doc_id, lang FROM documents WHERE lang IN ('de', 'en', 'fr') QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= 3),
  nm AS (SELECT unnest(['de', 'en', 'fr']) AS lang), nh AS (SELECT lang, md5(lang) AS h FROM nm),
  pe AS (SELECT lang AS cat, doc_id AS proto, place, v FROM entries JOIN pr USING (doc_id) UNION ALL
