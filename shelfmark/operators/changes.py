@@ -34,11 +34,20 @@ def hash_status(sha256: Column, error: Column | None = None) -> Column:
     return F.when(sha256.isNotNull(), "hashed").when(failed, "hash_error").otherwise("not_hashed_yet")
 
 
-def latest_observation(observations: DataFrame, key: str = "file_key", at: str = "observed_at") -> DataFrame:
-    """One row per key.  An aggregate, not a window: a key with very many observations is reduced before the shuffle."""
-    rest = [c for c in observations.columns if c != key]
+def latest_observation(observations: DataFrame, key: str | list[str] = "file_key", at: str = "observed_at") -> DataFrame:
+    """One row per key.  An aggregate, not a window: a key with very many observations is reduced before the shuffle.
+
+    A latest row without a hash takes the last one that an earlier row has.
+    """
+    keys = [key] if isinstance(key, str) else key
+    rest = [c for c in observations.columns if c not in keys]
     ranked = F.struct(F.col(at), *[F.col(c).alias(f"{c}_") if c == at else F.col(c) for c in rest])
-    return observations.groupBy(key).agg(F.max_by(F.struct(*rest), ranked).alias("_last")).select(key, "_last.*")
+    known = {}
+    if "sha256" in rest:
+        known["_sha"] = F.max_by("sha256", F.when(F.col("sha256").isNotNull(), ranked))
+    last = observations.groupBy(*keys).agg(F.max_by(F.struct(*rest), ranked).alias("_last"), *[c.alias(n) for n, c in known.items()])
+    values = [F.coalesce("_last.sha256", "_sha").alias(c) if c == "sha256" else F.col(f"_last.{c}") for c in rest]
+    return last.select(*keys, *values)
 
 
 def initial_load(observed: DataFrame) -> DataFrame:

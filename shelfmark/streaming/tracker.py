@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 STATE = "path string, size double, sha256 string, is_active boolean, seen_us long"
 EVENTS = ("file_key string, observed_us long, event_type string, path_changed boolean, content_changed boolean, "
-          "active_state_changed boolean, previous_path string, path string, size double")
+          "active_state_changed boolean, previous_path string, path string, size double, late long")
 Event = Row(*[field.split()[0] for field in EVENTS.split(", ")])
 
 
@@ -29,11 +29,25 @@ class ChangeProcessor(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", STATE)
 
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        row = initialState
+        self.last.update((row.path, row.size, row.sha256, row.is_active, row.seen_us))
+        if self.ttl_ms is not None and row.is_active:
+            self.handle.registerTimer(row.seen_us // 1000 + self.ttl_ms)
+
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        micros, path, size, sha = max((r.observed_us, r.path, r.size, r.sha256 or "") for r in rows)
-        previous = self.last.get()
-        if previous is not None and micros < previous[4]:
-            return  # older than what is known
+        previous, newest, late = self.last.get(), None, 0
+        for r in rows:
+            if previous is not None and r.observed_us < previous[4]:
+                late += 1  # older than what is known
+                continue
+            row = (r.observed_us, r.path, r.size, r.sha256 or "")
+            newest = row if newest is None or row > newest else newest
+        if late:
+            yield Event(key[0], previous[4], "late_rows", False, False, False, previous[0], previous[0], previous[1], late)
+        if newest is None:
+            return
+        micros, path, size, sha = newest
         event = _event(previous, path, size, sha or None)
         kept_sha = sha or (previous[2] if previous is not None else None)
         self.last.update((path, size, kept_sha, True, micros))
@@ -42,14 +56,14 @@ class ChangeProcessor(StatefulProcessor):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(micros // 1000 + self.ttl_ms)
         if event:
-            yield Event(key[0], micros, *event, previous[0] if previous is not None else None, path, size)
+            yield Event(key[0], micros, *event, previous[0] if previous is not None else None, path, size, 0)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         previous = self.last.get()
         if previous is not None and previous[3]:
             path, size, sha, _, micros = previous
             self.last.update((path, size, sha, False, micros))
-            yield Event(key[0], expiredTimerInfo.getExpiryTimeInMs() * 1000, "missing_file", False, False, True, path, path, size)
+            yield Event(key[0], expiredTimerInfo.getExpiryTimeInMs() * 1000, "missing_file", False, False, True, path, path, size, 0)
 
     def close(self) -> None:
         pass
@@ -69,9 +83,25 @@ def _event(previous, path: str, size: float, sha: str | None):
     return ("content_changed", False, True, False) if changed else None
 
 
-def track_changes(observations: DataFrame, ttl_seconds: int | None = None, lateness: str | None = None) -> DataFrame:
+def start_state(state: DataFrame) -> DataFrame:
+    """The tracker's rows of a batch state (``initial_load``, ``next_state``)."""
+    return state.select("file_key", "path", F.col("size").cast("double").alias("size"), "sha256", "is_active",
+                        F.unix_micros(F.col("last_seen_at").cast("timestamp")).alias("seen_us"))
+
+
+def tracked_state(spark, checkpoint: str) -> DataFrame:
+    """``file_key, path, size, sha256, is_active, last_seen_at``: the state of a stopped stream, read from its checkpoint."""
+    held = spark.read.format("statestore").option("stateVarName", "last").load(checkpoint)
+    return held.select("key.file_key", "value.path", "value.size", "value.sha256", "value.is_active",
+                       F.timestamp_micros("value.seen_us").alias("last_seen_at"))
+
+
+def track_changes(observations: DataFrame, ttl_seconds: int | None = None, lateness: str | None = None, start: DataFrame | None = None) -> DataFrame:
     """Change events of a stream with ``file_key, path, size, sha256, observed_at``.
 
+    ``start`` (see ``start_state``) is what the stream knows before its first row; its keys are no new files.  Rows older than what is
+    known of their key change nothing and come out as one ``late_rows`` event a key and micro-batch, with their number in ``late``.
+
     With a time to live, ``lateness`` must say how far behind the newest row a row may come; Spark leaves out later ones.
 
     The state store must be RocksDB (``shelfmark.session.ROCKSDB``), which keeps state off the heap.
@@ -87,7 +117,8 @@ def track_changes(observations: DataFrame, ttl_seconds: int | None = None, laten
         typed, mode = typed.withWatermark("observed_at", lateness), "EventTime"
     keyed = typed.withColumn("observed_us", F.unix_micros("observed_at"))
     events = keyed.groupBy("file_key").transformWithState(
-        ChangeProcessor(ttl_seconds), outputStructType=EVENTS, outputMode="Append", timeMode=mode
+        ChangeProcessor(ttl_seconds), outputStructType=EVENTS, outputMode="Append", timeMode=mode,
+        initialState=None if start is None else start.groupBy("file_key"),
     )
     return events.withColumn("observed_at", F.timestamp_micros("observed_us")).drop("observed_us")
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import changes as C
 from shelfmark.streaming.scans import read_log, read_state, track_scans
-from shelfmark.streaming.tracker import append_events, track_changes
+from shelfmark.streaming.tracker import append_events, start_state, track_changes, tracked_state
 
 SCHEMA = "file_key string, path string, size double, sha256 string, observed_at timestamp"
 T0 = dt.datetime(2024, 1, 1)
@@ -80,3 +80,13 @@ def test_scans_equal_the_batch_run_and_may_repeat(spark, tmp_path):
     again = C.snapshot_run(read_log(spark, f"{tmp_path}/out", "master", 2), read_state(spark, f"{tmp_path}/out", 2), log.select("event_id"),
                            frame, "r", F.lit(T0 + dt.timedelta(days=2)))
     assert again["events"].count() == 3 and again["export"].count() == 0
+
+
+def test_stream_continues_from_a_state_and_counts_late_rows(spark, tmp_path):
+    start = spark.createDataFrame([("a", "d/a", 1.0, "h", True, T0), ("b", "d/b", 1.0, None, False, T0), ("q", "d/q", 1.0, None, True, T0)],
+                                  "file_key string, path string, size double, sha256 string, is_active boolean, last_seen_at timestamp")
+    scans = [[("a", "e/a", 1.0, 5), ("a", "x", 7.0, -3), ("b", "d/b", 1.0, 1), ("n", "n", 1.0, 0)], [("n", "n", 2.0, -1441), ("a", "x", 7.0, -2000), ("a", "y", 7.0, -1999)]]
+    got = sorted((r["file_key"], r["event_type"], r["late"]) for r in run(spark, tmp_path, scans, start=start_state(start)).collect())
+    assert got == [("a", "late_rows", 1), ("a", "late_rows", 2), ("a", "path_changed", 0), ("b", "restored_file", 0), ("n", "late_rows", 1), ("n", "new_file", 0)]
+    state = {r["file_key"]: (r["path"], r["size"], r["sha256"], r["is_active"]) for r in tracked_state(spark, f"{tmp_path}/cp").collect()}
+    assert state == {"a": ("e/a", 1.0, "h", True), "b": ("d/b", 1.0, None, True), "n": ("n", 1.0, None, True), "q": ("d/q", 1.0, None, True)}

@@ -8,9 +8,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from shelfmark.operators import changes as C
+from shelfmark.operators import history as H
 from shelfmark.session import ROCKSDB, materialise, run_folder
 from shelfmark.streaming.scans import read_log, read_state, track_scans
-from shelfmark.streaming.tracker import append_events, track_changes
+from shelfmark.streaming.tracker import append_events, start_state, track_changes, tracked_state
 from workloads import derive as D
 
 AT = "2024-02-01"
@@ -113,6 +114,40 @@ def three_scans(spark, sf):
     ).join(state.select("file_key", "path", "is_active", "first_seen_at"), "file_key", "right")
 
 
+def _all_scans(spark, sf, edges, days):
+    """Observations numbered by scan, and when each scan was taken."""
+    scans = spark.createDataFrame(list(enumerate(days)), "scan int, day string").select("scan", F.col("day").cast("timestamp").alias("scanned_at"))
+    seen = H.with_scan(D.observations(spark, sf), [F.lit(x).cast("timestamp") for x in edges])
+    return materialise(H.scan_rows(seen, scans), "scan-rows"), scans
+
+
+def scan_history(spark, sf):
+    """The three scans of ``three_scans`` in one pass: every event of a key in order, and the state that is left."""
+    rows, scans = _all_scans(spark, sf, EDGES, ("2024-01-11", "2024-01-21", "2024-02-01"))
+    events = H.history_events(rows, scans, "hash")
+    chains = events.groupBy("file_key").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("scan", "event_type"))), lambda e: e["event_type"]), ">").alias("events"))
+    return chains.join(H.history_state(rows, scans, "hash").select("file_key", "path", "is_active", "first_seen_at"), "file_key", "right")
+
+
+DAYS = [f"2024-01-{day:02d}" for day in range(2, 32)]
+
+
+def daily_history(spark, sf):
+    """One scan a day over the whole events table: every change event."""
+    rows, scans = _all_scans(spark, sf, DAYS, [*DAYS, "2024-02-01"])
+    return H.history_events(rows, scans, "hash").select(
+        "scan", "observed_at", "event_type", "path_changed", "content_changed", "active_state_changed", "file_key", "original_path", "previous_path",
+        "path", "size", "sha256", "previous_sha256", "is_active", "content_identity_status")
+
+
+def daily_state(spark, sf):
+    """The state after a scan a day."""
+    rows, scans = _all_scans(spark, sf, DAYS, [*DAYS, "2024-02-01"])
+    return H.history_state(rows, scans, "hash").select("file_key", "path", "size", "original_path", "first_seen_at", "last_seen_at", "is_active", "sha256",
+                                                       "content_identity_status")
+
+
 def stream_changes(spark, sf):
     """The whole events table, raw, as three scans, one micro-batch each, through the stateful tracker."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -128,6 +163,33 @@ def stream_changes(spark, sf):
                                                     "observed_at")
 
 
+def _continued(spark, sf):
+    """A stream that starts from the state of the first scan and gets the second and third, the first once more among the third.
+
+    Returns its events and its checkpoint."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    root = os.path.join(run_folder(spark), f"continued-{uuid.uuid4().hex}")
+    full, at = D.observations(spark, sf), F.col("observed_at")
+    edges = [F.lit(x).cast("timestamp") for x in EDGES]
+    start = materialise(start_state(C.initial_load(C.latest_observation(full.filter(at < edges[0])))), "start")
+    seen = full.select("file_key", "path", "size", "sha256", "observed_at")
+    for part in (seen.filter((at >= edges[0]) & (at < edges[1])), seen.filter((at >= edges[1]) | (at < edges[0]))):
+        part.write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(seen.schema).parquet(f"{root}/in")
+        append_events(track_changes(stream, start=start), f"{root}/out", f"{root}/cp").awaitTermination()
+    return spark.read.parquet(f"{root}/out"), f"{root}/cp"
+
+
+def stream_continued(spark, sf):
+    """Events of a stream that continues from a batch state, with the rows that came late."""
+    return _continued(spark, sf)[0].select("file_key", "event_type", "path_changed", "content_changed", "previous_path", "path", "size", "late")
+
+
+def stream_state(spark, sf):
+    """The state of that stream, read back from its state store."""
+    return tracked_state(spark, _continued(spark, sf)[1])
+
+
 def stream_scans(spark, sf):
     """All events in three scans through the stream of scans: every event of a key in order, and the state that is left."""
     root = os.path.join(run_folder(spark), f"scans-{uuid.uuid4().hex}")
@@ -145,7 +207,8 @@ def stream_scans(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (latest_observation, identity_keys, snapshot_diff, metadata_diff, event_counts, current_state, master_additions,
-                                   first_sighting, hash_todo, pending_export, verify_state, three_scans, stream_changes, stream_scans)}
+                                   first_sighting, hash_todo, pending_export, verify_state, three_scans, scan_history, daily_history, daily_state,
+                                   stream_changes, stream_continued, stream_state, stream_scans)}
 
 HALVES = f"""obs AS ({D.OBS}),
 a AS (SELECT *, file_key NOT LIKE '%|signup' AS act FROM obs WHERE observed_at < TIMESTAMP '{D.MIDDLE}'
@@ -228,3 +291,41 @@ ORACLES = {
  SELECT file_key, events, path, act AS is_active, first_seen AS first_seen_at FROM c3 LEFT JOIN lg USING (file_key)""",
 }
 ORACLES["stream_scans"] = ORACLES["three_scans"]
+ORACLES["scan_history"] = ORACLES["three_scans"]
+# Every key on every day of the month: present rows carried forward, one row a day, compared with the day before.
+DAILY = f"""WITH obs AS ({D.OBS}), day AS (SELECT *, greatest(0, date_diff('day', DATE '2024-01-01', CAST(observed_at AS DATE))) AS scan FROM obs),
+ seen AS (SELECT * FROM day QUALIFY row_number() OVER (PARTITION BY file_key, scan ORDER BY observed_at DESC) = 1),
+ keys AS (SELECT file_key, min(scan) AS born, arg_min(path, scan) AS original_path, arg_min(observed_at, scan) AS first_seen_at FROM seen GROUP BY file_key),
+ grid AS (SELECT k.*, s.scan FROM keys k, (SELECT unnest(range(0, 31)) AS scan) s WHERE s.scan >= k.born),
+ full0 AS (SELECT g.file_key, g.born, g.original_path, g.first_seen_at, g.scan, seen.scan IS NOT NULL AS here, seen.path, seen.size, seen.modified, seen.observed_at,
+   seen.sha256 FROM grid g LEFT JOIN seen ON seen.file_key = g.file_key AND seen.scan = g.scan),
+ carried AS (SELECT * REPLACE (last_value(path IGNORE NULLS) OVER w AS path, last_value(size IGNORE NULLS) OVER w AS size,
+   last_value(modified IGNORE NULLS) OVER w AS modified), sha256 AS own, last_value(sha256 IGNORE NULLS) OVER w AS sha FROM full0
+   WINDOW w AS (PARTITION BY file_key ORDER BY scan ROWS UNBOUNDED PRECEDING)),
+ pair AS (SELECT *, lag(here) OVER w AS was, lag(path) OVER w AS pp, lag(size) OVER w AS ps, lag(modified) OVER w AS pm, lag(sha) OVER w AS psha
+   FROM carried WINDOW w AS (PARTITION BY file_key ORDER BY scan)),
+ flag AS (SELECT *, was IS NULL AS is_new, was AND NOT here AS is_missing, coalesce(here AND path <> pp, false) AS path_changed,
+   CASE WHEN was IS NULL THEN own IS NOT NULL WHEN NOT here THEN false ELSE size <> ps OR coalesce(own <> psha, false)
+     OR (own IS NOT NULL AND psha IS NULL AND (path <> pp OR size <> ps OR modified <> pm OR NOT was)) END AS content_changed,
+   was IS NULL OR was <> here AS active_state_changed, coalesce(here AND (modified <> pm OR path <> pp OR size <> ps), false) AS metadata_changed,
+   CASE WHEN sha IS NOT NULL THEN 'hashed' WHEN here THEN 'not_hashed_yet' ELSE 'deleted_before_hash' END AS status FROM pair)"""
+ORACLES["daily_history"] = f"""{DAILY} SELECT scan::INTEGER AS scan, CAST(TIMESTAMP '2024-01-02' + to_days(scan::INTEGER) AS TIMESTAMP) AS observed_at,
+ CASE WHEN is_new THEN 'new_file' WHEN is_missing THEN 'missing_file' WHEN active_state_changed THEN 'restored_file'
+  WHEN path_changed AND content_changed THEN 'path_and_content_changed' WHEN path_changed THEN 'path_changed' WHEN content_changed THEN 'content_changed'
+  WHEN metadata_changed THEN 'metadata_refreshed' END AS event_type, path_changed, content_changed, active_state_changed, file_key, original_path,
+ pp AS previous_path, path, size, sha AS sha256, psha AS previous_sha256, here AS is_active, status AS content_identity_status
+ FROM flag WHERE scan > 0 AND event_type IS NOT NULL"""
+ORACLES["daily_state"] = f"""{DAILY}, ended AS (SELECT file_key, max(scan) FILTER (here) AS last_scan, arg_max(observed_at, scan) FILTER (here) AS seen_at
+  FROM flag GROUP BY file_key)
+ SELECT file_key, path, size, original_path, first_seen_at, CASE WHEN here THEN seen_at ELSE CAST(TIMESTAMP '2024-01-02' + to_days((last_scan + 1)::INTEGER) AS TIMESTAMP) END
+  AS last_seen_at, here AS is_active, sha AS sha256, status AS content_identity_status FROM flag JOIN ended USING (file_key) WHERE scan = 30"""
+_PERIODS = PERIODS[: PERIODS.index("SELECT file_key, CASE WHEN pp IS NULL")]
+ORACLES["stream_continued"] = f"""{_PERIODS} SELECT file_key, CASE WHEN pp IS NULL THEN 'new_file' WHEN path_changed AND content_changed THEN
+ 'path_and_content_changed' WHEN path_changed THEN 'path_changed' ELSE 'content_changed' END AS event_type, path_changed, content_changed,
+ pp AS previous_path, path, size::DOUBLE AS size, 0::BIGINT AS late FROM e WHERE scan > 0 AND (pp IS NULL OR path_changed OR content_changed)
+UNION ALL SELECT p.file_key, 'late_rows', false, false, k.path, k.path, k.size::DOUBLE, count(*) FROM p JOIN (
+  SELECT * FROM l WHERE scan < 2 QUALIFY row_number() OVER (PARTITION BY file_key ORDER BY scan DESC) = 1) k ON k.file_key = p.file_key
+ WHERE p.scan = 0 AND p.observed_at < k.observed_at GROUP BY ALL"""
+ORACLES["stream_state"] = f"""{_PERIODS} SELECT file_key, path, size::DOUBLE AS size, sha256, true AS is_active, observed_at AS last_seen_at FROM (
+  SELECT *, last_value(sha256 IGNORE NULLS) OVER (PARTITION BY file_key ORDER BY scan) AS s FROM l)
+ QUALIFY row_number() OVER (PARTITION BY file_key ORDER BY scan DESC) = 1"""
