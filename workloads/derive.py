@@ -40,6 +40,34 @@ DOC_PATH = f"coalesce(concat(source, '/', lang, '/', {DOC_FOLDER}, '/', CAST(doc
 # The same listing with names that repeat, for anything about equal names.
 DOC_PLAIN_NAME = f"coalesce(concat({DOC_NAME}, {DOC_EXT}), '')"
 
+# part -> file names of many kinds, for the rules about names.
+_k = "CAST(p_partkey AS STRING)"
+PART_NAME = f"""CASE p_partkey % 24
+ WHEN 0 THEN concat('adhar card scan (', CAST(p_partkey % 5 AS STRING), ').pdf')
+ WHEN 1 THEN concat('SBI bank statement ', CAST(p_partkey % 28 + 10 AS STRING), '-03-2021 scan.pdf')
+ WHEN 2 THEN concat('lecture ', CAST(p_partkey % 9 AS STRING), ' flight dynamics notes.pdf')
+ WHEN 3 THEN concat('revit floor plan level ', CAST(p_partkey % 4 AS STRING), '.dwg')
+ WHEN 4 THEN concat('site photo ', {_k}, '.jpg')
+ WHEN 5 THEN concat(replace(p_type, ' ', '_'), '.cfg')
+ WHEN 6 THEN concat('Report on ', p_name, ' of ', p_brand, '.docx')
+ WHEN 7 THEN concat('electricity bill UPCL', {_k}, '00 march 2022 draft.pdf')
+ WHEN 8 THEN concat('song of ', p_name, ' part ', CAST(p_partkey % 3 AS STRING), '.mp3')
+ WHEN 9 THEN concat('Annual_Report_', CAST(1990 + p_partkey % 30 AS STRING), '.pdf')
+ WHEN 10 THEN concat('module ', CAST(p_partkey % 9 AS STRING), ' steel design book copy.pdf')
+ WHEN 11 THEN concat('GATE admit card ', {_k}, '1234 rev ', CAST(p_partkey % 7 AS STRING), '.pdf')
+ WHEN 12 THEN concat('new document ', {_k}, '.docx')
+ WHEN 13 THEN concat(p_name, '__final.xlsx')
+ WHEN 14 THEN concat('www.', p_brand, ' flv2mp3 ', p_name, '.mp4')
+ WHEN 15 THEN concat('question paper Q', CAST(p_partkey % 4 AS STRING), ' ', p_brand, ' 2021-22.pdf')
+ WHEN 16 THEN concat('plot design model ', p_brand, ' v', CAST(p_partkey % 12 AS STRING), '.rvt')
+ WHEN 17 THEN concat(p_type, ' (', CAST(p_partkey % 6 AS STRING), ').txt')
+ WHEN 18 THEN concat('Notes ', p_brand, '.pdf')
+ WHEN 19 THEN concat('abc ', CAST(p_partkey % 99 AS STRING), ' ', p_type, ' analysis.csv')
+ WHEN 20 THEN concat('migration certificate%20', p_brand, '%20', CAST(p_partkey % 12 + 1 AS STRING), '.pdf')
+ WHEN 21 THEN concat('guide to ', p_name, ' with landmarks & maps.pdf')
+ WHEN 22 THEN '.pdf'
+ ELSE concat('itr form ', p_brand, ' ', {_k}, 'ABC9 copy (', CAST(p_partkey % 3 AS STRING), ').pdf') END"""
+
 # documents -> a classifier's verdict, fixed by rule so that both engines agree: language as category, every third row sure.
 SURE = "doc_id % 3 = 0"
 
@@ -67,6 +95,10 @@ def plain_names(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").selectExpr("doc_id", "lang", "source", f"{DOC_PLAIN_NAME} AS name")
 
 
+def part_names(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").selectExpr("p_partkey AS doc_id", "p_brand AS lang", "p_type AS source", f"{PART_NAME} AS name")
+
+
 def pages(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").selectExpr(f"{PAGE_PATH} AS path", "page_id")
 

@@ -79,6 +79,11 @@ def standard_names(spark, sf):
     return standardize_names(D.plain_names(spark, sf), "name")
 
 
+def standard_part_names(spark, sf):
+    """Names of many kinds made of the part table: papers, lectures, plans, media, numbered and dated ones."""
+    return standardize_names(D.part_names(spark, sf), "name")
+
+
 def context_names(spark, sf):
     return contextual_names(P.with_parts(D.documents(spark, sf))).select("path", "context_name")
 
@@ -106,7 +111,7 @@ def undo(spark, sf):
     return undo_plan(journal, present).select("seq", "status")
 
 
-QUERIES = {f.__name__: f for f in (name_date, name_version, name_words, name_chunks, name_type, part_type, vague_names, name_gates, standard_names,
+QUERIES = {f.__name__: f for f in (name_date, name_version, name_words, name_chunks, name_type, part_type, vague_names, name_gates, standard_names, standard_part_names,
                                    context_names, content_names, collision_names, undo)}
 
 # ---- oracles ----------------------------------------------------------------------------------------------------------
