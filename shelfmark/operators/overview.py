@@ -172,7 +172,7 @@ def closest_summary(samples: DataFrame, group: str, top: int = 2) -> DataFrame:
 def leftover_groups(leftovers: DataFrame, max_groups: int = 150, samples: int = 5, ranges: int | None = None) -> DataFrame:
     """Unsorted files by two-level folder: size, three main types, spread samples, closest categories.
 
-    ``leftovers`` has parts; ``candidates`` is optional.  Only the rows of the listed groups are sampled.
+    ``leftovers`` has parts; ``candidates`` is optional.  ``closest`` has the mean score of each close category.  Only the rows of the listed groups are sampled.
     """
     keyed = leftovers.withColumn("folder", P.folder_key(F.col("dirs"))).withColumn("type", type_label())
     groups = keyed.groupBy("folder", "type").agg(F.count(F.lit(1)).alias("files"))
@@ -184,14 +184,12 @@ def leftover_groups(leftovers: DataFrame, max_groups: int = 150, samples: int =
     names = _sample_names(picked)
     out = sizes.join(F.broadcast(types), "folder").join(F.broadcast(names), "folder")
     if "candidates" in leftovers.columns:
+        ranked = F.array_sort(F.collect_list(F.struct("rank", "category", "samples", "avg_score")))
         closest = closest_summary(picked, "folder").groupBy("folder").agg(
-            F.array_join(
-                F.transform(
-                    F.array_sort(F.collect_list(F.struct("rank", "category", "samples", "avg_score"))),
-                    lambda c: F.concat(c["category"], F.lit("="), c["samples"].cast("string")),
-                ),
-                ";",
-            ).alias("closest_buckets")
+            F.transform(ranked, lambda c: F.struct(c["category"].alias("category"), c["samples"].alias("samples"), c["avg_score"].alias("avg_score")))
+            .alias("closest")
         )
+        shown = F.array_join(F.transform("closest", lambda c: F.concat(c["category"], F.lit("="), c["samples"].cast("string"))), ";")
+        closest = closest.select("folder", shown.alias("closest_buckets"), "closest")
         out = out.join(F.broadcast(closest), "folder", "left")
     return out

@@ -31,6 +31,12 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return profiled(entries.select("category", "cat_ord", "code", profile.alias("profile")))
 
 
+def read_incubation(spark: SparkSession, path: str) -> DataFrame:
+    """``(topic, paths)``: the files an index keeps aside for topics that have no category yet."""
+    raw = spark.read.schema("incubation map<string,array<string>>").json(path, multiLine=True)
+    return raw.select(F.explode("incubation").alias("topic", "paths"))
+
+
 def read_noise(spark: SparkSession, path: str) -> NoiseTerms:
     """Noise configuration: four short lists, so they become literals of the plan.  Several files add up, in the order of their names."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value").orderBy("file").collect()

@@ -118,12 +118,14 @@ def test_first_handoff_document(spark, inventory):
     from shelfmark.plans import handoff
 
     parts = P.with_parts(inventory(PATHS + ["proj/.git/HEAD", "t.tmp"]))
-    doc = json.loads(handoff.round_one(R.split_inventory(parts), E.file_evidence(parts), note="my drive", terms=7).first()[0])
+    evidence = E.file_evidence(parts)
+    doc = json.loads(handoff.round_one(R.split_inventory(parts), evidence, note="my drive", terms=7).first()[0])
     assert doc["author_note"] == "my drive"
     assert (doc["drive_overview"]["files_total"], doc["drive_overview"]["needing"], doc["drive_overview"]["junk_files"]) == (19, 17, 1)
     weights = [t["adjusted_weight"] for t in doc["top_single_terms"]]
     assert len(weights) == 7 and weights == sorted(weights, reverse=True)
     assert all(len(t["sample_paths"]) <= 3 for t in doc["top_single_terms"])
-    assert [c["cluster_root"] for c in doc["bundle_like_clusters"]] == ["games > engine > bin"]
-    assert doc["folder_map"][0] == {"folder": "games\\engine", "files": 13, "top_types": ".dll=13"}
+    assert [c["cluster_root"] for c in handoff.bundle_roots(evidence).collect()] == ["games > engine > bin"]
+    folder = doc["folder_map"][0]
+    assert (folder["folder"], folder["files"], folder["top_types"], folder["sample_names"].count(";")) == ("games\\engine", 13, ".dll=13", 4)
     assert doc["file_type_table"][0]["type"] == ".dll"

@@ -127,7 +127,7 @@ def _near(prefix="lang"):
 
 def leftover_groups(spark, sf):
     left = P.with_parts(D.documents(spark, sf)).withColumn("candidates", _near())
-    return O.leftover_groups(left)
+    return O.leftover_groups(left).select("folder", "files", "top_types", "sample_names", "closest_buckets")
 
 
 def spread_sample(spark, sf):
