@@ -2,10 +2,11 @@
 
 Texts are lower-cased (A-Z), cut into pieces at punctuation and line breaks and into words at blanks.  In numpy, prefix polynomials over
 the bytes of a whole batch give the fingerprint of every n-gram by two differences: two residues modulo primes below 2**31, 62 bits.
-A third polynomial modulo 2**64 is kept beside it as a check.  Only fingerprints are shuffled: each task adds up its own first, and an
-aggregate by language and fingerprint holds the count, the range of checks and a pointer to one occurrence (the smallest text hash, with
-the place in that text).  Lengths go one after the other: an n-gram can only be frequent if both of its shorter ends are, and a Bloom
-filter of fixed size leaves out most others before the shuffle.
+Only fingerprints are shuffled, added up within each batch and task first.  Lengths go one after the other: an n-gram can only be
+frequent if both of its shorter ends are, and a Bloom filter of fixed size leaves out most others before the shuffle.  A row of these
+passes is a key and a count.  One more pass takes what can be frequent of every length: an aggregate by language and fingerprint holds
+the count, a pointer to one occurrence (the smallest text hash, with the place in that text) and the range of a check, a third polynomial
+modulo 2**64.
 
 Then the pointers of frequent fingerprints are joined with their texts and only these phrases are materialised.  The text is hashed
 again: a phrase that does not have the fingerprint and the check (two texts of equal hash), or a fingerprint with more than one check
@@ -21,7 +22,6 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,7 @@ from shelfmark.llm.words import mix
 LONGEST, LEAST, TOP, SHARE = 5, 100, 2000, 100
 POLYNOMIALS = ((1103515245, 2147483647), (1566083941, 2147483629), (0xD1342543DE82EF95, None))  # base, modulus (None: 2**64)
 LOG2_BITS = 25
+MASK = np.uint64((1 << LOG2_BITS) - 1)
 BLOCK = 1 << 22  # 2**8 (letters) * 2**31 (residues) * 2**22 stays below 2**64
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -68,7 +69,7 @@ def _prefix_sums(letters: np.ndarray, powers: np.ndarray, prime: int | None) ->
     return out
 
 
-GRAMS = pa.schema([("lang", pa.string()), *((name, pa.int64()) for name in ("fp", "a", "check", "th", "span"))])
+GRAMS = pa.schema([("lang", pa.string()), ("n", pa.int32()), *((name, pa.int64()) for name in ("fp", "a", "check", "th", "span"))])
 RECOUNTED = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("fp", pa.int64()), ("phrase", pa.string()), ("a", pa.int64())])
 
 
@@ -139,8 +140,9 @@ def _batches(batches, text: int):
                 yield batch, first, words
 
 
-def _slots(fingerprints: np.ndarray, language: np.ndarray) -> np.ndarray:
-    return mix(fingerprints.view(np.uint64) ^ language) & np.uint64((1 << LOG2_BITS) - 1)
+def _keys(fingerprints: np.ndarray, language: np.ndarray) -> np.ndarray:
+    """One hash of a fingerprint and a language; equal hashes of different ones only let more through the filters."""
+    return mix(fingerprints.view(np.uint64) ^ language)
 
 
 def _language_hash(names: list[str]) -> np.ndarray:
@@ -153,71 +155,86 @@ def _languages(batch, first: int, count: int) -> tuple[list[str], np.ndarray]:
     return coded.dictionary.to_pylist(), coded.indices.to_numpy()
 
 
-def _bits(frame: DataFrame) -> np.ndarray:
-    """Bloom filter of the rows (lang, fp): 2**LOG2_BITS bits, merged by an aggregate of at most 2**(LOG2_BITS - 6) words."""
-
-    def run(batches):
-        for batch in batches:
-            names, which = _languages(batch, 0, len(batch))
-            slots = _slots(batch.column(1).to_numpy(), _language_hash(names)[which])
-            bit = np.uint64(1) << (slots & np.uint64(63))
-            yield pa.RecordBatch.from_arrays([pa.array((slots >> np.uint64(6)).view(np.int64)), pa.array(bit.view(np.int64))], ["w", "v"])
-
-    words = frame.select("lang", "fp").mapInArrow(run, "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
+def _bits(keys: DataFrame) -> np.ndarray:
+    """Bloom filter of a column `key`: 2**LOG2_BITS bits, merged by an aggregate of at most 2**(LOG2_BITS - 6) words."""
+    slot = F.col("key").bitwiseAND(F.lit((1 << LOG2_BITS) - 1))
+    words = keys.select(F.shiftright(slot, 6).alias("w"), F.expr("1L").alias("one"), F.pmod(slot, F.lit(64)).cast("int").alias("s"))
+    merged = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(one, s)")).alias("v")).toArrow()
     out = np.zeros(1 << (LOG2_BITS - 6), np.int64)
-    out[words.column("w").to_numpy()] = words.column("v").to_numpy()
+    out[merged.column("w").to_numpy()] = merged.column("v").to_numpy()
     return out.view(np.uint64)
 
 
-def gram_counts(texts: DataFrame, n: int, shorter: np.ndarray | None, least: int, bits: int) -> DataFrame:
-    """lang, fp, a, low, high (range of checks), th, span of fingerprints of n-grams with a >= least; fp null: all words of the language.
+def _passing(words: Words, language: np.ndarray, first: np.ndarray, n: int, known: np.ndarray, bits: int) -> np.ndarray:
+    """Which of the n-grams at `first` a filter lets through."""
+    keys = _keys(words.gram_fingerprints(first, n, bits)[0], language[words.text[first]])
+    return bit_test(known, keys & MASK)
+
 
-    texts: lang, th (text hash), t (bytes).  `shorter` filters by the fingerprints of length n - 1.
+def gram_keys(texts: DataFrame, n: int, shorter: np.ndarray | None, least: int, bits: int) -> DataFrame:
+    """key, a: hashes of (language, fingerprint of an n-gram) that occur `least` times or more.
+
+    texts: lang, th (text hash), t (bytes).  `shorter` filters by the keys of length n - 1.
     """
     sent = texts.sparkSession.sparkContext.broadcast(shorter)
 
     def run(batches):
         known = sent.value
+        for batch, row, words in _batches(batches, 2):
+            names, which = _languages(batch, row, len(words.base) - 1)
+            language = _language_hash(names)[which]
+            first = words.grams(n)
+            if known is not None:
+                first = first[_passing(words, language, first, n - 1, known, bits)]
+                first = first[_passing(words, language, first + 1, n - 1, known, bits)]
+            if len(first):
+                keys = _keys(words.gram_fingerprints(first, n, bits)[0], language[words.text[first]])
+                key, a = np.unique(keys.view(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(a)], ["key", "a"])
+
+    return texts.mapInArrow(run, "key long, a long").groupBy("key").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+
+
+def pointed(texts: DataFrame, filters: dict[int, np.ndarray], least: int, bits: int) -> DataFrame:
+    """lang, n, fp, a, low, high (range of checks), th, span of the fingerprints that pass the filters of their length, a >= least.
+
+    n = 0: the number of all words of the language.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(filters)
+
+    def run(batches):
         for batch, row, words in _batches(batches, 2):
             count = len(words.base) - 1
             names, which = _languages(batch, row, count)
             language = _language_hash(names)
             hashes, rank = np.unique(batch.column(1).slice(row, count).to_numpy(), return_inverse=True)
-            first = words.grams(n)
-            if known is not None:
-                for shift in (0, 1):
-                    part, _ = words.gram_fingerprints(first + shift, n - 1, bits)
-                    first = first[bit_test(known, _slots(part, language[which[words.text[first]]]))]
-            out = {name: [] for name in ("lang", "fp", "a", "check", "th", "span")}
-            if n == 1:
-                for code, total in enumerate(np.bincount(which[words.text], minlength=len(names)).tolist()):
-                    if total:
-                        for name, value in zip(out, (names[code], None, total, 0, 0, 0), strict=True):
-                            out[name].append(value)
-            total = pa.RecordBatch.from_pydict(out, GRAMS)
-            if len(total):
-                yield total
-            if not len(first):
-                continue
-            fp, check = words.gram_fingerprints(first, n, bits)
-            text = words.text[first]
-            key = fp.view(np.uint64) ^ language[which[text]]
-            order = np.argsort(key, kind="stable")
-            key, fp, check, text, first = key[order], fp[order], check[order], text[order], first[order]
-            new = (key[1:] != key[:-1]) | (check[1:] != check[:-1]) | (which[text[1:]] != which[text[:-1]])
-            starts = np.flatnonzero(np.concatenate(([True], new)))
-            sizes = np.diff(np.append(starts, len(key)))
-            shown = np.minimum.reduceat(rank[text].astype(np.int64) << 32 | np.arange(len(key)), starts) & ((1 << 32) - 1)
-            a, b = words.starts[first[shown]], words.ends[first[shown] + n - 1]
-            begin = words.base[text[shown]]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(names, pa.string()).take(pa.array(which[text[shown]])), pa.array(fp[shown]), pa.array(sizes),
-                pa.array(check[shown]), pa.array(hashes[rank[text[shown]]]), pa.array((a - begin) << 31 | (b - a)),
-            ], schema=GRAMS)
-
-    found = texts.mapInArrow(run, "lang string, fp long, a long, check long, th long, span long").groupBy("lang", "fp").agg(
+            totals = np.bincount(which[words.text], minlength=len(names))
+            zeros = [0] * len(names)
+            yield pa.RecordBatch.from_pydict({"lang": names, "n": zeros, "fp": zeros, "a": totals, "check": zeros, "th": zeros, "span": zeros}, GRAMS)
+            for n, known in sent.value.items():
+                first = words.grams(n)
+                first = first[_passing(words, language[which], first, n, known, bits)]
+                if not len(first):
+                    continue
+                fp, check = words.gram_fingerprints(first, n, bits)
+                text = words.text[first]
+                key = _keys(fp, language[which[text]])
+                order = np.argsort(key, kind="stable")
+                key, fp, check, text, first = key[order], fp[order], check[order], text[order], first[order]
+                new = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1]) | (check[1:] != check[:-1]) | (which[text[1:]] != which[text[:-1]])
+                starts = np.flatnonzero(np.concatenate(([True], new)))
+                sizes = np.diff(np.append(starts, len(key)))
+                shown = np.minimum.reduceat(rank[text].astype(np.int64) << 32 | np.arange(len(key)), starts) & ((1 << 32) - 1)
+                start, end = words.starts[first[shown]], words.ends[first[shown] + n - 1]
+                begin = words.base[text[shown]]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(names, pa.string()).take(pa.array(which[text[shown]])), pa.array([n] * len(shown), pa.int32()), pa.array(fp[shown]),
+                    pa.array(sizes), pa.array(check[shown]), pa.array(hashes[rank[text[shown]]]), pa.array((start - begin) << 31 | (end - start)),
+                ], schema=GRAMS)
+
+    found = texts.mapInArrow(run, "lang string, n int, fp long, a long, check long, th long, span long").groupBy("lang", "n", "fp").agg(
         F.sum("a").alias("a"), F.min("check").alias("low"), F.max("check").alias("high"), F.min("th").alias("th"), F.min_by("span", "th").alias("span"))
-    return found.where((F.col("a") >= least) | F.col("fp").isNull())
+    return found.where((F.col("a") >= least) | (F.col("n") == 0))
 
 
 def materialised(texts: DataFrame, grams: DataFrame, bits: int) -> DataFrame:
@@ -225,13 +242,11 @@ def materialised(texts: DataFrame, grams: DataFrame, bits: int) -> DataFrame:
 
     Pointers are to the smallest text hashes, so only few texts pass the filter and travel.
     """
-    wanted = _bits(grams.select(F.lit("").alias("lang"), F.col("th").alias("fp")))
-    sent = texts.sparkSession.sparkContext.broadcast(wanted)
+    sent = texts.sparkSession.sparkContext.broadcast(_bits(grams.select(F.col("th").alias("key"))))
 
     def few(batches):
         for batch in batches:
-            nothing = _language_hash([""])
-            yield batch.filter(pa.array(bit_test(sent.value, _slots(batch.column(0).to_numpy(), nothing))))
+            yield batch.filter(pa.array(bit_test(sent.value, batch.column(0).to_numpy().view(np.uint64) & MASK)))
 
     shown = texts.select("th", "t").mapInArrow(few, "th long, t binary").dropDuplicates(["th"])
     pointers = grams.groupBy("th").agg(F.collect_list(F.struct("lang", "n", "fp", "a", "low", "high", "span")).alias("pointers"))
@@ -257,9 +272,22 @@ def materialised(texts: DataFrame, grams: DataFrame, bits: int) -> DataFrame:
     return joined.mapInArrow(cut, "lang string, n int, fp long, a long, phrase string, same boolean")
 
 
+def _keyed(grams: DataFrame) -> DataFrame:
+    """n and key of rows (lang, n, fp)."""
+
+    def run(batches):
+        for batch in batches:
+            names, which = _languages(batch, 0, len(batch))
+            keys = _keys(batch.column(2).to_numpy(), _language_hash(names)[which])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(keys.view(np.int64))], ["n", "key"])
+
+    return grams.select("lang", "n", "fp").mapInArrow(run, "n int, key long")
+
+
 def recounted(texts: DataFrame, collided: DataFrame, longest: int, bits: int) -> DataFrame:
     """lang, n, phrase, a of all n-grams whose fingerprint is among `collided` (lang, n, fp), counted by the text itself."""
-    filters = {n: _bits(collided.where(F.col("n") == n)) for n in range(1, longest + 1)}
+    found = materialise(_keyed(collided), "collided-keys")
+    filters = {n: _bits(found.where(F.col("n") == n)) for n in range(1, longest + 1)}
     sent = texts.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches):
@@ -268,9 +296,8 @@ def recounted(texts: DataFrame, collided: DataFrame, longest: int, bits: int) ->
             language, counts = _language_hash(names), Counter()
             for n, known in sent.value.items():
                 first = words.grams(n)
-                fp, _ = words.gram_fingerprints(first, n, bits)
-                hit = bit_test(known, _slots(fp, language[which[words.text[first]]]))
-                for at, f in zip(first[hit].tolist(), fp[hit].tolist(), strict=True):
+                first = first[_passing(words, language[which], first, n, known, bits)]
+                for at, f in zip(first.tolist(), words.gram_fingerprints(first, n, bits)[0].tolist(), strict=True):
                     counts[names[which[words.text[at]]], n, f, words.phrase(words.starts[at], words.ends[at + n - 1])] += 1
             if counts:
                 columns = [*zip(*counts, strict=True), tuple(counts.values())]
@@ -284,17 +311,13 @@ def frequent_phrases(documents: DataFrame, longest: int = LONGEST, least: int =
     """(lang, n, phrase, a of all phrases of up to `longest` words with a >= least; lang, n of all words)."""
     language = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     texts = documents.select(language.alias("lang"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).cast("binary").alias("t"))
-    levels, shorter, totals = [], None, None
+    filters: dict[int, np.ndarray] = {}
     for n in range(1, longest + 1):
-        level = materialise(gram_counts(texts, n, shorter, least, bits), f"grams-{n}")
-        if n == 1:
-            totals = level.where(F.col("fp").isNull()).select("lang", F.col("a").alias("n"))
-        level = level.where(F.col("fp").isNotNull())
-        levels.append(level.withColumn("n", F.lit(n)))
-        shorter = _bits(level)
-        if not shorter.any():
+        filters[n] = _bits(materialise(gram_keys(texts, n, filters.get(n - 1), least, bits), f"keys-{n}"))
+        if not filters[n].any():
             break
-    grams = reduce(DataFrame.unionByName, levels)
+    level = materialise(pointed(texts, filters, least, bits), "grams")
+    totals, grams = level.where("n = 0").select("lang", F.col("a").alias("n")), level.where("n > 0")
     shown = materialise(materialised(texts, grams, bits), "phrases")
     good = shown.where("same").select("lang", "n", "phrase", "a")
     collided = materialise(grams.join(shown.where("same"), ["lang", "n", "fp"], "left_anti").select("lang", "n", "fp"), "collided")
