@@ -245,6 +245,9 @@ PERSON_TYPES = IDENTITY_TYPES + [
     "ITRForm", "ITRV", "AppointmentLetter",
 ] + FINANCIAL_TYPES
 
+# Evidence phrases have two or three words.
+PHRASE_WORDS = 3
+
 # ---- contextual names -------------------------------------------------------------------------------------------------
 CONTEXT_STOPWORDS = (
     "a an and are as at be by copy doc docx file for from gif in image images jpeg jpg json new of on or pdf png scan temp "

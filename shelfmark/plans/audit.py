@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import paths as P
 from shelfmark.functions import vocab as V
+from shelfmark.operators.ranking import ordinal
+from shelfmark.session import materialise
 from shelfmark.operators.classify import decide, model_text
 
 
@@ -43,12 +45,29 @@ def category_shares(audit: DataFrame, topic: str = "topic") -> DataFrame:
     )
 
 
+def covered_terms(terms: DataFrame, index: DataFrame, longest: int = V.PHRASE_WORDS) -> DataFrame:
+    """``_term``: the terms (lower case, of at most ``longest`` words) that occur in the category names, written one after the other.
+
+    The names are never put into one text.  A term can reach over ``longest`` names at most, so each name is looked at with those that
+    follow it in order, and gives its stretches of the lengths that terms have; terms meet them in a join by value.
+    """
+    numbered = ordinal(index.select(F.lit(0).alias("_all"), "category").distinct(), ["_all"], ["category"], name="_at")
+    reached = numbered.select("_at", F.lower("category").alias("_text"), F.length("category").alias("_own"))
+    for step in range(1, longest):
+        after = numbered.select((F.col("_at") - step).alias("_at"), F.lower("category").alias("_more"))
+        reached = reached.join(after, "_at", "left").withColumn("_text", F.concat_ws(" ", "_text", "_more")).drop("_more")
+    sizes = terms.agg(F.collect_set(F.length("_term")).alias("n")).scalar()  # as many as terms have different lengths
+    at = reached.select("_text", F.explode(F.sequence(F.lit(1), F.col("_own") + 1)).alias("_from"), sizes.alias("_sizes"))
+    cut = at.select("_text", "_from", F.explode("_sizes").alias("_size")).filter(F.col("_from") + F.col("_size") - 1 <= F.length("_text"))
+    return cut.select(F.substring("_text", F.col("_from"), F.col("_size")).alias("_term")).distinct().join(terms.select("_term"), "_term", "left_semi")
+
+
 def missing_terms(evidence: DataFrame, index: DataFrame, weight: float = V.MISSING_TERM_WEIGHT, k: int = 25) -> DataFrame:
     """The heaviest clean terms that no category name contains."""
-    names = index.agg(F.lower(F.array_join(F.array_sort(F.collect_list("category")), " ")).alias("t")).scalar()
+    clean = evidence.filter((F.col("adjusted_weight") >= weight) & (F.size("noise_labels") == 0))
+    clean = materialise(clean.withColumn("_term", F.lower("term")), "clean-terms")
     return (
-        evidence.filter((F.col("adjusted_weight") >= weight) & (F.size("noise_labels") == 0))
-        .filter(~names.contains(F.lower("term")))
+        clean.join(covered_terms(clean, index), "_term", "left_anti").drop("_term")
         .orderBy(F.when(F.col("token_type") == "single", 0).otherwise(1), F.desc("adjusted_weight"), "term")
         .limit(k)
     )

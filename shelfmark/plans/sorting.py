@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from shelfmark.functions import paths as P
@@ -84,8 +84,13 @@ def guard(rows: DataFrame, topic: str = "topic") -> DataFrame:
     )
 
 
-def split_once(inventory: DataFrame) -> DataFrame:
-    """The three-way split, written once by placement: every later step reads only its own part."""
+def split_once(inventory: DataFrame, seen: Observation | None = None) -> DataFrame:
+    """The three-way split, written once by placement: every later step reads only its own part.
+
+    ``seen`` gets the number of inventory rows (``source_rows``) while they are written.
+    """
+    if seen is not None:
+        inventory = inventory.observe(seen, F.count(F.lit(1)).alias("source_rows"))
     split = split_inventory(P.with_parts(inventory))
     return materialise(split, "split", partition_by="placement")
 
@@ -97,12 +102,12 @@ def routed_texts(split: DataFrame, types: str | None = "ext") -> DataFrame:
 
 
 def organization_plan(inventory: DataFrame, index: DataFrame, classify: Callable[[DataFrame], DataFrame],
-                      settings: SortSettings = SortSettings()) -> DataFrame:
+                      settings: SortSettings = SortSettings(), seen: Observation | None = None) -> DataFrame:
     """``(path, topic, destination, count, rel)``: units as one row, junk and routed files one row each.
 
     ``classify`` adds ``candidates`` to rows with ``text``.
     """
-    split = split_once(inventory)
+    split = split_once(inventory, seen)
     nothing = F.lit(None).cast("string")
     units = (
         split.filter("placement = 'unit'")
@@ -126,13 +131,31 @@ def plan_summary(plan: DataFrame) -> DataFrame:
 
 
 def conservation(inventory: DataFrame, plan: DataFrame) -> DataFrame:
-    """Every inventory row must be in the plan exactly once."""
+    """Every inventory row must be in a given plan exactly once."""
     planned = plan.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")).scalar()
     return inventory.agg(F.count(F.lit(1)).alias("source_rows")).select(
         "source_rows", planned.alias("planned_rows"), (F.col("source_rows") == planned).alias("conserved")
     )
 
 
+def checked_plan(inventory: DataFrame, index: DataFrame, classify: Callable[[DataFrame], DataFrame],
+                 settings: SortSettings = SortSettings()) -> tuple[DataFrame, dict]:
+    """The written plan and its checks: ``source_rows``, ``planned_rows``, ``conserved``, ``needing``, ``unsorted``, ``allowed``, ``passed``.
+
+    The rows are counted while the split and the plan are written, so no check reads or computes anything again.
+    """
+    seen, planned = Observation("source"), Observation("plan")
+    plan = organization_plan(inventory, index, classify, settings, seen)
+    placed = F.col("topic").isNotNull()
+    counted = plan.observe(planned, F.coalesce(F.sum("count"), F.lit(0)).alias("planned_rows"), F.count_if(placed).alias("needing"),
+                           F.count_if(placed & (F.col("topic") == V.UNSORTED)).alias("unsorted"))
+    written = materialise(counted, "plan")
+    checks = {**seen.get, **planned.get}
+    allowed = checks["needing"] // V.GUARD_DIVISOR
+    conserved = checks["source_rows"] == checks["planned_rows"]
+    return written, {**checks, "conserved": conserved, "allowed": allowed, "passed": checks["unsorted"] <= allowed}
+
+
 def loop_check(inventory: DataFrame, index: DataFrame, classify: Callable[[DataFrame], DataFrame],
                settings: SortSettings = SortSettings(), types: str | None = "ext") -> dict[str, DataFrame]:
     """The check from an inventory alone: ``assignments``, ``stats``, the guard's ``verdict`` and ``leftovers``."""

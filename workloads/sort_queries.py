@@ -159,7 +159,20 @@ def plan_summary(spark, sf):
 
 
 def conservation(spark, sf):
-    return S.conservation(*_plan(spark, sf))
+    """Source and planned rows, counted while the plan is written."""
+    checks = _checks(spark, sf)
+    return spark.createDataFrame([(checks["source_rows"], checks["planned_rows"], checks["conserved"])], "source_rows long, planned_rows long, conserved boolean")
+
+
+def _checks(spark, sf):
+    return S.checked_plan(D.documents(spark, sf).select("path"), I.index_frame(spark, LANGS), _classify, SETTINGS)[1]
+
+
+def plan_guard(spark, sf):
+    """The 1-in-150 guard from the same write."""
+    checks = _checks(spark, sf)
+    return spark.createDataFrame([tuple(checks[c] for c in ("needing", "unsorted", "allowed", "passed"))],
+                                 "needing long, unsorted long, allowed long, passed boolean")
 
 
 def loop_check(spark, sf):
@@ -199,6 +212,15 @@ def missing_terms(spark, sf):
     return audit.missing_terms(singles, I.index_frame(spark, {"Tax_Papers": "10.01", "Music_Albums": "10.02"}), weight=20).select("term")
 
 
+def uncovered_terms(spark, sf):
+    """The heaviest terms of the listing that no category holds, where every distinct file name is a category."""
+    from shelfmark.operators import evidence as E
+
+    singles, phrases, _ = E.theme_evidence(E.file_evidence(D.listing(spark, sf)))
+    names = D.plain_names(spark, sf).select(F.translate("name", "_.", "  ").alias("category"))
+    return audit.missing_terms(singles.unionByName(phrases), names, weight=0.5, k=1000).select("term", "token_type")
+
+
 def validation_document(spark, sf):
     """The whole document; its lists as text, so that SQL can hold them against its own."""
     from shelfmark.operators import evidence as E
@@ -297,8 +319,8 @@ def text_sorted(spark, sf):
 
 
 _queries = (nearest_topk, decide, lead, guard, category_shares, routing_metrics, benchmark_metrics, confusion_pairs, grid_search, best_setting,
-            coarse_groups, prototype_texts, sort_how, sort_stats, organization_plan, plan_summary, conservation, loop_check, judge_by_tag,
-            quality_confusion, mapping_audit, validation_summary, validation_document, missing_terms, merge_indexes, missing_profiles, embedding_todo, encoded_texts, cached_vectors, nearest_ties, nearest_listed, text_sorted)
+            coarse_groups, prototype_texts, sort_how, sort_stats, organization_plan, plan_summary, conservation, plan_guard, loop_check, judge_by_tag,
+            quality_confusion, mapping_audit, validation_summary, validation_document, missing_terms, uncovered_terms, merge_indexes, missing_profiles, embedding_todo, encoded_texts, cached_vectors, nearest_ties, nearest_listed, text_sorted)
 QUERIES = {**{f.__name__: f for f in _queries}, "folder_vote": _vote(False), "vote_type_check": _vote(True)}
 
 # ---- oracles ----------------------------------------------------------------------------------------------------------
@@ -399,7 +421,10 @@ ORACLES = {
  count(*) FILTER (blocked) AS blocked_by_type, count(*) FILTER (topic = '{U}') AS unsorted FROM srt""",
     "organization_plan": f"WITH {PLAN} SELECT * FROM plan",
     "plan_summary": f"WITH {PLAN} SELECT destination, CAST(sum(count) AS BIGINT) AS files FROM plan GROUP BY destination",
-    "conservation": "SELECT count(*) AS source_rows, count(*) AS planned_rows, true AS conserved FROM documents",
+    "conservation": f"""WITH {PLAN}, n AS (SELECT (SELECT count(*) FROM documents) AS source_rows, (SELECT sum(count) FROM plan)::BIGINT AS planned_rows)
+ SELECT *, source_rows = planned_rows AS conserved FROM n""",
+    "plan_guard": f"""WITH {PLAN}, n AS (SELECT count(topic) AS needing, count(*) FILTER (topic = '{U}') AS unsorted FROM plan)
+ SELECT *, needing // {V.GUARD_DIVISOR} AS allowed, unsorted <= needing // {V.GUARD_DIVISOR} AS passed FROM n""",
     "loop_check": f"""WITH {SORTED}, k AS (SELECT count(*) AS needing, count(*) FILTER (topic = '{U}' OR NOT {_known}) AS unsorted FROM srt)
  SELECT needing, unsorted, needing // 150 AS allowed, unsorted <= needing // 150 AS passed, (SELECT count(DISTINCT unit) FROM split) AS units,
  (SELECT count(*) FROM split WHERE placement = 'junk') AS junk FROM k""",
@@ -463,3 +488,9 @@ ORACLES["validation_document"] = f"""WITH {AUDIT}, e AS ({_EVIDENCE['term_eviden
   (SELECT string_agg(concat(topic, '=', n), ';' ORDER BY n DESC, topic) FROM c) AS top_categories,
   coalesce((SELECT string_agg(concat(topic, '=', n), ';' ORDER BY n DESC, topic) FROM c WHERE share >= {V.OVERBROAD_SHARE}), '') AS overbroad,
   coalesce((SELECT string_agg(term, ';' ORDER BY adjusted_weight DESC, term) FROM m), '') AS missing"""
+ORACLES["uncovered_terms"] = f"""WITH e AS (SELECT term, token_type, adjusted_weight, noise_labels FROM ({_EVIDENCE['term_evidence']})
+  UNION ALL SELECT term, token_type, adjusted_weight, noise_labels FROM ({_EVIDENCE['phrase_evidence']})),
+ c AS (SELECT DISTINCT translate(name, '_.', '  ') AS category FROM ({D.PLAIN})),
+ t AS (SELECT lower(string_agg(category, ' ' ORDER BY category)) AS t FROM c)
+SELECT term, token_type FROM e, t WHERE adjusted_weight >= 0.5 AND noise_labels = '' AND NOT contains(t, term)
+ ORDER BY token_type = 'phrase', adjusted_weight DESC, term LIMIT 1000"""
