@@ -245,6 +245,12 @@ PERSON_TYPES = IDENTITY_TYPES + [
     "ITRForm", "ITRV", "AppointmentLetter",
 ] + FINANCIAL_TYPES
 
+# ---- rules about chunks of names --------------------------------------------------------------------------------------
+# Fixed values: (words that must all occur, what they stand for), the first one that fits; words that make a chunk a title.
+ARTIFACTS = [(["floor", "plan"], "FloorPlan"), (["model"], "Model"), (["layout"], "Layout"), (["design", "plot"], "PlotDesign"), (["report"], "Report")]
+NUMBERED_ARTIFACT = ("FloorPlan", "level", "FloorPlan_Level")
+TITLE_CHUNKS = ["report", "notes", "book", "policy", "analysis", "design"]
+
 # Evidence phrases have two or three words.
 PHRASE_WORDS = 3
 
