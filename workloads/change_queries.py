@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import changes as C
 from shelfmark.operators import history as H
+from shelfmark.operators import kept as K
 from shelfmark.session import ROCKSDB, materialise, run_folder
 from shelfmark.streaming.scans import read_log, read_state, track_scans
 from shelfmark.streaming.tracker import append_events, start_state, track_changes, tracked_state
@@ -148,6 +149,29 @@ def daily_state(spark, sf):
                                                        "content_identity_status")
 
 
+def _kept(spark, sf):
+    """The second scan against state and master tables in buckets."""
+    state = K.keep(_current(spark, sf), "state", 8)
+    master = K.keep(_current(spark, sf).select(*C.MASTER), "master", 8)
+    later = D.observations(spark, sf).filter(F.col("observed_at") >= F.lit(D.MIDDLE).cast("timestamp"))
+    return K.update(state, master, later, "drive", F.lit(AT).cast("timestamp"), "hash", 8)
+
+
+def kept_events(spark, sf):
+    return _kept(spark, sf)["events"].select(
+        "file_key", "event_type", "path_changed", "content_changed", "active_state_changed", "previous_path", "path", "size", "sha256",
+        "previous_sha256", "is_active", "content_identity_status")
+
+
+def kept_state(spark, sf):
+    return _kept(spark, sf)["state"].select("file_key", "path", "size", "original_path", "first_seen_at", "last_seen_at", "is_active", "sha256",
+                                            "content_identity_status")
+
+
+def kept_master(spark, sf):
+    return _kept(spark, sf)["master"].select("file_key", "original_path", "first_seen_at")
+
+
 def stream_changes(spark, sf):
     """The whole events table, raw, as three scans, one micro-batch each, through the stateful tracker."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -207,7 +231,7 @@ def stream_scans(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (latest_observation, identity_keys, snapshot_diff, metadata_diff, event_counts, current_state, master_additions,
-                                   first_sighting, hash_todo, pending_export, verify_state, three_scans, scan_history, daily_history, daily_state,
+                                   first_sighting, hash_todo, pending_export, verify_state, three_scans, scan_history, daily_history, daily_state, kept_events, kept_state, kept_master,
                                    stream_changes, stream_continued, stream_state, stream_scans)}
 
 HALVES = f"""obs AS ({D.OBS}),
@@ -291,6 +315,7 @@ ORACLES = {
  SELECT file_key, events, path, act AS is_active, first_seen AS first_seen_at FROM c3 LEFT JOIN lg USING (file_key)""",
 }
 ORACLES["stream_scans"] = ORACLES["three_scans"]
+ORACLES |= {"kept_events": ORACLES["snapshot_diff"], "kept_state": ORACLES["current_state"], "kept_master": ORACLES["master_additions"]}
 ORACLES["scan_history"] = ORACLES["three_scans"]
 # Every key on every day of the month: present rows carried forward, one row a day, compared with the day before.
 DAILY = f"""WITH obs AS ({D.OBS}), day AS (SELECT *, greatest(0, date_diff('day', DATE '2024-01-01', CAST(observed_at AS DATE))) AS scan FROM obs),
