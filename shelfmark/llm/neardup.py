@@ -6,12 +6,14 @@ compared with the bucket's pivot, never with all others; pivots are the nodes th
 copies.  Pairs are checked exactly on the shingles and give classes.  Nodes that are not in the class of their pivot go on: first with
 a second pivot, whose class saves comparisons within it, then all of them, second pivots and their classes too, with those members of
 other classes that they can still match.  A node cannot match at all if it has edits of its own in over a fifth of its shingles; two
-nodes cannot match if they share too little beyond what the first pivot has (see ``_last_pairs``).  So every match that shares a bucket
-is found or joins nodes of one class.  A pair of similarity 0.8 shares none of the 32 bands of five coordinates with a probability of
+nodes cannot match if they share too little beyond what the first pivot has, so groups are dealt out again by what their nodes have
+beyond their pivot (``_dealt``), with new pivots, until no bucket holds two classes (``_settled``).  Pairs within a group are never
+listed, but for buckets of a few nodes.  So every match that shares a bucket is found or joins nodes of one class.  A pair of similarity 0.8 shares none of the 32 bands of five coordinates with a probability of
 3 in a million.
 
 Defined results: a null text is a class of its own; texts without words are copies if they are equal; repeated rows belong to one
-class; the class id is the smallest doc_id of the class (null ids only where no other is there); extra columns are ignored.
+class; the class id is the smallest doc_id of the class (null only where no other is there; rows with null ids are linked by their texts
+like all others); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from shelfmark.llm.words import mix, run_hashes, word_hashes, word_spans
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
+FEW, LEVELS = 8, 8  # nodes of a bucket that are compared pair by pair; times that larger buckets are dealt out again
 SLICE = 2 << 20
 LOG2_BITS = 22
 
@@ -82,8 +85,8 @@ def signed(documents: DataFrame, keep: list[str], bands: int = BANDS, rows: int
 
 
 def _sets_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, shingles, counts of the wanted (doc_id, node) rows, made again from the texts."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << LOG2_BITS))
+    """node, shingles, counts of the wanted (row_hash, node) rows, made again from the texts."""
+    slot = F.pmod(F.col("row_hash"), F.lit(1 << LOG2_BITS))
     bits = bits_of(wanted.select(slot.alias("slot")), LOG2_BITS)
 
     def run(batches):
@@ -96,11 +99,11 @@ def _sets_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                 counted.append(counts.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(nodes, pa.binary()), pa.array(shingles, pa.list_(pa.int64())), pa.array(counted, pa.list_(pa.int32()))],
-                ["doc_id", "node", "shingles", "counts"])
+                ["row_hash", "node", "shingles", "counts"])
 
-    rows = documents.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("t"), slot.alias("slot"))
-    found = rows.mapInArrow(run, "doc_id long, node binary, shingles array<long>, counts array<int>")
-    found = found.join(wanted, ["doc_id", "node"], "left_semi")
+    rows = documents.where(F.col("text").isNotNull()).select(F.xxhash64("doc_id", "text").alias("row_hash"), F.col("text").cast("binary").alias("t"))
+    found = rows.select("row_hash", "t", slot.alias("slot")).mapInArrow(run, "row_hash long, node binary, shingles array<long>, counts array<int>")
+    found = found.join(wanted, ["row_hash", "node"], "left_semi")
     return found.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("counts").alias("counts"))
 
 
@@ -170,48 +173,91 @@ def _shared(sets: DataFrame, used: DataFrame) -> DataFrame:
     return mine.select("node", "size").join(lost, "node", "left").select("node", "size", (F.col("size") - F.coalesce("lost", F.lit(0))).alias("common"))
 
 
-def _last_pairs(open_rows: DataFrame, first: DataFrame, facts: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """a, b: all pairs of an open node and a node of another class that can match although both were compared with one pivot.
+def _mixed(members: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one class, with n (nodes in the bucket); of buckets with the same nodes one is kept."""
+    content = F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("content")
+    seen = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), content, F.min("label").alias("low"), F.max("label").alias("high"))
+    once = materialise(seen.where("low != high").groupBy("n", "content").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "mixed")
+    return materialise(members.join(once, "bucket"), "members")
 
-    first: key, node, pivot, common of the first round.  What two nodes share is at most what the pivot has in common with either,
-    plus what they share beyond the pivot.  So either sizes are so small that the first part is enough, or a certain weight is shared
-    beyond the pivot; then the rarest shingles beyond the pivot, up to where less than that weight is left, have one in common.
+
+def _relabelled(members: DataFrame, match: DataFrame) -> DataFrame:
+    """members with the labels of classes that `match` (label_a, label_b) joins made one."""
+    moved = components(match.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
+    moved = moved.select(F.col("node").alias("label"), F.col("label").alias("new"))
+    return members.join(moved, "label", "left").withColumn("label", F.coalesce("new", "label")).drop("new")
+
+
+def _dealt(group: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Sub-buckets (bucket, node, size, common, label) of groups that were compared with one node each, its pivot.
+
+    group: bucket, pivot, node, near (weight in common with the pivot), size, common, label.  What two nodes share is at most what the
+    pivot has in common with either, plus what they share beyond the pivot.  So either both sizes are so small that the first part is
+    enough (one sub-bucket for these), or a certain weight is shared beyond the pivot: then the rarest shingles beyond the pivot, up to
+    where less than that weight is left, have one in common (a sub-bucket for each of these shingles).
     """
     need = threshold / (1 + threshold)  # of the sum of both sizes
-    own_keys = open_rows.select("key", F.col("node").alias("open_node"))
-    begun = first.join(open_rows.select("key").distinct(), "key", "left_semi").select("pivot").distinct()
-    begun = materialise(begun, "begun")
-    opened = own_keys.join(first.select("key", F.col("node").alias("open_node"), "pivot"), ["key", "open_node"]).select("pivot", F.col("open_node").alias("node")).distinct()
-    # Dealt out by node before the distinct, else it would keep the dealing by pivot, and a hot pivot could not be split.
-    group = first.join(begun, "pivot", "left_semi").select("pivot", "node", F.col("common").alias("near")).repartition("node").distinct()
-    group = group.join(facts.where(F.col("common") >= threshold * F.col("size")), "node")
-    group = group.join(opened.withColumn("open", F.lit(True)), ["pivot", "node"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
-    group = materialise(group, "group")
-    least = materialise(group.groupBy("pivot").agg(F.min("size").alias("least")), "least")
-    group = materialise(group.join(least, "pivot").select("pivot", "node", "near", "size", "label", "open", "least"), "group")
-
-    def sides(frame: DataFrame, columns: list[str], name: str) -> DataFrame:
-        return frame.select(*columns, *[F.col(c).alias(f"{name}_{c}") for c in ("node", "near", "size", "label")])
-
-    apart = F.col("l_label") != F.col("r_label")
-    small = sides(group.where("open").where(need * (F.col("size") + F.col("least")) <= F.col("near")), ["pivot"], "l")
-    enough = need * (F.col("l_size") + F.col("r_size")) <= F.least("l_near", "r_near")
-    by_size = small.join(sides(group, [F.col("pivot").alias("r_pivot")], "r"), (F.col("pivot") == F.col("r_pivot")) & apart & enough)
-    beyond = _beyond(group.select(F.col("node").alias("a"), F.col("pivot").alias("b")), sets)
-    beyond = materialise(beyond, "beyond")
-    rarity = beyond.groupBy("pivot", "shingle").agg(F.count(F.lit(1)).alias("n"))
+    least = materialise(group.groupBy("bucket").agg(F.min("size").alias("least")), "least")
+    group = materialise(group.join(least, "bucket"), "group")
+    facts = ["size", "common", "label"]
+    small = group.where(need * (F.col("size") + F.col("least")) <= F.col("near"))
+    by_size = small.select(F.xxhash64("bucket").alias("sub"), "node", *facts)
+    pairs = group.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    beyond = materialise(_beyond(pairs, sets), "beyond")
+    beyond = group.select("bucket", "node", "pivot", "near", "least", *facts).join(beyond, ["node", "pivot"])
+    beyond = materialise(beyond.select("bucket", "node", "near", "least", *facts, "shingle", "w"), "beyond")
+    rarity = materialise(beyond.groupBy("bucket", "shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "rarity")
     missing = F.greatest(F.lit(1.0), F.ceil(need * (F.col("least") + F.col("size")) - F.col("near") - 1e-9))
-    window = Window.partitionBy("pivot", "node").orderBy(F.desc("n"), F.desc("shingle"))
-    ranked = beyond.join(rarity, ["pivot", "shingle"]).withColumn("left", F.sum("w").over(window))  # weight of this one and all more frequent ones
-    prefix = ranked.where("n > 1").join(group, ["pivot", "node"]).where(F.col("left") >= missing)
-    prefix = materialise(prefix.select("pivot", "shingle", "node", "near", "size", "label", "open"), "prefix")
-    on = (F.col("pivot") == F.col("r_pivot")) & (F.col("shingle") == F.col("r_shingle")) & apart
-    by_rest = sides(prefix.where("open"), ["pivot", "shingle"], "l").join(sides(prefix, [F.col("pivot").alias("r_pivot"), F.col("shingle").alias("r_shingle")], "r"), on)
-    return by_size.select(*_ordered("l_node", "r_node")).union(by_rest.select(*_ordered("l_node", "r_node"))).distinct()
+    window = Window.partitionBy("bucket", "node").orderBy(F.desc("n"), F.desc("shingle"))
+    ranked = beyond.join(rarity, ["bucket", "shingle"]).withColumn("left", F.sum("w").over(window))  # weight of this one and all more frequent ones
+    by_rest = ranked.where(F.col("left") >= missing).select(F.xxhash64("bucket", "shingle").alias("sub"), "node", *facts)
+    return materialise(by_size.union(by_rest).withColumnRenamed("sub", "bucket").distinct(), "dealt")
+
+
+def _settled(members: DataFrame, sets: DataFrame, threshold: float, levels: int = LEVELS, few: int = FEW):
+    """Lists of frames (a, b) of matches that join the classes of each bucket of members (bucket, node, size, common, label).
+
+    A bucket of at most `few` nodes compares its nodes of different classes, which is at most `few` pairs a row.  A larger one compares
+    all nodes with its pivot, the node with the smallest part of its own, which then has met all and goes; the others are dealt out
+    again by what they have beyond the pivot, until no bucket holds two classes.  What is left after `levels` levels, if anything,
+    compares all nodes of different classes.
+    """
+    found = []
+    for level in range(levels + 1):
+        members = _mixed(members)
+        if is_empty(members):
+            break
+        listed = members if level == levels else members.where(F.col("n") <= few)
+        left = listed.select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"))
+        right = listed.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"))
+        pairs = left.join(right, "bucket").where("a < b and label_a != label_b").select("a", "b", "label_a", "label_b").distinct()
+        groups = members.where(F.col("n") > few) if level < levels else members.limit(0)
+        central = F.max(F.struct((F.col("common") / F.col("size")).alias("part"), (-F.col("size")).alias("short"), "node", "label")).alias("top")
+        pivots = groups.groupBy("bucket").agg(central).select("bucket", F.col("top.node").alias("pivot"), F.col("top.label").alias("pivot_label"))
+        pivots = materialise(pivots, "pivots")
+        near = materialise(groups.join(pivots, "bucket").where("node != pivot"), "near")
+        named = near.select(*_ordered("node", "pivot"), F.when(F.col("node") < F.col("pivot"), F.col("label")).otherwise(F.col("pivot_label")).alias("label_a"),
+                            F.when(F.col("node") < F.col("pivot"), F.col("pivot_label")).otherwise(F.col("label")).alias("label_b"))
+        pairs = materialise(pairs.union(named).distinct(), "pairs")
+        checked = materialise(_checked(pairs.select("a", "b"), sets), "checked")
+        match = pairs.where("label_a != label_b").join(checked.where(F.col("sim") >= threshold), ["a", "b"])
+        match = materialise(match.select("a", "b", "label_a", "label_b"), "match")
+        found.append(match.select("a", "b"))
+        if level == levels or is_empty(near):
+            break
+        near = near.select("bucket", "pivot", "node", "size", "common", "label", *[c.alias(n) for c, n in zip(_ordered("node", "pivot"), ("a", "b"))])
+        near = near.join(checked.select("a", "b", F.col("common").alias("near")), ["a", "b"]).drop("a", "b")
+        near = materialise(_relabelled(near, match), "near")
+        classes = near.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
+        near = materialise(near.join(materialise(classes, "open"), "bucket"), "near")
+        if is_empty(near):
+            break
+        members = _dealt(near, sets, threshold)
+    return found
 
 
 def links(documents: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, rounds: int = 2) -> DataFrame:
-    """a, b: checked matches that join the nodes of every class.  nodes: node, doc_id (one of its documents), keys."""
+    """a, b: checked matches that join the nodes of every class.  nodes: node, row_hash (of one of its rows), keys."""
     rows = nodes.where("keys is not null").select("node", F.explode("keys").alias("key"))
     # Aggregates are written before they are joined by their own key: read back, both sides are dealt out anew, and a hot key can be split.
     shared_keys = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-keys")
@@ -219,7 +265,7 @@ def links(documents: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD,
     weight = full.groupBy("node").agg(F.sum("n").alias("weight"))
     full = materialise(full.select("key", "node").join(weight, "node"), "weighted")
     used = full.select("node").distinct()
-    wanted = materialise(nodes.select("doc_id", "node").join(used, "node", "left_semi"), "wanted")
+    wanted = materialise(nodes.select("row_hash", "node").join(used, "node", "left_semi"), "wanted")
     sets = materialise(_sets_of(documents, wanted), "sets")
     open_rows, found, first, begun, could = full, None, None, None, None
     for _ in range(rounds):
@@ -243,25 +289,39 @@ def links(documents: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD,
         open_rows = materialise(open_rows.join(could, "node", "left_semi"), "open")
         if is_empty(open_rows):
             return found
-    facts = shared.join(labels, "node", "left").select("node", "size", "common", F.coalesce("label", "node").alias("label"))
-    last = materialise(_last_pairs(open_rows, first, facts, sets, threshold), "last")
-    match = _checked(last, sets).where(F.col("sim") >= threshold).select("a", "b")
-    return materialise(found.union(match), "found")
+    # Groups by first pivot, of the pivots with open rows: all their nodes that can match anything beside the pivot.
+    begun = materialise(first.join(open_rows.select("key").distinct(), "key", "left_semi").select("pivot").distinct(), "begun")
+    facts = shared.join(could, "node", "left_semi").join(labels, "node", "left").select("node", "size", "common", F.coalesce("label", "node").alias("label"))
+    # Dealt out by node before the distinct, else it would keep the dealing by pivot, and a hot pivot could not be split.
+    group = first.join(begun, "pivot", "left_semi").select("pivot", "node", F.col("common").alias("near")).repartition("node").distinct()
+    group = materialise(group.join(facts, "node").withColumn("bucket", F.xxhash64("pivot")), "group")
+    for match in _settled(_dealt(group, sets, threshold), sets, threshold):
+        found = found.union(match)
+    return materialise(found, "found")
 
 
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (default and first: doc_id), class_id, n_links (checked matches of its text with other texts) for every row."""
+    """The kept columns (default: doc_id), class_id, n_links (checked matches of its text with other texts), first_row for every row.
+
+    first_row is true for the row of the class with the smallest doc_id (ties by a hash of id and text; repeated rows alike).
+    """
     keep = ["doc_id"] if keep is None else keep
-    rows = materialise(signed(documents, keep), "signed")
+    # Kept columns go by numbers inside, so that no name can clash.
+    inner = documents.select(F.col("doc_id"), F.col("text"), F.xxhash64("doc_id", "text").alias("row_hash"), *[F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep)])
+    kept = [f"kept_{k}" for k in range(len(keep))]
+    rows = materialise(signed(inner, ["doc_id", "row_hash", *kept]), "signed")
     known = rows.where("node is not null")
-    nodes = materialise(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys", ignorenulls=True).alias("keys")), "nodes")
-    edges = materialise(links(documents, nodes, threshold).distinct(), "links")
+    lowest = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash")).alias("lowest")
+    nodes = materialise(known.groupBy("node").agg(lowest, F.first("keys", ignorenulls=True).alias("keys")), "nodes")
+    edges = materialise(links(inner, nodes.select("node", "lowest.row_hash", "keys"), threshold).distinct(), "links")
     labels = components(edges)
-    classed = nodes.select("node", "doc_id").join(labels, "node")
-    lowest = classed.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    classed = nodes.select("node", "lowest").join(labels, "node")
+    of_class = classed.groupBy("label").agg(F.min("lowest").alias("of_class"))
     degree = edges.select(F.col("a").alias("node")).union(edges.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    linked = labels.join(lowest, "label").join(degree, "node").select("node", "class_id", "n_links")
+    linked = labels.join(of_class, "label").join(degree, "node").select("node", "of_class", "n_links")
     classes = nodes.join(linked, "node", "left").select(
-        "node", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = rows.select(*keep, "node").join(materialise(classes, "classes"), "node", "left")
-    return out.select(*keep, F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        "node", F.coalesce("of_class", "lowest").alias("of_class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = rows.select("doc_id", "row_hash", *kept, "node").join(materialise(classes, "classes"), "node", "left")
+    class_id = F.when(F.col("of_class").isNull(), F.col("doc_id")).otherwise(F.col("of_class.doc_id")).alias("class_id")
+    first_row = F.coalesce(F.col("of_class.row_hash") == F.col("row_hash"), F.lit(True)).alias("first_row")
+    return out.select(*[F.col(k).alias(c) for k, c in zip(kept, keep)], class_id, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), first_row)

@@ -4,6 +4,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from shelfmark.llm import neardup
 from shelfmark.llm.components import components
 from shelfmark.llm.dart import signature, similarity
 from shelfmark.llm.neardup import near_duplicates
@@ -110,6 +113,54 @@ def test_bridges_between_first_and_second_pivots(documents):
     assert sorted((r.doc_id, r.class_id) for r in near_duplicates(documents(rows)).collect()) == expected
 
 
+def family(size, edits, seed):
+    """Copies of one text with up to `edits` words replaced, without the text itself."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{k}" for k in rng.integers(0, 500, 120)]
+    rows = []
+    for i in range(size):
+        words = list(base)
+        for at in rng.integers(0, 120, rng.integers(1, edits + 1)):
+            words[at] = f"n{rng.integers(0, 10**6)}"
+        rows.append((i, " ".join(words), "en"))
+    return rows
+
+
+def test_pairs_grow_with_the_rows_of_a_family(documents, monkeypatch):
+    """Large families of near copies: classes as by brute force, and compared pairs in proportion to the rows."""
+    made, plain = [], neardup._checked
+
+    def counted(pairs, sets):
+        made[-1] += pairs.count()
+        return plain(pairs, sets)
+
+    monkeypatch.setattr(neardup, "_checked", counted)
+    for size in (400, 800, 1600):
+        rows = family(size, 5, size)
+        made.append(0)
+        got = sorted((r.doc_id, r.class_id) for r in near_duplicates(documents(rows)).collect())
+        if size < 1600:
+            assert got == classes(rows)  # recall 1 on every link that joins classes
+    assert made[2] < 2.5 * made[1] < 2.5 * 2.5 * made[0]
+    assert made[2] < 40 * 1600
+
+
+def test_buckets_dealt_out_again_and_again(documents, monkeypatch):
+    """With buckets of two at most, the large ones go through several levels."""
+    settle = neardup._settled
+    monkeypatch.setattr(neardup, "_settled", lambda *x: settle(*x, few=2))
+    rows = family(400, 5, 7)
+    assert sorted((r.doc_id, r.class_id) for r in near_duplicates(documents(rows)).collect()) == classes(rows)
+
+
+def test_null_ids_are_linked_by_their_texts(documents):
+    text = [f"w{k}" for k in range(60)]
+    rows = [(None, " ".join(text), "en"), (None, " ".join([*text, "more"]), "en"), (None, "another text of six plain words", "en"), (4, None, "en")]
+    out = near_duplicates(documents(rows).withColumn("node", F.lit(1)), keep=["node", "doc_id", "text"]).collect()
+    assert sorted((r.n_links, r.first_row) for r in out if r.text and r.text.startswith("w0")) == [(1, False), (1, True)]
+    assert all(r.first_row and r.n_links == 0 for r in out if not (r.text and r.text.startswith("w0")))
+
+
 def test_edges(documents):
     rows = [(1, None, "en"), (2, None, "en"), (3, "", "en"), (4, "", "en"), (5, " !?", "en"), (6, "one two", "en"), (7, "One  two!", "en"),
             (8, "a " * 100_000, "en"), (9, "a " * 100_001, "en"), (9, "a " * 100_001, "en"), (10, "é e", "en")]
