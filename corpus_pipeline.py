@@ -5,7 +5,7 @@ from Parquet.  The last stage adds the shard and the slot of each document.  Sta
 go along); an empty table passes through all of them.
 
 * language: documents without a language (``und``: null or no letters) or with a score below ``MIN_SCORE`` go.
-* near_dedup: of each class of near-duplicates the document with the smallest doc_id stays; of repeated rows one stays.
+* near_dedup: of each class of near-duplicates the document with the smallest doc_id stays (null last); of repeated rows one stays.
 * decontaminate: documents that contain a window of a benchmark item go.
 * mix: documents whose fitted rate is below one half go (rates are rounded to 0 or 1, so nothing is repeated).
 * shard: everything stays.
@@ -45,7 +45,7 @@ def near_dedup(spark, docs, sf_dir):
     arrow_rows(spark)
     hashed = docs.withColumn("text_hash", F.xxhash64("text"))
     classes = near_duplicates(hashed, keep=["doc_id", "text_hash"])
-    kept = _without(docs, classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "text_hash"))
+    kept = _without(docs, classes.where("not first_row").select("doc_id", "text_hash"))
     return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
