@@ -196,18 +196,21 @@ def _dealt(group: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     enough (one sub-bucket for these), or a certain weight is shared beyond the pivot: then the rarest shingles beyond the pivot, up to
     where less than that weight is left, have one in common (a sub-bucket for each of these shingles).
     """
-    need = threshold / (1 + threshold)  # of the sum of both sizes
+    need = threshold / (1 + threshold)  # of the sum of both sizes; no match is smaller than `threshold` times a node
     least = materialise(group.groupBy("bucket").agg(F.min("size").alias("least")), "least")
     group = materialise(group.join(least, "bucket"), "group")
     facts = ["size", "common", "label"]
-    small = group.where(need * (F.col("size") + F.col("least")) <= F.col("near"))
+    both = F.col("size") + F.greatest("least", threshold * F.col("size"))
+    small = group.where(need * both - 1e-9 <= F.col("near"))
     by_size = small.select(F.xxhash64("bucket").alias("sub"), "node", *facts)
     pairs = group.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     beyond = materialise(_beyond(pairs, sets), "beyond")
     beyond = group.select("bucket", "node", "pivot", "near", "least", *facts).join(beyond, ["node", "pivot"])
     beyond = materialise(beyond.select("bucket", "node", "near", "least", *facts, "shingle", "w"), "beyond")
-    rarity = materialise(beyond.groupBy("bucket", "shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "rarity")
-    missing = F.greatest(F.lit(1.0), F.ceil(need * (F.col("least") + F.col("size")) - F.col("near") - 1e-9))
+    # Only shingles that nodes of two classes have can be shared by a pair that still counts.
+    rarity = beyond.groupBy("bucket", "shingle").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    rarity = materialise(rarity.where("low != high").select("bucket", "shingle", "n"), "rarity")
+    missing = F.greatest(F.lit(1.0), F.ceil(need * both - F.col("near") - 1e-9))
     window = Window.partitionBy("bucket", "node").orderBy(F.desc("n"), F.desc("shingle"))
     ranked = beyond.join(rarity, ["bucket", "shingle"]).withColumn("left", F.sum("w").over(window))  # weight of this one and all more frequent ones
     by_rest = ranked.where(F.col("left") >= missing).select(F.xxhash64("bucket", "shingle").alias("sub"), "node", *facts)
