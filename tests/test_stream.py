@@ -90,3 +90,17 @@ def test_stream_continues_from_a_state_and_counts_late_rows(spark, tmp_path):
     assert got == [("a", "late_rows", 1), ("a", "late_rows", 2), ("a", "path_changed", 0), ("b", "restored_file", 0), ("n", "late_rows", 1), ("n", "new_file", 0)]
     state = {r["file_key"]: (r["path"], r["size"], r["sha256"], r["is_active"]) for r in tracked_state(spark, f"{tmp_path}/cp").collect()}
     assert state == {"a": ("e/a", 1.0, "h", True), "b": ("d/b", 1.0, None, True), "n": ("n", 1.0, None, True), "q": ("d/q", 1.0, None, True)}
+
+
+def test_state_is_kept_by_slot(spark, tmp_path):
+    """Many keys, few slots: as many state rows as slots; keys of one slot keep their own times to live."""
+    first = [(f"k{i}", f"d/{i}", float(i), i) for i in range(300)]
+    scans = [first, [("k7", "e/7", 7.0, 0)], [(f"k{i}", f"d/{i}", float(i), 0) for i in range(8, 300)]]
+    got = run(spark, tmp_path, scans, ttl_seconds=36 * 3600, lateness="0 seconds", slots=4).collect()
+    assert sum(r["event_type"] == "new_file" for r in got) == 300
+    assert [(r["file_key"], r["path"], r["previous_path"]) for r in got if r["event_type"] == "path_changed"] == [("k7", "e/7", "d/7")]
+    missing = {r["file_key"]: r["observed_at"] for r in got if r["event_type"] == "missing_file"}
+    assert missing == {f"k{i}": T0 + dt.timedelta(minutes=i, hours=36) for i in range(7)}
+    assert spark.read.format("statestore").option("stateVarName", "last").load(f"{tmp_path}/cp").count() == 4
+    state = {r["file_key"]: (r["path"], r["is_active"]) for r in tracked_state(spark, f"{tmp_path}/cp").collect()}
+    assert len(state) == 300 and state["k7"] == ("e/7", True) and state["k3"] == ("d/3", False) and state["k9"] == ("d/9", True)
