@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import names as N
 from shelfmark.functions import vocab as V
+from shelfmark.session import materialise
 
 WORDS = "[a-z0-9]+"
+STOPWORDS = frozenset(V.CONTEXT_STOPWORDS)
 LIMIT = 5
 WEIGHTS = {"content": 3, "context": 2, "ext": 1}
 
@@ -52,11 +58,42 @@ def _with_terms(files: DataFrame, k: int = LIMIT) -> DataFrame:
     )
 
 
+def best_terms(content: str, context: str, ext: str, k: int = LIMIT) -> list[str]:
+    """The ``k`` heaviest terms of one file, from its texts in lower case: by weight, then first appearance."""
+    weights: dict[str, int] = {}
+    for text, weight in ((content, WEIGHTS["content"]), (context, WEIGHTS["context"]), (ext, WEIGHTS["ext"])):
+        for word, n in Counter(re.findall(WORDS, text)).items():  # in order of first appearance, as is the sum
+            weights[word] = weights.get(word, 0) + n * weight
+    useful = ((word, w) for word, w in weights.items() if len(word) >= 3 and word not in STOPWORDS)
+    return [word for word, _ in sorted(useful, key=lambda pair: -pair[1])[:k]]
+
+
+def _terms_in_row(files: DataFrame, content: str, k: int) -> DataFrame:
+    """``(path, terms)`` of files whose path no other row has: ranked where the text is read."""
+    low = [F.lower(F.coalesce(text, F.lit(""))) for text in (F.col(content), _context(), F.col("ext"))]
+    rows = files.select("path", *[text.alias(name) for name, text in zip(("c", "x", "e"), low, strict=True)])
+
+    def run(batches):
+        for batch in batches:
+            texts = zip(*(batch.column(at) for at in (1, 2, 3)), strict=True)
+            terms = [best_terms(c.as_py(), x.as_py(), e.as_py(), k) for c, x, e in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.list_(pa.string()))], names=["path", "terms"])
+
+    return rows.mapInArrow(run, "path string, terms array<string>")
+
+
 def ranked_terms(files: DataFrame, content: str, k: int = LIMIT) -> DataFrame:
     """``(path, terms)``: the ``k`` heaviest terms of each file by weight, then first appearance, then term.
 
-    Texts are cut into words where they are read, and counted there before anything is shuffled; no text leaves its task.
+    A file that is one row is ranked where its text is read, and only ``k`` terms leave the task.  Rows that share a path count
+    together: their texts are cut into words where they are read, and counted there before words are shuffled.
     """
+    shared = materialise(files.groupBy("path").count().where("count > 1").select("path"), "shared-paths")
+    single = _terms_in_row(files.join(shared, "path", "left_anti"), content, k)
+    return single.unionByName(_terms_of_shared(files.join(shared, "path", "left_semi"), content, k))
+
+
+def _terms_of_shared(files: DataFrame, content: str, k: int) -> DataFrame:
     context, ext = _words(_context()), _words(F.col("ext"))
     said, around = F.size("_content"), F.size("_content") + F.size("_context")
     placed = (

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import names as N
 from shelfmark.functions import paths as P
-from shelfmark.operators.context_names import contextual_names
+from shelfmark.operators.context_names import _terms_in_row, _terms_of_shared, contextual_names, ranked_terms
 from shelfmark.operators.standardize import standardize_names
 
 
@@ -179,3 +179,14 @@ def test_names_of_one_task_are_dealt_over_the_cluster(spark):
     names = spark.range(200).coalesce(1).selectExpr("id", "concat('lecture ', id, ' flight dynamics notes.pdf') AS name")
     made = standardize_names(names)
     assert made.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism and made.count() == 200
+
+
+def test_words_of_single_files_are_not_shuffled_and_shared_paths_count_together(spark):
+    rows = [("a/b c.txt", "tax return tax Return RETURN"), ("x/same.txt", "alpha beta beta"), ("x/same.txt", "alpha gamma alpha"), ("d.txt", None)]
+    files = P.with_parts(spark.createDataFrame(rows, "path string, text string"))
+    many = files.unionByName(P.with_parts(spark.range(50).selectExpr("concat('m/', id) AS path", "concat_ws(' ', transform(sequence(0, 500), i -> concat('word', i * id))) AS text")))
+    got = {r["path"]: r["terms"] for r in ranked_terms(many, "text").collect()}
+    assert got["a/b c.txt"][:2] == ["return", "tax"] and got["x/same.txt"][:2] == ["alpha", "beta"] and got["m/3"] == ["word0", "word3", "word6", "word9", "word12"]
+    for path, terms in _terms_of_shared(files, "text", 5).collect():  # the words' way, for every file
+        assert got[path] == terms
+    assert not any("Generate" in line for line in _terms_in_row(files, "text", 5)._jdf.queryExecution().executedPlan().toString().splitlines())
