@@ -62,7 +62,9 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 def hashed_vector(text: Column, dim: int = 256) -> Column:
     """Default encoder: L2-normalised counts of hashed words (letters and digits, lower case), by built-in functions only."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    places = F.array_sort(F.transform(words, lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % dim).cast("int")))
+    digits = -(-(dim.bit_length() - 1) // 4) if dim & (dim - 1) == 0 else 8  # the last hex digits decide for a power of two
+    start, size = 9 - max(digits, 1), max(digits, 1)
+    places = F.sort_array(F.transform(words, lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), start, size), 16, 10).cast("long") % dim).cast("int")))
 
     def vector(present: Column, starts: Column, total: Column) -> Column:
         ends = F.concat(F.slice(starts, 2, dim), F.array(total.cast("long") + 1))
