@@ -7,8 +7,8 @@ copies.  Pairs are checked exactly on the shingles and give classes.  Nodes that
 a second pivot, whose class saves comparisons within it, then all of them, second pivots and their classes too, with those members of
 other classes that they can still match.  A node cannot match at all if it has edits of its own in over a fifth of its shingles; two
 nodes cannot match if they share too little beyond what the first pivot has, so groups are dealt out again by what their nodes have
-beyond their pivot (``_dealt``), with new pivots, until no bucket holds two classes (``_settled``).  Pairs within a group are never
-listed, but for buckets of a few nodes.  So every match that shares a bucket is found or joins nodes of one class.  A pair of similarity 0.8 shares none of the 32 bands of five coordinates with a probability of
+beyond their pivot (``_dealt``).  Sub-buckets that still hold several classes are compared block by block (``_settled``); pairs are never
+listed.  So every match that shares a bucket is found or joins nodes of one class.  A pair of similarity 0.8 shares none of the 32 bands of five coordinates with a probability of
 3 in a million.
 
 Defined results: a null text is a class of its own; texts without words are copies if they are equal; repeated rows belong to one
@@ -34,7 +34,8 @@ from shelfmark.llm.words import mix, run_hashes, word_hashes, word_spans
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
-FEW, LEVELS = 8, 8  # nodes of a bucket that are compared pair by pair; times that larger buckets are dealt out again
+FEW, MANY, WORDS_OF_BLOCK = 64, 512, 1 << 20  # bounds of a block of nodes that are compared at once
+COLUMNS = 4096
 SLICE = 2 << 20
 LOG2_BITS = 22
 
@@ -181,82 +182,125 @@ def _mixed(members: DataFrame) -> DataFrame:
     return materialise(members.join(once, "bucket"), "members")
 
 
-def _relabelled(members: DataFrame, match: DataFrame) -> DataFrame:
-    """members with the labels of classes that `match` (label_a, label_b) joins made one."""
-    moved = components(match.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
-    moved = moved.select(F.col("node").alias("label"), F.col("label").alias("new"))
-    return members.join(moved, "label", "left").withColumn("label", F.coalesce("new", "label")).drop("new")
-
-
 def _dealt(group: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Sub-buckets (bucket, node, size, common, label) of groups that were compared with one node each, its pivot.
+    """Sub-buckets (bucket, node, size, label) of groups that were compared with one node each, its pivot.
 
-    group: bucket, pivot, node, near (weight in common with the pivot), size, common, label.  What two nodes share is at most what the
-    pivot has in common with either, plus what they share beyond the pivot.  So either both sizes are so small that the first part is
-    enough (one sub-bucket for these), or a certain weight is shared beyond the pivot: then the rarest shingles beyond the pivot, up to
-    where less than that weight is left, have one in common (a sub-bucket for each of these shingles).
+    group: bucket, pivot, node, near (weight in common with the pivot), size, label.  A group is held against the pivot and all shingles
+    that over half of its nodes have beyond it, so that these make no sub-buckets.  What two nodes share is at most what this middle has in
+    common with either, plus what they share beyond it.  So either both sizes are so small that the first part is enough (one sub-bucket
+    for these), or a certain weight is shared beyond the middle: then the rarest shingles beyond it, up to where less than that weight is
+    left, have one in common (a sub-bucket for each of these shingles).
     """
     need = threshold / (1 + threshold)  # of the sum of both sizes; no match is smaller than `threshold` times a node
-    least = materialise(group.groupBy("bucket").agg(F.min("size").alias("least")), "least")
-    group = materialise(group.join(least, "bucket"), "group")
-    facts = ["size", "common", "label"]
-    both = F.col("size") + F.greatest("least", threshold * F.col("size"))
-    small = group.where(need * both - 1e-9 <= F.col("near"))
-    by_size = small.select(F.xxhash64("bucket").alias("sub"), "node", *facts)
+    least = materialise(group.groupBy("bucket").agg(F.min("size").alias("least"), F.count(F.lit(1)).alias("nodes")), "least")
     pairs = group.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    beyond = materialise(_beyond(pairs, sets), "beyond")
-    beyond = group.select("bucket", "node", "pivot", "near", "least", *facts).join(beyond, ["node", "pivot"])
-    beyond = materialise(beyond.select("bucket", "node", "near", "least", *facts, "shingle", "w"), "beyond")
+    beyond = group.select("bucket", "node", "pivot", "label").join(materialise(_beyond(pairs, sets), "beyond"), ["node", "pivot"])
+    beyond = materialise(beyond.drop("pivot"), "beyond")
+    counted = beyond.groupBy("bucket", "shingle").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
     # Only shingles that nodes of two classes have can be shared by a pair that still counts.
-    rarity = beyond.groupBy("bucket", "shingle").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-    rarity = materialise(rarity.where("low != high").select("bucket", "shingle", "n"), "rarity")
-    missing = F.greatest(F.lit(1.0), F.ceil(need * both - F.col("near") - 1e-9))
+    rarity = counted.where("low != high").join(least, "bucket").select("bucket", "shingle", "n", (F.col("n") * 2 > F.col("nodes")).alias("hot"))
+    ranked = materialise(beyond.drop("label").join(materialise(rarity, "rarity"), ["bucket", "shingle"]), "ranked")
+    more = ranked.where("hot").groupBy("bucket", "node").agg(F.sum("w").alias("more"))
+    group = group.join(least, "bucket").join(materialise(more, "more"), ["bucket", "node"], "left")
+    near = F.col("near") + F.coalesce("more", F.lit(0))
+    both = F.col("size") + F.greatest("least", threshold * F.col("size"))
+    group = materialise(group.select("bucket", "node", "size", "label", (need * both - near - 1e-9).alias("lack")), "group")
+    by_size = group.where("lack <= 0").select(F.xxhash64("bucket").alias("sub"), "node", "size", "label")
     window = Window.partitionBy("bucket", "node").orderBy(F.desc("n"), F.desc("shingle"))
-    ranked = beyond.join(rarity, ["bucket", "shingle"]).withColumn("left", F.sum("w").over(window))  # weight of this one and all more frequent ones
-    by_rest = ranked.where(F.col("left") >= missing).select(F.xxhash64("bucket", "shingle").alias("sub"), "node", *facts)
+    ranked = ranked.where("not hot").withColumn("left", F.sum("w").over(window))  # weight of this one and all more frequent ones
+    ranked = ranked.select("bucket", "node", "shingle", "left").join(group, ["bucket", "node"])
+    by_rest = ranked.where(F.col("left") >= F.greatest(F.lit(1.0), F.ceil("lack")))
+    by_rest = by_rest.select(F.xxhash64("bucket", "shingle").alias("sub"), "node", "size", "label")
     return materialise(by_size.union(by_rest).withColumnRenamed("sub", "bucket").distinct(), "dealt")
 
 
-def _settled(members: DataFrame, sets: DataFrame, threshold: float, levels: int = LEVELS, few: int = FEW):
-    """Lists of frames (a, b) of matches that join the classes of each bucket of members (bucket, node, size, common, label).
-
-    A bucket of at most `few` nodes compares its nodes of different classes, which is at most `few` pairs a row.  A larger one compares
-    all nodes with its pivot, the node with the smallest part of its own, which then has met all and goes; the others are dealt out
-    again by what they have beyond the pivot, until no bucket holds two classes.  What is left after `levels` levels, if anything,
-    compares all nodes of different classes.
+def _elements(shingles: pa.Array, counts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, element) of weighted sets: a shingle that occurs n times is n elements, so that common weights are common elements."""
+    row = np.repeat(np.arange(len(shingles)), shingles.value_lengths().to_numpy())
+    keys, times = np.asarray(shingles.flatten()).view(np.uint64), np.asarray(counts.flatten()).astype(np.int64)
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    keys = np.repeat(keys, times)
+    return np.repeat(row, times), np.where(nth == 0, keys, mix(keys + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
+def _common(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], n_left: int, n_right: int) -> np.ndarray:
+    """How many elements each of n_left rows has in common with each of n_right rows; COLUMNS elements at a time."""
+    (own_a, times), own_b = np.unique(left[1], return_counts=True), np.unique(right[1])
+    both = own_a[times > 1] if left is right else np.intersect1d(own_a, own_b, assume_unique=True)
+    (row_a, at_a), (row_b, at_b) = [(row[held], np.searchsorted(both, keys[held])) for row, keys in (left, right) for held in (np.isin(keys, both),)]
+    out = np.zeros((n_left, n_right))
+    for first in range(0, len(both), COLUMNS):
+        a, b = np.zeros((n_left, COLUMNS), np.float32), np.zeros((n_right, COLUMNS), np.float32)
+        for side, row, at in ((a, row_a, at_a), (b, row_b, at_b)):
+            inside = (at >= first) & (at < first + COLUMNS)
+            side[row[inside], at[inside] - first] = 1
+        out += a @ b.T
+    return out
+
+
+def _joining(links: np.ndarray, labels: np.ndarray) -> list[int]:
+    """Which rows of links (pairs of positions in labels) join classes that the rows before them leave apart."""
+    root = np.arange(labels.max() + 1) if len(labels) else labels
+
+    def top(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    chosen = []
+    for k, (x, y) in enumerate(links):
+        x, y = top(labels[x]), top(labels[y])
+        if x != y:
+            root[x] = y
+            chosen.append(k)
+    return chosen
+
+
+def _settled(members: DataFrame, sets: DataFrame, threshold: float, few: int = FEW):
+    """Frames (a, b) of matches that join the classes of each bucket of members (bucket, node, size, label).
+
+    A bucket that holds several classes is cut into blocks, and each block meets each block; what a group holds is bounded by nodes
+    (an eighth of the bucket, `few` at least and MANY at most) and by words (WORDS_OF_BLOCK).  All nodes of two blocks are compared
+    exactly at once; of the matches those that join classes go on.
     """
-    found = []
-    for level in range(levels + 1):
-        members = _mixed(members)
-        if is_empty(members):
-            break
-        listed = members if level == levels else members.where(F.col("n") <= few)
-        left = listed.select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"))
-        right = listed.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"))
-        pairs = left.join(right, "bucket").where("a < b and label_a != label_b").select("a", "b", "label_a", "label_b").distinct()
-        groups = members.where(F.col("n") > few) if level < levels else members.limit(0)
-        central = F.max(F.struct((F.col("common") / F.col("size")).alias("part"), (-F.col("size")).alias("short"), "node", "label")).alias("top")
-        pivots = groups.groupBy("bucket").agg(central).select("bucket", F.col("top.node").alias("pivot"), F.col("top.label").alias("pivot_label"))
-        pivots = materialise(pivots, "pivots")
-        near = materialise(groups.join(pivots, "bucket").where("node != pivot"), "near")
-        named = near.select(*_ordered("node", "pivot"), F.when(F.col("node") < F.col("pivot"), F.col("label")).otherwise(F.col("pivot_label")).alias("label_a"),
-                            F.when(F.col("node") < F.col("pivot"), F.col("pivot_label")).otherwise(F.col("label")).alias("label_b"))
-        pairs = materialise(pairs.union(named).distinct(), "pairs")
-        checked = materialise(_checked(pairs.select("a", "b"), sets), "checked")
-        match = pairs.where("label_a != label_b").join(checked.where(F.col("sim") >= threshold), ["a", "b"])
-        match = materialise(match.select("a", "b", "label_a", "label_b"), "match")
-        found.append(match.select("a", "b"))
-        if level == levels or is_empty(near):
-            break
-        near = near.select("bucket", "pivot", "node", "size", "common", "label", *[c.alias(n) for c, n in zip(_ordered("node", "pivot"), ("a", "b"))])
-        near = near.join(checked.select("a", "b", F.col("common").alias("near")), ["a", "b"]).drop("a", "b")
-        near = materialise(_relabelled(near, match), "near")
-        classes = near.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
-        near = materialise(near.join(materialise(classes, "open"), "bucket"), "near")
-        if is_empty(near):
-            break
-        members = _dealt(near, sets, threshold)
-    return found
+    members = _mixed(members)
+    if is_empty(members):
+        return []
+    words = materialise(members.groupBy("bucket").agg(F.sum("size").alias("words")), "words")
+    per_block = F.least(F.lit(MANY), F.greatest(F.lit(few), F.col("n") / 8))
+    blocks = F.greatest(F.ceil(F.col("n") / per_block), F.ceil(F.col("words") / WORDS_OF_BLOCK)).cast("int").alias("blocks")
+    placed = members.join(words, "bucket").select("bucket", "node", "label", blocks)
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.select("bucket", "node", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = placed.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    # Blocks of one class have nothing to compare.
+    apart = placed.groupBy("bucket", "low", "high").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first != last")
+    placed = placed.join(materialise(apart.select("bucket", "low", "high"), "apart"), ["bucket", "low", "high"])
+    placed = materialise(placed.select("bucket", "low", "high", "block", "node", "label"), "placed")
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by("node")
+        nodes, names = group.column("node").combine_chunks(), group.column("label").combine_chunks()
+        labels = names.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        block = group.column("block").to_numpy()
+        row, keys = _elements(group.column("shingles").combine_chunks(), group.column("counts").combine_chunks())
+        sizes = np.bincount(row, minlength=len(block)).astype(np.float64)
+        sides = [np.nonzero(block == x)[0] for x in (block.min(), block.max())]
+        parts = []
+        for x, side in zip((block.min(), block.max()), sides):
+            held = block[row] == x
+            parts.append((np.searchsorted(side, row[held]), keys[held]))
+        common = _common(*(parts if block.min() < block.max() else parts[:1] * 2), len(sides[0]), len(sides[1]))
+        match = common / (sizes[sides[0]][:, None] + sizes[sides[1]][None, :] - common) >= threshold
+        found = np.argwhere(match & (labels[sides[0]][:, None] != labels[sides[1]][None, :]))
+        found = np.stack([sides[0][found[:, 0]], sides[1][found[:, 1]]], 1)
+        found.sort(axis=1)  # a < b, since nodes are in order
+        found = found[np.lexsort((found[:, 1], found[:, 0]))]
+        found = found[_joining(found, labels)]
+        return pa.table({"a": nodes.take(pa.array(found[:, 0])), "b": nodes.take(pa.array(found[:, 1]))})
+
+    met = placed.join(sets, "node").groupBy("bucket", "low", "high").applyInArrow(compare, "a binary, b binary")
+    return [materialise(met.distinct(), "match")]
 
 
 def links(documents: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, rounds: int = 2) -> DataFrame:
@@ -294,7 +338,7 @@ def links(documents: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD,
             return found
     # Groups by first pivot, of the pivots with open rows: all their nodes that can match anything beside the pivot.
     begun = materialise(first.join(open_rows.select("key").distinct(), "key", "left_semi").select("pivot").distinct(), "begun")
-    facts = shared.join(could, "node", "left_semi").join(labels, "node", "left").select("node", "size", "common", F.coalesce("label", "node").alias("label"))
+    facts = shared.join(could, "node", "left_semi").join(labels, "node", "left").select("node", "size", F.coalesce("label", "node").alias("label"))
     # Dealt out by node before the distinct, else it would keep the dealing by pivot, and a hot pivot could not be split.
     group = first.join(begun, "pivot", "left_semi").select("pivot", "node", F.col("common").alias("near")).repartition("node").distinct()
     group = materialise(group.join(facts, "node").withColumn("bucket", F.xxhash64("pivot")), "group")

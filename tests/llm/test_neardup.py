@@ -167,3 +167,40 @@ def test_edges(documents):
     out = sorted((r.doc_id, r.class_id) for r in near_duplicates(documents(rows)).collect())
     assert out == [(1, 1), (2, 2), (3, 3), (4, 3), (5, 5), (6, 6), (7, 6), (8, 8), (9, 8), (9, 8), (10, 10)]
     assert near_duplicates(documents([])).count() == 0
+
+
+def test_a_group_of_singles_is_not_multiplied(documents, monkeypatch):
+    """Copies with many edits from few words, which match hardly any other: rows dealt out stay in proportion to the rows."""
+    made, plain = [], neardup.materialise
+
+    def counted(frame, label, *rest):
+        out = plain(frame, label, *rest)
+        made.append((label, out.count() if label in ("dealt", "members", "placed") else 0))
+        return out
+
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for at in rng.integers(0, 200, rng.integers(0, 12)):
+            words[at] = f"n{rng.integers(0, 3)}"
+        rows.append((i, " ".join(words), "en"))
+    monkeypatch.setattr(neardup, "materialise", counted)
+    assert sorted((r.doc_id, r.class_id) for r in near_duplicates(documents(rows)).collect()) == classes(rows)
+    assert sum(n for _, n in made) < 30 * 300
+
+
+def test_blocks_count_what_weighted_sets_share():
+    """All pairs of two blocks at once, repeated shingles too, against the check of single pairs."""
+    rng = np.random.default_rng(12)
+    sets = [(np.unique(rng.integers(0, 40, 30)).astype(np.uint64),) for _ in range(9)]
+    sets = [(k, rng.integers(1, 4, len(k)).astype(np.int32)) for (k,) in sets]
+    column = neardup.pa.array([k.view(np.int64).tolist() for k, _ in sets], neardup.pa.list_(neardup.pa.int64()))
+    counts = neardup.pa.array([w.tolist() for _, w in sets], neardup.pa.list_(neardup.pa.int32()))
+    row, keys = neardup._elements(column, counts)
+    left, right = (row[row < 5], keys[row < 5]), (row[row >= 5] - 5, keys[row >= 5])
+    assert neardup._common(left, right, 5, 4).tolist() == [[neardup.common_weight(*a, *b) for b in sets[5:]] for a in sets[:5]]
+    both = neardup._common(left, left, 5, 5)
+    assert all(both[a, b] == neardup.common_weight(*sets[a], *sets[b]) for a in range(5) for b in range(5) if a != b)
+    assert neardup._joining(np.array([[0, 1], [2, 3], [1, 2], [0, 3]]), np.array([0, 1, 1, 2])) == [0, 1]
