@@ -45,7 +45,8 @@ def latest_observation(observations: DataFrame, key: str | list[str] = "file_key
     known = {}
     if "sha256" in rest:
         known["_sha"] = F.max_by("sha256", F.when(F.col("sha256").isNotNull(), ranked))
-    last = observations.groupBy(*keys).agg(F.max_by(F.struct(*rest), ranked).alias("_last"), *[c.alias(n) for n, c in known.items()])
+    # The greatest row itself, not a second copy of it by rank: the aggregate sorts its rows, so their width counts.
+    last = observations.groupBy(*keys).agg(F.max(ranked).alias("_last"), *[c.alias(n) for n, c in known.items()])
     values = [F.coalesce("_last.sha256", "_sha").alias(c) if c == "sha256" else F.col(f"_last.{c}") for c in rest]
     return last.select(*keys, *values)
 
