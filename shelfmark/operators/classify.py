@@ -19,6 +19,8 @@ from shelfmark.operators.listed import listed_nearest
 PROTOTYPE_BLOCK = 20_000
 PRODUCT_CELLS = 4_000_000
 CANDIDATES = "array<struct<category:string,score:double>>"
+# The letters that full lower-casing turns into two or by their neighbours; here every letter has one lower form.
+SINGLE_LOWER = {ord("\u0130"): "i", ord("\u03a3"): "\u03c3"}
 
 
 def prototypes(index: DataFrame) -> DataFrame:
@@ -48,7 +50,7 @@ def hashed_tokens(texts: list[str], dim: int = 256) -> np.ndarray:
     """``hashed_vector`` for texts in Python.  Any function list[str] -> matrix can take its place."""
     out = np.zeros((len(texts), dim))
     for row, text in enumerate(texts):
-        for word in re.findall(r"[^\W_]+", text.lower()):
+        for word in re.findall(r"[^\W_]+", text.translate(SINGLE_LOWER).lower()):
             out[row, int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim] += 1.0
     norms = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norms == 0, 1.0, norms)
@@ -61,6 +63,8 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def hashed_vector(text: Column, dim: int = 256) -> Column:
     """Default encoder: L2-normalised counts of hashed words (letters and digits, lower case), by built-in functions only."""
+    for letter, small in SINGLE_LOWER.items():
+        text = F.replace(text, F.lit(chr(letter)), F.lit(small))
     words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
     digits = -(-(dim.bit_length() - 1) // 4) if dim & (dim - 1) == 0 else 8  # the last hex digits decide for a power of two
     start, size = 9 - max(digits, 1), max(digits, 1)
