@@ -27,8 +27,13 @@ class NoiseTerms:
         return {k: getattr(self, k) for k in V.NOISE_FACTORS}
 
 
+# White space inside a text as SQL's ``\s`` has it (no vertical tab), and at its ends every space character of Unicode.
+SPACES = r"[\t\n\f\r _-]+"
+EDGES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
 def normalise(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s_-]+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " "), F.lit(EDGES))
 
 
 def tokenise(text: Column) -> Column:

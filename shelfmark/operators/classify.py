@@ -106,11 +106,20 @@ def text_key(text: Column) -> Column:
     return F.sha1(text)
 
 
+def _cache_key(sha1: Column) -> Column:
+    """The hash, with a value for missing texts that a join can meet."""
+    return F.coalesce(sha1, F.lit(""))
+
+
 def encoding_todo(texts: DataFrame, cache: DataFrame, model: str) -> DataFrame:
-    """Distinct ``(text_sha1, text)`` of a ``text`` column that the cache of this model does not hold yet."""
-    keyed = texts.select(text_key(F.col("text")).alias("text_sha1"), "text")
-    distinct = keyed.groupBy("text_sha1").agg(F.first("text").alias("text"))
-    return distinct.join(cache.filter(F.col("model") == model), "text_sha1", "left_anti")
+    """Distinct ``(text_sha1, text)`` of a ``text`` column that the cache of this model does not hold yet.
+
+    A missing text has no hash and is encoded, once, as a text without words.
+    """
+    keyed = texts.select(_cache_key(text_key(F.col("text"))).alias("_key"), "text")
+    distinct = keyed.groupBy("_key").agg(F.first("text").alias("text"))
+    held = cache.filter(F.col("model") == model).select(_cache_key(F.col("text_sha1")).alias("_key"))
+    return distinct.join(held, "_key", "left_anti").select(F.nullif("_key", F.lit("")).alias("text_sha1"), "text")
 
 
 def encode_new(texts: DataFrame, cache: DataFrame, model: str, encode: Callable | None = None) -> DataFrame:
@@ -119,13 +128,15 @@ def encode_new(texts: DataFrame, cache: DataFrame, model: str, encode: Callable
     Without ``encode``, a function list[str] -> matrix, the default encoder makes the vectors.
     """
     todo = encoding_todo(texts, cache, model)
-    vec = encoder_column(F.col("text"), encode, model_prefix(model, "query")) if encode else hashed_vector(F.col("text"))
+    text = F.coalesce("text", F.lit(""))
+    vec = encoder_column(text, encode, model_prefix(model, "query")) if encode else hashed_vector(text)
     return todo.select(F.lit(model).alias("model"), "text_sha1", vec.alias("vec"))
 
 
 def with_cached_vectors(rows: DataFrame, cache: DataFrame, model: str) -> DataFrame:
-    vectors = cache.filter(F.col("model") == model).select("text_sha1", "vec")
-    return rows.withColumn("text_sha1", text_key(F.col("text"))).join(vectors, "text_sha1", "left")
+    vectors = cache.filter(F.col("model") == model).select(_cache_key(F.col("text_sha1")).alias("_key"), "vec")
+    keyed = rows.withColumn("text_sha1", text_key(F.col("text"))).withColumn("_key", _cache_key(F.col("text_sha1")))
+    return keyed.join(vectors, "_key", "left").drop("_key")
 
 
 def _score_block(vec: Column, owners: np.ndarray, categories: list[str], matrix: np.ndarray, top_k: int, digits: int | None, spark) -> Column:
