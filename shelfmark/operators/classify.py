@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,7 +21,8 @@ PROTOTYPE_BLOCK = 20_000
 PRODUCT_CELLS = 4_000_000
 CANDIDATES = "array<struct<category:string,score:double>>"
 # The letters that full lower-casing turns into two or by their neighbours; here every letter has one lower form.
-SINGLE_LOWER = {ord("\u0130"): "i", ord("\u03a3"): "\u03c3"}
+SINGLE_LOWER = {"\u0130": "i", "\u03a3": "\u03c3"}
+WORDS_HELD = 100_000  # words whose place a batch remembers
 
 
 def prototypes(index: DataFrame) -> DataFrame:
@@ -49,9 +51,19 @@ def missing_profiles(index: DataFrame, profiles: DataFrame) -> DataFrame:
 def hashed_tokens(texts: list[str], dim: int = 256) -> np.ndarray:
     """``hashed_vector`` for texts in Python.  Any function list[str] -> matrix can take its place."""
     out = np.zeros((len(texts), dim))
+    places: dict[str, int] = {}
     for row, text in enumerate(texts):
-        for word in re.findall(r"[^\W_]+", text.translate(SINGLE_LOWER).lower()):
-            out[row, int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim] += 1.0
+        for letter, small in SINGLE_LOWER.items():
+            text = text.replace(letter, small)
+        counts = [0] * dim
+        for word, n in Counter(re.findall(r"[^\W_]+", text.lower())).items():
+            place = places.get(word)
+            if place is None:
+                place = places[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim
+            counts[place] += n
+        out[row] = counts
+        if len(places) > WORDS_HELD:
+            places.clear()
     norms = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norms == 0, 1.0, norms)
 
@@ -64,7 +76,7 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 def hashed_vector(text: Column, dim: int = 256) -> Column:
     """Default encoder: L2-normalised counts of hashed words (letters and digits, lower case), by built-in functions only."""
     for letter, small in SINGLE_LOWER.items():
-        text = F.replace(text, F.lit(chr(letter)), F.lit(small))
+        text = F.replace(text, F.lit(letter), F.lit(small))
     words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
     digits = -(-(dim.bit_length() - 1) // 4) if dim & (dim - 1) == 0 else 8  # the last hex digits decide for a power of two
     start, size = 9 - max(digits, 1), max(digits, 1)
@@ -86,12 +98,14 @@ def model_prefix(model: str, role: str) -> str:
     return f"{role}: " if "e5" in model.lower() else ""
 
 
-def encoder_column(text: Column, encode: Callable[[list[str]], np.ndarray] = hashed_tokens, prefix: str = "") -> Column:
-    @F.pandas_udf("array<float>")
+def encoder_column(text: Column, encode: Callable[[list[str]], np.ndarray] = hashed_tokens, prefix: str = "", double: bool = False) -> Column:
+    kind, number = ("array<double>", np.float64) if double else ("array<float>", np.float32)
+
+    @F.pandas_udf(kind)
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             matrix = encode([prefix + t for t in batch]) if len(batch) else []
-            yield pd.Series(list(np.asarray(matrix, dtype=np.float32)), index=batch.index)
+            yield pd.Series(list(np.asarray(matrix, dtype=number)), index=batch.index)
 
     return vectors(text)
 
